@@ -95,9 +95,7 @@ class Parser:
         for _, t in sample:
             symbols = self.symbols(t)[: p.symbols]
             auto = automaton(symbols, self.width)
-            root = auto[self.width : 2 * self.width].copy()
-            root[root == 0] = self.width
-            self.autos.append((auto, root))
+            self.autos.append((auto, auto[self.width : 2 * self.width]))
             self.bits.append(np.log2(max(2, len(symbols))))
 
     def symbols(self, text: str) -> np.ndarray:
@@ -106,9 +104,10 @@ class Parser:
 
     def phrases(self, windows: np.ndarray) -> np.ndarray:
         """Phrases in each window (a column of symbols, padded with 0) for each language."""
-        n, out = windows.shape[1], np.ones((len(self.autos), windows.shape[1]), np.int64)
+        n, out = windows.shape[1], np.zeros((len(self.autos), windows.shape[1]), np.int64)
         for k, (auto, root) in enumerate(self.autos):
-            state, missed = np.full(n, self.width, np.int64), np.zeros(n, np.int32)
+            # no move leaves state 0: there a phrase begins, as it does after a symbol that the sample lacks
+            state, missed = np.zeros(n, np.int64), np.zeros(n, np.int32)
             for row in windows:
                 to = auto[state + row]
                 miss = to == 0
