@@ -57,11 +57,8 @@ def around(text: Column, span: Column, n: int) -> Column:
 
 
 def has_any(text: Column, words: Iterable[str]) -> Column:
-    """Whether a text holds any of the words, as they are."""
-    out = F.lit(False)
-    for w in words:
-        out = out | F.contains(text, F.lit(w))
-    return out
+    """Whether a text holds any of the words, as they are: one pass of one alternation."""
+    return text.rlike("|".join(f"\\Q{w}\\E" for w in words))
 
 
 def keep(array: Column, test: Callable[[Column], Column]) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veladura.functions import lexicon as L
-from veladura.functions.spans import has_any
+from veladura.functions.spans import has_any, let
 
 LETTERS = "A-Za-záéíóúñÁÉÍÓÚÑ"
 
@@ -41,7 +41,7 @@ def is_connector(value: Column) -> Column:
 
 
 def is_title(value: Column) -> Column:
-    return F.exists(_list(L.TITLES), lambda t: (normal(value) == t) | F.startswith(normal(value), F.concat(t, F.lit(" "))))
+    return normal(value).rlike("^(?:" + "|".join(L.TITLES) + ")(?: |$)")
 
 
 def all_excluded(value: Column, excluded: tuple[str, ...] = L.EXCLUDED) -> Column:
@@ -68,10 +68,10 @@ def proper_name(value: Column) -> Column:
 
 
 def possible_name(value: Column) -> Column:
-    parts = words(value)
-    rest = F.filter(parts, lambda w: ~common_noun(w))
-    shaped = F.filter(rest, lambda w: w.rlike("^(?:[A-ZÁÉÍÓÚÑ][a-záéíóúñ]{3,}|[A-ZÁÉÍÓÚÑ]{3,})$"))
-    return value.rlike(rf"(?U)^[{LETTERS}\s]+$") & F.size(parts).between(2, 5) & (F.size(rest) >= 2) & (F.size(shaped) >= 1)
+    rest = F.filter(words(value), lambda w: ~common_noun(w))
+    shaped = lambda w: w.rlike("^(?:[A-ZÁÉÍÓÚÑ][a-záéíóúñ]{3,}|[A-ZÁÉÍÓÚÑ]{3,})$")
+    fits = let(rest, lambda r: (F.size(r) >= 2) & F.exists(r, shaped))
+    return value.rlike(rf"(?U)^[{LETTERS}\s]+$") & F.size(words(value)).between(2, 5) & fits
 
 
 def decide(value: Column, kind: Column, strong: Column) -> Column:
