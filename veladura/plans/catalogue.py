@@ -1,6 +1,8 @@
 """All queries of the library outside its training-data operators."""
 
-from . import detection, ledgers, relational  # noqa: F401
+from veladura.streaming import logs  # noqa: F401
+
+from . import detection, ledgers, relational, texts  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

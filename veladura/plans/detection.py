@@ -411,3 +411,32 @@ def eval_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count("*").alias("found"), F.count_if(s == "F").alias("leaked"), F.count_if(s != "F").alias("replaced"), F.count_if((s == "P") & (F.col("o_orderkey") % 5 == 0)).alias("over")
     )
     return rows.select("doc_id", *audit.scores(F.col("found"), F.col("leaked"), F.col("replaced"), F.col("over")))
+
+
+# --- reports --------------------------------------------------------------------------------------------------
+
+
+@query("report_counts", S.with_legal(f", e AS ({_E}) SELECT type, count(*)::BIGINT AS n, count(DISTINCT value)::BIGINT AS distinct_values FROM e GROUP BY 1"))
+def report_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _entities(spark, sf_dir).groupBy("type").agg(F.count("*").alias("n"), F.countDistinct("value").alias("distinct_values"))
+
+
+@query("report_json")
+def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veladura.sources import documents
+
+    return documents.report(tokens.numbered(_entities(spark, sf_dir), "listed"))
+
+
+@query("mapping_csv_rows")
+def mapping_csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veladura.sources import documents
+
+    return documents.mapping_rows(tokens.numbered(_entities(spark, sf_dir), "listed"))
+
+
+@query("training_records")
+def training_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veladura.sources import documents
+
+    return documents.training_records(legal_text(spark, sf_dir)).select("doc_id", F.to_json("entities").alias("entities"))
