@@ -1,0 +1,98 @@
+"""Queries over institutions, boards, sections, standalone names and the older detector."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from veladura.functions import fixed as X
+from veladura.operators import context
+
+from . import sqltext as S
+from .detection import CASES, COLUMNS, cases, exploded
+from .registry import query, table
+
+TEXT = (
+    "'DATOS DEL DEMANDANTE: ' || chr(10) || 'Nombre Rosa Elena Quispe Mamani vecina de Lima con numero ' || lpad(cast(c_custkey AS STRING), 8, '0') || ' y otros datos mas.' || chr(10) || chr(10) || "
+    "'MUNICIPALIDAD PROVINCIAL DE PIURA 12' || chr(10) || ' SUNAT: INTENDENCIA DE LIMA' || chr(10) || 'del CAL: PEDRO GOMEZ SALAS' || chr(10) || 'del XYZ: PEDRO GOMEZ SALAS' || chr(10) || "
+    "'Vive en Av. Arequipa ' || cast(100 + c_custkey % 900 AS STRING) || '; don Luis Alberto Torres, identificado con DNI N° ' || lpad(cast(c_custkey AS STRING), 8, '0') || ' dice.' || chr(10) || "
+    "'REMITENTE:' || chr(10) || 'Ana Torres Ruiz' || chr(10) || 'JUAN CARLOS MAMANI' || chr(10) || 'FUNDAMENTOS DE HECHO' || chr(10) || 'queda {{DNI_1}} y ' || c_name"
+)
+LT = f"WITH lt AS (SELECT c_custkey AS doc_id, {TEXT} AS text FROM customer) "
+
+
+def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").selectExpr("c_custkey AS doc_id", f"{TEXT} AS text")
+
+
+def _institutions_sql() -> str:
+    parts = []
+    for gap in (r"\s+", r"\s*[:\-]\s*"):
+        p = rf"(?i)\b({context.INSTITUTIONS}){gap}({context.FOLLOWING})\b"
+        a, b = S.spans(p, 1, "first"), S.spans(p, 2, "last")
+        court = "lower(trim(value)) IN (" + ", ".join(f"'{c}'" for c in context.COURTS) + ")"
+        parts += [f"SELECT {COLUMNS} FROM ({a}) WHERE NOT {court}"]
+        both = f"(SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start) AS k FROM ({a})) a JOIN (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start) AS k FROM ({b})) b ON a.doc_id = b.doc_id AND a.k = b.k"
+        flag = court.replace("value", "a.value")
+        parts += [f"SELECT b.doc_id, b.start, b.stop, b.value FROM {both} WHERE NOT {flag}", f"SELECT a.doc_id, a.start, b.stop, substr(a.text, a.start + 1, b.stop - a.start) AS value FROM {both} WHERE {flag}"]
+    return LT + f"SELECT DISTINCT {COLUMNS} FROM ({' UNION ALL '.join(parts)})"
+
+
+@query("detect_institutions", _institutions_sql())
+def detect_institutions(spark, sf_dir):
+    return exploded(letters(spark, sf_dir), context.institutions(F.col("text")))
+
+
+@query("detect_boards", LT + f"SELECT {COLUMNS} FROM ({S.spans('CAL', 0)} UNION ALL {S.spans('CAL: (PEDRO GOMEZ SALAS)', 1, 'last')})")
+def detect_boards(spark, sf_dir):
+    return exploded(letters(spark, sf_dir), context.boards(F.col("text")))
+
+
+@query("detect_address")
+def detect_address(spark, sf_dir):
+    return exploded(letters(spark, sf_dir), context.addresses(F.col("text")))
+
+
+@query("detect_identified", LT + f"SELECT {COLUMNS} FROM ({S.spans(context.NAMED, 2, 'last')}) UNION ALL SELECT {COLUMNS} FROM ({S.spans(context.NAMED, 1, 'first')})")
+def detect_identified(spark, sf_dir):
+    names, numbers = context.identified(F.col("text"))
+    return exploded(letters(spark, sf_dir), F.concat(numbers, names))
+
+
+@query("detect_alone")
+def detect_alone(spark, sf_dir):
+    return exploded(letters(spark, sf_dir), context.alone(F.col("text")))
+
+
+@query("detect_capital_lines", LT + f"SELECT {COLUMNS} FROM ({S.spans('JUAN CARLOS MAMANI', 0)})")
+def detect_capital_lines(spark, sf_dir):
+    return exploded(letters(spark, sf_dir), context.capital_lines(F.col("text")))
+
+
+@query("detect_in_sections", LT + "SELECT doc_id, CAST(instr(text, ' y otros') - 9 AS INTEGER) AS start, CAST(instr(text, ' y otros') - 1 AS INTEGER) AS stop, lpad(cast(doc_id AS VARCHAR), 8, '0') AS value FROM lt")
+def detect_in_sections(spark, sf_dir):
+    return exploded(letters(spark, sf_dir), context.in_sections(F.col("text"), X.DNI))
+
+
+@query("outside_tokens", LT + f"SELECT {COLUMNS} FROM ({S.spans('[0-9]+', 0)}) WHERE NOT (start = instr(text, '{{{{DNI_1}}}}') + 5)")
+def outside_tokens(spark, sf_dir):
+    from veladura.functions.spans import spans
+
+    return exploded(letters(spark, sf_dir), context.outside(spans(F.col("text"), "[0-9]+", 0), context.tokens_in(F.col("text"))))
+
+
+@query("scored_persons")
+def scored_persons(spark, sf_dir):
+    found = context.scored_persons(F.col("text"), ("Luis", "Ana", "Juan", "Rosa"), ("Torres", "Quispe", "Mamani", "Ruiz"))
+    rows = letters(spark, sf_dir).select("doc_id", F.explode(found).alias("s"))
+    return rows.select("doc_id", "s.start", "s.stop", "s.value", "s.score")
+
+
+OVER = {"FUNDAMENTOS DE HECHO": ("whitelist_violation", "high"), "ALEGATOS FINALES": ("legal_title_tokenized", "high"), "Interpongo Demanda Civil": ("contains_legal_verb", "medium"), "a b c d e f g h": ("too_many_words", "low")}
+_OVER = ", ".join(f"({i}, '{OVER[v][0]}', '{OVER[v][1]}')" for i, (v, t, *_) in enumerate(CASES) if t == "PERSONA" and v in OVER)
+
+
+@query("over_anonymized", f"WITH x(i, reason, severity) AS (VALUES {_OVER}) SELECT reason, severity, count(*)::BIGINT AS n FROM customer JOIN x ON c_custkey % {len(CASES)} = i GROUP BY ALL")
+def over_anonymized(spark, sf_dir):
+    rows = cases(spark, sf_dir).where("type = 'PERSONA'").select(context.over_anonymized(F.col("value")).alias("o")).where("o IS NOT NULL")
+    return rows.groupBy("o.reason", "o.severity").agg(F.count("*").alias("n"))

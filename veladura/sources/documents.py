@@ -69,7 +69,7 @@ def read(spark: SparkSession, path: str, headers: bool = True) -> DataFrame:
     docx = files.where("ext = 'docx'").select("path", "ext", "content").mapInPandas(run, "path string, ext string, text string, error string")
     plain = files.where("ext = 'txt'").select("path", "ext", F.try_validate_utf8(F.col("content").cast("string")).alias("text"))
     plain = plain.withColumn("error", F.when(F.col("text").isNull(), "TXT_NOT_UTF8"))
-    other = files.where("ext IN ('pdf', 'doc')").select("path", "ext", F.lit(None).cast("string").alias("text"), F.when((F.col("ext") == "pdf") & (F.col("magic") != "pdf"), "PDF_INVALID").when(F.col("ext") == "pdf", "PDF_NO_READER").otherwise("DOC_UNSUPPORTED").alias("error"))
+    other = files.where("ext IN ('pdf', 'doc')").select("path", "ext", F.lit(None).cast("string").alias("text"), F.when((F.col("ext") == "pdf") & ~F.col("magic").eqNullSafe("pdf"), "PDF_INVALID").when(F.col("ext") == "pdf", "PDF_NO_READER").otherwise("DOC_UNSUPPORTED").alias("error"))
     every = docx.unionByName(plain).unionByName(other)
     return every.withColumn("extractor", F.when(F.col("error").isNull(), F.concat(F.lit("native_"), "ext")))
 
