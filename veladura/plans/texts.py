@@ -133,3 +133,40 @@ def suggestions_merged(spark, sf_dir):
 def all_places(spark, sf_dir):
     docs = legal_text(spark, sf_dir).select("doc_id", "text")
     return templates.all_places(docs, docs.select("doc_id", F.lit("Lima").alias("value"))).select("doc_id", "start")
+
+
+# --- values, suggestions, runs --------------------------------------------------------------------------------
+
+
+@query(
+    "value_candidates",
+    "SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 2 = 0 THEN c_name || '  de  Lima|' || c_name || ' de Lima' ELSE c_name || '  de  Lima|' || c_name || ' de Lima|' || c_name || 'deLima' END AS spellings FROM customer",
+)
+def value_candidates(spark, sf_dir):
+    from veladura.operators import merge
+
+    value = F.concat(F.lit(" "), "c_name", F.lit("  de  Lima "))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), merge.candidates(value, F.col("c_custkey") % 2 == 0).alias("c"))
+    return rows.select("doc_id", F.array_join("c", "|").alias("spellings"))
+
+
+@query(
+    "suggestion_policy",
+    "WITH d AS (SELECT c_custkey AS doc_id, c_custkey % 100 / 100.0 AS conf, c_custkey % 4 AS k FROM customer) SELECT doc_id, round(CASE k WHEN 0 THEN greatest(conf, 0.82) ELSE least(conf, 0.65) END, 4)::DOUBLE AS confidence FROM d WHERE k <> 2",
+)
+def suggestion_policy(spark, sf_dir):
+    """What a model says of an ambiguous value: keep it, doubt it, drop it; no answer is a doubt."""
+    said = F.element_at(F.lit(["KEEP", "DUDOSO", "DROP", "?"]), (F.col("c_custkey") % 4).cast("int") + 1)
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), said.alias("said"), (F.col("c_custkey") % 100 / 100).alias("conf"))
+    return rows.where("said <> 'DROP'").select("doc_id", F.round(F.when(F.col("said") == "KEEP", F.greatest("conf", F.lit(0.82))).otherwise(F.least("conf", F.lit(0.65))), 4).alias("confidence"))
+
+
+@query("redact_runs", "SELECT c_custkey AS doc_id, replace('El senor ' || c_name || ' y ' || c_name || ' firman', c_name, '{{PERSONA_1}}') AS clean FROM customer")
+def redact_runs(spark, sf_dir):
+    from veladura.sources import documents
+
+    rows = table(spark, sf_dir, "customer")
+    runs = F.array(F.lit("El se"), F.lit("nor "), F.substring("c_name", 1, 5), F.concat(F.substring("c_name", 6, 99), F.lit(" y ")), F.col("c_name"), F.lit(" firman"))
+    blocks = rows.select(F.col("c_custkey").alias("doc_id"), F.lit(0).alias("block_no"), runs.alias("runs"))
+    values = rows.select(F.col("c_custkey").alias("doc_id"), F.col("c_name").alias("value"), F.lit("{{PERSONA_1}}").alias("token"))
+    return documents.replaced_blocks(blocks, values).select("doc_id", F.array_join("runs", "").alias("clean"))
