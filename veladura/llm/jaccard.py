@@ -3,14 +3,19 @@
 Sets are ordered by one global order: shingles known to be frequent last, by frequency, all others by hash.
 Two sets at the threshold must share one of their first n - ceil(t n) + 1 shingles. Equal sets are one node.
 Nodes that share a prefix shingle form a group; groups of the same nodes count once, under their first
-shingle. In blocks of a group, the members' ordered sets are stored in a trie (edges hold runs of shingles)
-and each probe walks it: nodes with a common start share their overlap, and a subtree is left as soon as
-overlap plus what remains on either side can't reach the threshold for its shortest set.
+shingle.
 
-First every group's smallest node probes the others. Components of those links are contracted, and only
-groups that still hold two components are joined block by block; a pair is met in the group of its first
-common shingle and left out once its sides are linked. So a large group of near copies costs about one walk
-a member, and no link between different sets is lost that would join two components.
+The joins run in blocks of bounded size. Members' ordered shingles are stored in a trie whose edges hold runs
+of shingles; a probe walks it, so that members with a common start share their partial overlap, and leaves a
+subtree as soon as overlap plus what can still come on either side misses the threshold for its shortest
+set. Candidates are walked on prefixes alone (what comes after the prefix is counted as if it were common),
+then on whole sets.
+
+First each group's smallest node is held against the others that share enough prefix shingles with it, and
+the components of those links are contracted. Only groups that still hold two components are joined, block
+by block: a pair is met in the group of its first common shingle, and pairs between components are checked
+in rounds, a few for each node and component first, those left only while their sides are still apart. So a
+large group of near copies costs about one walk a member, and no link that joins two components is lost.
 
 Shingles are 62-bit hashes of five words (of the whole sequence where there are fewer). Null and empty texts
 have no shingles and link with nothing. Repeated rows and equal texts are one node. doc_id must be set; rows
@@ -29,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import words_of, written
+from .base import written
 from .components import components
 
 HEAVY = 1 << 62
@@ -40,33 +45,96 @@ MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x2
 class Params:
     words: int = 5
     percent: int = 80
-    heavy: int = 1 << 16
-    heavy_from: int = 4
+    heavy: int = 1 << 17
+    heavy_from: int = 2
     block: int = 256
     flush: int = 1 << 22
+    bits: int = 2048
+    broadcast: int = 1 << 20
+    first_checks: int = 2
+
+
+_POWERS: dict[str, np.ndarray] = {}
+BASE = 0x9E3779B97F4A7C55
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of BASE and of its inverse modulo 2^64."""
+    have = _POWERS.get("up")
+    if have is None or len(have) < n:
+        size = max(n, 1 << 16) + 1
+        for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
+            steps = np.full(size, base, np.uint64)
+            steps[0] = 1
+            _POWERS[name] = np.multiply.accumulate(steps)
+    return _POWERS["up"], _POWERS["down"]
+
+
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of all texts, one after another, and how many words each text has.
+
+    A word's hash is a polynomial over its bytes, taken from one running sum over all bytes."""
+    data = [(t or "").encode().lower() for t in texts]
+    raw = np.frombuffer(b" ".join(data) + b" ", np.uint8)
+    ends = np.cumsum([len(d) + 1 for d in data])
+    space = _SPACE[raw]
+    edge = np.flatnonzero(np.diff(space, prepend=True))
+    start, stop = edge[::2], edge[1::2]
+    up, down = _powers(len(raw))
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=total[1:])
+    h = _mixed((total[stop] - total[start]) * down[start] + (stop - start).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    return h, np.diff(np.searchsorted(start, ends), prepend=0)
+
+
+def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
+    """For each text the sorted distinct 62-bit hashes of its k-word shingles."""
+    h, sizes = word_hashes(texts)
+    x = np.full(max(0, len(h) - k + 1), k, np.uint64)
+    for i in range(k):
+        x = _mixed(x + h[i : len(h) - k + 1 + i] * MULT[i % 5])
+    x = (x >> np.uint64(2)).astype(np.int64)
+    out, at = [], 0
+    for n in sizes.tolist():
+        if n >= k:
+            out.append(np.unique(x[at : at + n - k + 1]))
+        elif n:
+            y = np.full(1, n, np.uint64)
+            for i in range(n):
+                y = _mixed(y + h[at + i : at + i + 1] * MULT[i % 5])
+            out.append((y >> np.uint64(2)).astype(np.int64))
+        else:
+            out.append(np.zeros(0, np.int64))
+        at += n
+    return out
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+def blocks_of(texts: list[str | None], size: int = 1 << 21) -> Iterator[list[str | None]]:
+    block, chars = [], 0
+    for t in texts:
+        block.append(t)
+        chars += len(t or "")
+        if chars >= size:
+            yield block
+            block, chars = [], 0
+    if block:
+        yield block
 
 
-def shingles(words: list[bytes], hashes: WordHashes, k: int) -> np.ndarray:
-    """Sorted distinct 62-bit hashes of the k-word shingles."""
-    n = len(words)
-    if not n:
-        return np.zeros(0, np.int64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, n)
-    width = min(n, k)
-    x = np.full(n - width + 1, width, np.uint64)
-    for i in range(width):
-        x += (h[i : n - width + 1 + i] ^ (h[i : n - width + 1 + i] >> np.uint64(29))) * MULT[i % 5] + np.uint64(i // 5)
-        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xFF51AFD7ED558CCD)
-    x ^= x >> np.uint64(33)
-    return np.unique((x >> np.uint64(2)).astype(np.int64))
+def set_bits(s: np.ndarray, bits: int) -> np.ndarray:
+    """A bitmap of the set. Two sets' bitmaps differ in no more bits than the sets in members."""
+    at = (s & (bits - 1)).astype(np.int64)
+    out = np.zeros(bits // 64, np.uint64)
+    np.bitwise_or.at(out, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+    return out.view(np.int64)
 
 
 def ordered(s: np.ndarray, heavy: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -83,16 +151,12 @@ def prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def linked(overlap: int, n: int, m: int, percent: int) -> bool:
-    return 100 * overlap >= percent * (n + m - overlap)
-
-
 def heavy_shingles(docs: DataFrame, p: Params) -> tuple[np.ndarray, np.ndarray]:
     """Hashes (sorted) and ranks of the most frequent shingles; the table is bounded by p.heavy. Any choice
     gives the same links: the order only has to be the same everywhere."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, size = WordHashes(), [], 0
+        held, size = [], 0
 
         def out() -> pa.RecordBatch:
             keys, n = np.unique(np.concatenate(held), return_counts=True)
@@ -100,10 +164,9 @@ def heavy_shingles(docs: DataFrame, p: Params) -> tuple[np.ndarray, np.ndarray]:
             return pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(n[keep])], names=["h", "n"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                s = shingles(words_of(text), hashes, p.words)
-                held.append(s)
-                size += len(s)
+            for block in blocks_of(batch.column(0).to_pylist()):
+                held += shingle_sets(block, p.words)
+                size += sum(map(len, held[-len(block) :]))
                 if size > p.flush:
                     yield out()
                     held.clear()
@@ -123,70 +186,72 @@ def heavy_shingles(docs: DataFrame, p: Params) -> tuple[np.ndarray, np.ndarray]:
 
 def _entries(shared, p: Params):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = WordHashes(), set()
+        seen = set()
         for batch in batches:
             rows = []
-            for text in batch.column(1).to_pylist():
-                s = shingles(words_of(text), hashes, p.words)
+            for s in (s for block in blocks_of(batch.column(1).to_pylist()) for s in shingle_sets(block, p.words)):
                 n = len(s)
                 if not n:
-                    rows.append((0, 0, 0, None))
+                    rows.append((0, 0, 0, None, None))
                     continue
                 data = s.tobytes()
                 a, b = (xxhash.xxh3_64_intdigest(data, seed) - (1 << 63) for seed in (1, 2))
-                prefix = None
+                prefix = bits = None
                 if (a, b) not in seen:
                     seen.add((a, b))
                     prefix = ordered(s, shared.value)[: prefix_size(n, p.percent)]
-                rows.append((n, a, b, prefix))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "n", "fa", "fb", "prefix"])
+                    bits = set_bits(s, p.bits)
+                rows.append((n, a, b, prefix, bits))
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "n", "fa", "fb", "prefix", "bits"])
 
     return run
 
 
 def _sets(shared, p: Params):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            out = [ordered(shingles(words_of(t), hashes, p.words), shared.value).tobytes() for t in batch.column(1).to_pylist()]
+            out = [ordered(s, shared.value).tobytes() for block in blocks_of(batch.column(1).to_pylist()) for s in shingle_sets(block, p.words)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["node", "keys"])
 
     return run
 
 
 class Trie:
-    """Ordered sets (dense, rising shingle numbers) as a radix tree; each node knows its subtree's lengths and
-    the one component that holds its subtree, if there is one."""
+    """Ordered lists (dense, rising shingle numbers) as a radix tree; each node knows its subtree's set sizes,
+    its longest list and the one component that holds its subtree, if there is one."""
 
-    __slots__ = ("edge", "depth", "kids", "ends", "low", "high", "comp")
+    __slots__ = ("edge", "depth", "kids", "ends", "low", "high", "longest", "comp")
 
-    def __init__(self, items: list[int], sets: list[np.ndarray], comps: list, start: int) -> None:
-        first, last = sets[items[0]], sets[items[-1]]
+    def __init__(self, items: list[int], lists: list[np.ndarray], sizes: list[int], comps: list, start: int) -> None:
+        first, last = lists[items[0]], lists[items[-1]]
         n = min(len(first), len(last))
         differ = np.flatnonzero(first[start:n] != last[start:n])
         self.depth = start + int(differ[0]) if len(differ) else n
         self.edge = first[start : self.depth]
-        sizes = [len(sets[i]) for i in items]
-        self.low, self.high = min(sizes), max(sizes)
+        own = [sizes[i] for i in items]
+        self.low, self.high = min(own), max(own)
+        self.longest = max(len(lists[i]) for i in items)
         self.comp = comps[items[0]] if all(comps[i] == comps[items[0]] for i in items) else None
-        self.ends = [i for i in items if len(sets[i]) == self.depth]
-        rest = [i for i in items if len(sets[i]) > self.depth]
+        self.ends = [i for i in items if len(lists[i]) == self.depth]
         self.kids, group = [], []
-        for i in rest:
-            if group and sets[group[0]][self.depth] != sets[i][self.depth]:
-                self.kids.append(Trie(group, sets, comps, self.depth))
+        for i in items:
+            if len(lists[i]) == self.depth:
+                continue
+            if group and lists[group[0]][self.depth] != lists[i][self.depth]:
+                self.kids.append(Trie(group, lists, sizes, comps, self.depth))
                 group = []
             group.append(i)
         if group:
-            self.kids.append(Trie(group, sets, comps, self.depth))
+            self.kids.append(Trie(group, lists, sizes, comps, self.depth))
 
 
-def walk(root: Trie, x: np.ndarray, has: np.ndarray, sets: list[np.ndarray], percent: int, first: int, skip) -> Iterator[int]:
-    """Members linked with x; has marks x's shingles. first: the shingle that must be the first in common, or -1.
-    skip(component or None, member or None) says whether a subtree or member needn't be looked at."""
-    n, todo = len(x), [(root, 0)]
+def walk(root: Trie, x: np.ndarray, n: int, has: np.ndarray, sizes: list[int], percent: int, unseen, first: int, skip) -> Iterator[int]:
+    """Members that can be linked with the probe (list x, set size n). has marks x's shingles; unseen(n) is how
+    many shingles of a set of n the lists leave out; first must be the first in common, unless it is -1;
+    skip(component, None) and skip(None, member) say what needn't be looked at."""
+    todo = [(root, 0)]
     while todo:
         node, overlap = todo.pop()
         if 100 * node.high < percent * n or percent * node.low > 100 * n or node.comp is not None and skip(node.comp, None):
@@ -197,25 +262,28 @@ def walk(root: Trie, x: np.ndarray, has: np.ndarray, sets: list[np.ndarray], per
             if got and not overlap and first >= 0 and node.edge[int(hits.argmax())] != first:
                 continue
             overlap += got
-            left = n - int(np.searchsorted(x, node.edge[-1], side="right"))
-            # 100 o >= p (n + m - o) with m at least the subtree's shortest
-            if (100 + percent) * (overlap + min(left, node.high - node.depth)) < percent * (n + node.low):
+            left = len(x) - int(np.searchsorted(x, node.edge[-1], side="right"))
+            most = overlap + min(left, node.longest - node.depth) + unseen(max(n, node.high))
+            if (100 + percent) * most < percent * (n + node.low):
                 continue
         for i in node.ends:
-            if linked(overlap, n, len(sets[i]), percent) and not skip(None, i):
+            m = sizes[i]
+            if overlap and (100 + percent) * (overlap + unseen(max(n, m))) >= percent * (n + m) and not skip(None, i):
                 yield i
         todo += [(kid, overlap) for kid in node.kids]
 
 
-def block_links(nodes: list[int], keys: list[np.ndarray], comps: list, probes: list[int], members: list[int], percent: int, token: int | None, ordered_pairs: bool) -> list[tuple[int, int]]:
-    """Links between probes and members (places in nodes), enough to connect what they connect."""
-    flat = np.concatenate(keys)
+def block_pairs(nodes: list[int], lists: list[np.ndarray], sizes: list[int], comps: list, probes: list[int], members: list[int], p: Params, token: int | None, rising: bool) -> list[tuple[int, int]]:
+    """Pairs of probes and members (places in nodes) of different components. With a token the lists are
+    prefixes and all pairs that may be linked come out; without, they are whole sets, and only as many links
+    as are needed to connect what they connect."""
+    flat = np.concatenate(lists)
     every, dense = np.unique(flat, return_inverse=True)
-    sets = np.split(dense, np.cumsum([len(k) for k in keys])[:-1])
-    first = -1
+    lists = np.split(dense, np.cumsum([len(k) for k in lists])[:-1])
+    first, unseen = -1, lambda n: 0
     if token is not None:
-        at = int(np.searchsorted(every, token))
-        first = at if at < len(every) and every[at] == token else -1
+        first = int(np.searchsorted(every, token))
+        unseen = lambda n: n - prefix_size(n, p.percent)
     parent = {c: c for c in comps}
 
     def find(c):
@@ -224,21 +292,22 @@ def block_links(nodes: list[int], keys: list[np.ndarray], comps: list, probes: l
             c = parent[c]
         return c
 
-    members = sorted(members, key=lambda i: keys[i].tolist())
-    root = Trie(members, sets, comps, 0)
+    members = sorted(members, key=lambda i: lists[i].tolist())
+    root = Trie(members, lists, sizes, comps, 0)
     has, out = np.zeros(len(every), bool), []
     for i in probes:
-        x = sets[i]
+        x = lists[i]
         has[x] = True
 
         def skip(comp, member, i=i):
             if member is None:
                 return find(comp) == find(comps[i])
-            return member == i or ordered_pairs and nodes[member] < nodes[i] or find(comps[member]) == find(comps[i])
+            return member == i or rising and nodes[member] < nodes[i] or find(comps[member]) == find(comps[i])
 
-        for j in walk(root, x, has, sets, percent, first, skip):
+        for j in walk(root, x, sizes[i], has, sizes, p.percent, unseen, first, skip):
             out.append((nodes[i], nodes[j]))
-            parent[find(comps[j])] = find(comps[i])
+            if token is None:
+                parent[find(comps[j])] = find(comps[i])
         has[x] = False
     return out
 
@@ -246,68 +315,140 @@ def block_links(nodes: list[int], keys: list[np.ndarray], comps: list, probes: l
 EDGES = "a long, b long"
 
 
-def _group(p: Params, by_token: bool):
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        nodes = rows["node"].tolist()
-        keys = [np.frombuffer(k, np.int64) for k in rows["keys"]]
-        probes, members = (np.flatnonzero(rows[c]).tolist() for c in ("probe", "member"))
-        links = []
-        if probes and members:
-            links = block_links(nodes, keys, rows["comp"].tolist(), probes, members, p.percent, int(key[0]) if by_token else None, by_token and key[1] == key[2])
-        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+def _frame(pairs: list) -> pd.DataFrame:
+    return pd.DataFrame(pairs, columns=["a", "b"], dtype="int64")
+
+
+def _candidates(p: Params):
+    """Over rows sorted by group: the pairs of each group that prefixes and bitmaps leave."""
+
+    def group(token: int, row: int, col: int, rows: list[tuple]) -> list[tuple[int, int]]:
+        probes = [i for i, r in enumerate(rows) if r[5]]
+        members = [i for i, r in enumerate(rows) if r[6]]
+        if not probes or not members:
+            return []
+        nodes, sizes = [r[0] for r in rows], [r[1] for r in rows]
+        pairs = block_pairs(nodes, [r[3] for r in rows], sizes, [r[2] for r in rows], probes, members, p, token, row == col)
+        by = {r[0]: r for r in rows}
+
+        def fits(a: tuple, b: tuple) -> bool:
+            differ = int(np.bitwise_count(a[4] ^ b[4]).sum())
+            return (100 + p.percent) * (a[1] + b[1] - differ) >= 2 * p.percent * (a[1] + b[1])
+
+        return [(a, b) for a, b in pairs if fits(by[a], by[b])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows, out = None, [], []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [batch.column(i).to_pylist() for i in range(7)]
+            lists, bits = (batch.column(i) for i in (7, 8))
+            flat, cut = lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
+            maps = bits.flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)
+            for i, (token, row, col, node, n, comp, sides) in enumerate(zip(*cols, strict=True)):
+                if (token, row, col) != key:
+                    if len(rows) > 1:
+                        out += group(*key, rows)
+                    key, rows = (token, row, col), []
+                rows.append((node, n, comp, flat[cut[i] : cut[i + 1]], maps[i], sides & 1, sides & 2))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+                out = []
+        if len(rows) > 1 and (out := group(*key, rows)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+
+    return run
+
+
+def _check(p: Params):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        lists = [np.frombuffer(k, np.int64) for k in rows["keys"]]
+        probes, members = (np.flatnonzero(rows["probe"] == c).tolist() for c in (True, False))
+        if not probes or not members:
+            return _frame([])
+        return _frame(block_pairs(rows["node"].tolist(), lists, [len(x) for x in lists], rows["comp"].tolist(), probes, members, p, None, False))
 
     return run
 
 
+def _checked(pairs: DataFrame, docs: DataFrame, heavy, p: Params) -> DataFrame:
+    """The links among pairs (a, ca, b, cb), by walking whole sets: a probes the b's in blocks."""
+    ids = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    ids = written(ids, "nd-ids")
+    # broadcast below a fixed number of ids, shuffled beyond
+    wanted = F.broadcast(ids) if ids.count() <= p.broadcast else ids
+    text = docs.join(wanted, docs["doc_id"] == wanted["node"], "left_semi")
+    sets = text.mapInArrow(_sets(heavy, p), "node long, keys binary").groupBy("node").agg(F.min("keys").alias("keys"))
+    sets = written(sets, "nd-sets")
+    sizes = pairs.groupBy("a", "ca").agg(F.ceil(F.count("*") / p.block).cast("int").alias("blocks"))
+    members = pairs.join(sizes.drop("ca"), "a").select(
+        "a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), F.col("b").alias("node"), F.col("cb").alias("comp"), F.lit(False).alias("probe")
+    )
+    probes = sizes.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("a").alias("node"), F.col("ca").alias("comp"), F.lit(True).alias("probe"))
+    return written(members.unionByName(probes).join(sets, "node").groupBy("a", "block").applyInPandas(_check(p), EDGES), "nd-links")
+
+
 def clusters(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every document."""
     docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     heavy = docs.sparkSession.sparkContext.broadcast(heavy_shingles(docs, p))
-    entries = written(docs.mapInArrow(_entries(heavy, p), "doc_id long, n long, fa long, fb long, prefix array<long>"), "nd-entries")
+    entries = docs.mapInArrow(_entries(heavy, p), "doc_id long, n long, fa long, fb long, prefix array<long>, bits array<long>")
+    entries = written(entries.withColumn("uid", F.monotonically_increasing_id()), "nd-entries")
+
+    # of equal sets that several tasks saw, the one with the smallest doc_id stands for all
+    own = Window.partitionBy("fa", "fb").orderBy("doc_id", "uid")
+    again = written(entries.where(F.col("prefix").isNotNull()).select("uid", F.row_number().over(own).alias("turn")).where("turn > 1").select("uid"), "nd-again")
+    nodes = entries.where(F.col("prefix").isNotNull()).join(F.broadcast(again) if again.count() <= p.broadcast else again, "uid", "left_anti")
 
     # one row for each prefix shingle and node, of groups that hold two nodes at least
-    rows = entries.where(F.col("prefix").isNotNull()).select(F.explode("prefix").alias("token"), "fa", "doc_id")
-    by_set = Window.partitionBy("token").orderBy("fa", "doc_id")
-    rows = rows.withColumn("before", F.lag("fa").over(by_set)).where(F.col("before").isNull() | (F.col("before") != F.col("fa")))
     group = Window.partitionBy("token")
-    rows = rows.select(
-        "token",
-        F.col("doc_id").alias("node"),
-        F.count("*").over(group).alias("size"),
-        F.min("doc_id").over(group).alias("leader"),
-        F.bit_xor(F.xxhash64("doc_id")).over(group).alias("same"),
-    ).where(F.col("size") > 1)
-    rows = written(rows, "nd-groups")
+    rows = nodes.select(F.explode("prefix").alias("token"), F.col("doc_id").alias("node"))
+    rows = rows.select("token", "node", F.count("*").over(group).alias("size"), F.min("node").over(group).alias("leader"), F.bit_xor(F.xxhash64("node")).over(group).alias("same")).where("size > 1")
+    rows = written(rows, "nd-shared")
+    sizes = nodes.select(F.col("doc_id").alias("node"), F.col("n").cast("int").alias("n"))
+    rows = rows.join(sizes, "node").join(sizes.select(F.col("node").alias("leader"), F.col("n").alias("leader_n")), "leader")
+    rows = written(rows.select("token", "node", "n", "size", "leader", "leader_n", "same"), "nd-groups")
+
+    # the leaders' links, of pairs with enough prefix shingles in common
+    need = lambda n, m: F.expr(f"{p.percent} * ({n} + {m}) - {100 + p.percent} * (ceil({p.percent} * greatest({n}, {m}) / 100) - 1)")
+    near = rows.where((F.col("node") != F.col("leader")) & (100 * F.least("n", "leader_n") >= p.percent * F.greatest("n", "leader_n")))
+    near = near.groupBy("leader", "node").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("leader_n").alias("m"))
+    near = near.where((100 + p.percent) * F.col("c") >= need("n", "m"))
+    # the sets differ in as many members at least as their bitmaps in bits
+    bits = nodes.select(F.col("doc_id").alias("node"), "bits").join(rows.select("node").distinct(), "node", "left_semi")
+    near = near.join(bits, "node").join(bits.select(F.col("node").alias("leader"), F.col("bits").alias("leader_bits")), "leader")
+    differ = F.aggregate(F.zip_with("bits", "leader_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    near = near.where((100 + p.percent) * (F.col("n") + F.col("m") - differ) >= 2 * p.percent * (F.col("n") + F.col("m"))).select(F.col("leader").alias("a"), F.col("leader").alias("ca"), F.col("node").alias("b"), F.col("node").alias("cb"))
+    links = _checked(written(near, "nd-near"), docs, heavy, p)
+    roots = written(components(links), "nd-roots")
+
+    # what may be linked across components: groups that hold two, each under its first shingle
     first = rows.where(F.col("node") == F.col("leader")).groupBy("same", "size", "leader").agg(F.min("token").alias("token")).select("token")
-    rows = written(rows.join(first, "token", "left_semi"), "nd-kept")
-
-    active = rows.select("node").distinct()
-    text = docs.join(active, docs["doc_id"] == active["node"], "left_semi").dropDuplicates(["doc_id"])
-    sets = written(text.mapInArrow(_sets(heavy, p), "node long, keys binary"), "nd-sets")
-
-    # the leaders' links
-    blocks = lambda n: F.ceil(F.col(n) / p.block).cast("int")
-    pairs = rows.where(F.col("node") != F.col("leader")).select("leader", "node").distinct()
-    sizes = pairs.groupBy("leader").agg(F.count("*").alias("count")).withColumn("blocks", blocks("count"))
-    own = pairs.join(sizes, "leader").select("leader", "node", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("probe"))
-    lead = sizes.select("leader", F.col("leader").alias("node"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("probe"))
-    walks = own.unionByName(lead).join(sets, "node").withColumns({"member": ~F.col("probe"), "comp": F.col("node")})
-    links = written(walks.groupBy("leader", "block").applyInPandas(_group(p, False), EDGES), "nd-links")
-    near = written(components(links), "nd-near")
-
-    # what is left: groups that hold two components
-    left = rows.join(near, "node", "left").withColumn("comp", F.coalesce("root", "node"))
+    left = rows.join(first, "token", "left_semi").join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node"))
     mixed = left.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi")).select("token")
-    left = left.join(mixed, "token").withColumn("blocks", blocks("size")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    left = left.join(mixed, "token").withColumn("blocks", F.ceil(F.col("size") / p.block).cast("int"))
+    left = left.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least(i, "own").alias("row"), F.greatest(i, "own").alias("col")))
-    left = left.select("token", "node", "comp", "own", F.explode(cells).alias("cell"))
+    left = left.select("token", "node", "n", "comp", "own", F.explode(cells).alias("cell"))
     left = left.select(
-        "token", "node", "comp", F.col("cell.row").alias("row"), F.col("cell.col").alias("col"),
-        (F.col("cell.row") == F.col("own")).alias("probe"), (F.col("cell.col") == F.col("own")).alias("member"),
+        "token", F.col("cell.row").alias("row"), F.col("cell.col").alias("col"), "node", "n", "comp",
+        F.expr("if(cell.row = own, 1, 0) + if(cell.col = own, 2, 0)").alias("sides"),
     )
-    more = left.join(sets, "node").groupBy("token", "row", "col").applyInPandas(_group(p, True), EDGES)
-    links = written(links.unionByName(more), "nd-links")
-    roots = written(components(links), "nd-roots")
+    lists = rows.groupBy("node").agg(F.sort_array(F.collect_list("token")).alias("list")).join(bits, "node")
+    cells = left.join(lists, "node").select(*left.columns, "list", "bits").repartition("token", "row", "col").sortWithinPartitions("token", "row", "col")
+    pairs = cells.mapInArrow(_candidates(p), EDGES).distinct()
+    pending, checks = written(pairs, "nd-pairs"), p.first_checks
+    while True:
+        a, b = roots.select(F.col("node").alias("a"), F.col("root").alias("ca")), roots.select(F.col("node").alias("b"), F.col("root").alias("cb"))
+        apart = pending.select("a", "b").join(a, "a", "left").join(b, "b", "left").withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")}).where(F.col("ca") != F.col("cb"))
+        turn = F.row_number().over(Window.partitionBy("a", "cb").orderBy("b"))
+        pending = written(apart.withColumn("turn", turn), "nd-pairs")
+        if pending.isEmpty():
+            break
+        links = links.unionByName(_checked(pending.where(F.col("turn") <= checks).select("a", "ca", "b", "cb"), docs, heavy, p))
+        roots = written(components(links), "nd-roots")
+        pending, checks = pending.where(F.col("turn") > checks), checks * 8
 
     sets_of = entries.where(F.col("n") > 0).groupBy("fa", "fb").agg(F.min("doc_id").alias("least"), F.min(F.when(F.col("prefix").isNotNull(), F.col("doc_id"))).alias("node"))
     sets_of = sets_of.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
