@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import written
+from .base import small_batches, written
 
 RULES = "1"
 BASE = ("assign", "access", "hex")
@@ -90,7 +90,7 @@ def address(text) -> F.Column:
 
 def update(texts: DataFrame, ledger: DataFrame | None = None, rules: str = RULES) -> DataFrame:
     """The ledger (blob, rules, spans) after scanning what of texts (a column `text`) it lacks."""
-    blobs = texts.select("text").mapInArrow(_blobs, "blob binary, data binary")
+    blobs = small_batches(texts).select("text").mapInArrow(_blobs, "blob binary, data binary")
     if ledger is not None:
         blobs = blobs.join(ledger.where(F.col("rules") == rules).select("blob"), "blob", "left_anti")
     fresh = blobs.repartition("blob").mapInArrow(_scan, f"blob binary, spans {SPANS}").select("blob", F.lit(rules).alias("rules"), "spans")
@@ -98,11 +98,14 @@ def update(texts: DataFrame, ledger: DataFrame | None = None, rules: str = RULES
     return fresh if ledger is None else ledger.select("blob", "rules", "spans").unionByName(fresh)
 
 
-def findings(paths: DataFrame, ledger: DataFrame, rules: str = RULES) -> DataFrame:
-    """paths, every column kept, with their content's spans."""
+def _joined(paths: DataFrame, ledger: DataFrame, rules: str) -> DataFrame:
     found = ledger.where(F.col("rules") == rules).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
-    rows = paths.withColumn("__blob", address(F.col("text"))).join(found, "__blob", "left")
-    return rows.select(*[F.col(c) for c in paths.columns if c != "spans"], F.col("__spans").alias("spans"))
+    return paths.withColumn("__blob", address(F.col("text"))).join(found, "__blob", "left").drop("__blob")
+
+
+def findings(paths: DataFrame, ledger: DataFrame, rules: str = RULES) -> DataFrame:
+    """paths, every column kept but one named spans, with their content's spans."""
+    return _joined(paths, ledger, rules).drop("spans").withColumnRenamed("__spans", "spans")
 
 
 def found(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
@@ -116,18 +119,17 @@ def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at = batch.schema.get_field_index("text")
         out = []
-        for text, spans in zip(batch.column(at).to_pylist(), batch.column(batch.schema.get_field_index("spans")).to_pylist(), strict=True):
+        for text, spans in zip(batch.column(at).to_pylist(), batch.column(batch.schema.get_field_index("__spans")).to_pylist(), strict=True):
             parts, last = [], 0
             for s in spans or ():
                 if s["start"] >= last:
                     parts += [text[last : s["start"]], f"[{s['kind'].upper()}]"]
                 last = max(last, s["stop"])
             out.append(text if not spans else "".join(parts) + text[last:])
-        keep = [i for i, n in enumerate(batch.schema.names) if n != "spans"]
+        keep = [i for i, n in enumerate(batch.schema.names) if n != "__spans"]
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if i == at else batch.column(i) for i in keep], names=[batch.schema.names[i] for i in keep])
 
 
 def redacted(docs: DataFrame) -> DataFrame:
     """docs, every column kept, each secret in the text replaced by its kind in brackets."""
-    rows = findings(docs, update(docs))
-    return rows.mapInArrow(_redact, docs.schema)
+    return small_batches(_joined(docs, update(docs), RULES)).mapInArrow(_redact, docs.schema)
