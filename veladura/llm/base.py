@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +40,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """df; from now on its session sends no more than `rows` rows at once to Python, since whole texts may be long.
+    A smaller setting of the user's stays."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(BATCH, "10000")) <= rows:
+        conf.set(BATCH, str(rows))
+    return df
+
+
+def text_blocks(column, size: int = 1 << 20, rows: int = 128) -> Iterator[list[str | None]]:
+    """The texts of an Arrow column in blocks of about `size` characters, so that few of a batch's texts are Python
+    strings at a time."""
+    block, chars = [], 0
+    for at in range(0, len(column), rows):
+        for t in column.slice(at, rows).to_pylist():
+            block.append(t)
+            chars += len(t or "")
+            if chars >= size:
+                yield block
+                block, chars = [], 0
+    if block:
+        yield block
+
+
 def words_of(text: str | bytes | None) -> list[bytes]:
     """Words [^\\x20\\x09-\\x0D]+ with A-Z lower-cased: what bytes.lower and bytes.split do."""
     if not text:

@@ -20,6 +20,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .base import small_batches, text_blocks
+
 CACHE = 300_000
 SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACES = regex.compile(f"[{SPACE}]+")
@@ -164,11 +166,17 @@ def chunks_of(text: str) -> list[str]:
     return [c for c in SPACES.split(text) if c] if NOT_SPACE.search(text) else text.split()
 
 
+def in_blocks(bpe: Bpe, texts: pa.Array) -> Iterator[tuple[int, str, str]]:
+    """encode over blocks of bounded size, so that no more is split at once."""
+    for block in text_blocks(texts):
+        yield from bpe.encode(block)
+
+
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
         for batch in batches:
-            rows = bpe.encode(batch.column(1).to_pylist())
+            rows = [*in_blocks(bpe, batch.column(1))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.string(), pa.string())))],
                 names=["doc_id", "n_tokens", "ids", "decoded"],
@@ -181,10 +189,9 @@ def _digests(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
         for batch in batches:
-            rows = bpe.encode(batch.column(1).to_pylist())
-            sha = [[hashlib.sha256(r[i].encode()).hexdigest() for r in rows] for i in (1, 2)]
+            rows = [(n, *(hashlib.sha256(x.encode()).hexdigest() for x in (ids, text))) for n, ids, text in in_blocks(bpe, batch.column(1))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array(sha[0]), pa.array(sha[1])],
+                [batch.column(0), *(pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.string(), pa.string())))],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
@@ -194,10 +201,10 @@ def _digests(path: str):
 def encoded(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids (decimal, joined by one space) and the text that decoding them gives."""
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(_encode(path), f"doc_id {kind}, n_tokens long, ids string, decoded string")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(_encode(path), f"doc_id {kind}, n_tokens long, ids string, decoded string")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """As encoded, with SHA-256 digests in place of the long strings, which then never leave the task."""
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(_digests(path), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(_digests(path), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
