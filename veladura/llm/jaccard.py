@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import written
+from .base import small_batches, text_blocks, written
 from .components import components
 
 HEAVY = 1 << 62
@@ -48,7 +48,8 @@ class Params:
     heavy: int = 1 << 17
     heavy_from: int = 2
     block: int = 256
-    flush: int = 1 << 22
+    flush: int = 1 << 21
+    chars: int = 1 << 20
     bits: int = 2048
     broadcast: int = 1 << 20
     first_checks: int = 2
@@ -70,7 +71,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of BASE and of its inverse modulo 2^64."""
     have = _POWERS.get("up")
     if have is None or len(have) < n:
-        size = max(n, 1 << 16) + 1
+        size = n + (n >> 2) + 1
         for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
@@ -117,18 +118,6 @@ def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
     return out
 
 
-def blocks_of(texts: list[str | None], size: int = 1 << 21) -> Iterator[list[str | None]]:
-    block, chars = [], 0
-    for t in texts:
-        block.append(t)
-        chars += len(t or "")
-        if chars >= size:
-            yield block
-            block, chars = [], 0
-    if block:
-        yield block
-
-
 def set_bits(s: np.ndarray, bits: int) -> np.ndarray:
     """A bitmap of the set. Two sets' bitmaps differ in no more bits than the sets in members."""
     at = (s & (bits - 1)).astype(np.int64)
@@ -164,7 +153,7 @@ def heavy_shingles(docs: DataFrame, p: Params) -> tuple[np.ndarray, np.ndarray]:
             return pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(n[keep])], names=["h", "n"])
 
         for batch in batches:
-            for block in blocks_of(batch.column(0).to_pylist()):
+            for block in text_blocks(batch.column(0), p.chars):
                 held += shingle_sets(block, p.words)
                 size += sum(map(len, held[-len(block) :]))
                 if size > p.flush:
@@ -189,7 +178,7 @@ def _entries(shared, p: Params):
         seen = set()
         for batch in batches:
             rows = []
-            for s in (s for block in blocks_of(batch.column(1).to_pylist()) for s in shingle_sets(block, p.words)):
+            for s in (s for block in text_blocks(batch.column(1), p.chars) for s in shingle_sets(block, p.words)):
                 n = len(s)
                 if not n:
                     rows.append((0, 0, 0, None, None))
@@ -212,7 +201,7 @@ def _entries(shared, p: Params):
 def _sets(shared, p: Params):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [ordered(s, shared.value).tobytes() for block in blocks_of(batch.column(1).to_pylist()) for s in shingle_sets(block, p.words)]
+            out = [ordered(s, shared.value).tobytes() for block in text_blocks(batch.column(1), p.chars) for s in shingle_sets(block, p.words)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["node", "keys"])
 
     return run
@@ -391,7 +380,7 @@ def _checked(pairs: DataFrame, docs: DataFrame, heavy, p: Params) -> DataFrame:
 
 def clusters(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every document."""
-    docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = small_batches(docs).where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     heavy = docs.sparkSession.sparkContext.broadcast(heavy_shingles(docs, p))
     entries = docs.mapInArrow(_entries(heavy, p), "doc_id long, n long, fa long, fb long, prefix array<long>, bits array<long>")
     entries = written(entries.withColumn("uid", F.monotonically_increasing_id()), "nd-entries")

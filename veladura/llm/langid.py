@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .base import small_batches, text_blocks
+
 
 @dataclass(frozen=True)
 class Params:
@@ -33,7 +35,7 @@ class Params:
     per_row: int = 1200
     symbols: int = 24_000
     window: int = 512
-    block: int = 1 << 22
+    block: int = 1 << 20
 
 
 @lru_cache(1)
@@ -145,16 +147,9 @@ class Parser:
             out[i] = (self.names[first[i]], float(min(1.0, max(0.0, score))))
         return out
 
-    def answers(self, texts: list[str | None]) -> list[tuple[str, float]]:
+    def answers(self, texts: pa.Array) -> list[tuple[str, float]]:
         """In blocks of about p.block characters."""
-        out, block, chars = [], [], 0
-        for t in texts:
-            block.append(t)
-            chars += len(t or "")
-            if chars >= self.p.block:
-                out += self.answer(block)
-                block, chars = [], 0
-        return out + self.answer(block)
+        return [x for block in text_blocks(texts, self.p.block) for x in self.answer(block)]
 
 
 @lru_cache(2)
@@ -181,14 +176,14 @@ def fit(docs: DataFrame, is_training: Column, p: Params = Params()) -> tuple[tup
 def identify(docs: DataFrame, sample: tuple[tuple[str, str], ...], p: Params = Params()) -> DataFrame:
     """docs with lang_pred and score; every other column, the text included, stays."""
     shared = docs.sparkSession.sparkContext.broadcast(sample)
-    docs = docs.drop("lang_pred", "score")
+    docs = small_batches(docs).drop("lang_pred", "score")
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = parser(shared.value, p)
         for batch in batches:
-            got = own.answers(batch.column(at).to_pylist())
+            got = own.answers(batch.column(at))
             cols = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*batch.schema.names, "lang_pred", "score"])
 

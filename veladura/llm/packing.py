@@ -25,7 +25,7 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import written
+from .base import small_batches, written
 from .bpe import byte_symbols
 
 #: How byte-level vocabularies of this kind split text before merging.
@@ -144,7 +144,7 @@ def packed(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1) ->
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     kind = dict(docs.dtypes)["doc_id"]
     cols = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long"
-    pieces = docs.select("doc_id", "text").mapInArrow(_cut(path, capacity, end_id), cols)
+    pieces = small_batches(docs).select("doc_id", "text").mapInArrow(_cut(path, capacity, end_id), cols)
     pieces = pieces.withColumn("uid", F.monotonically_increasing_id())
     pieces = written(pieces.withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(SALTS)).cast("int")), "pack-pieces")
     # at most capacity x SALTS rows, whatever the input

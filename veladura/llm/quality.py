@@ -19,13 +19,16 @@ from dataclasses import dataclass
 from functools import lru_cache
 from itertools import count, repeat
 
+import unicodedata
+
 import numpy as np
 import pyarrow as pa
-import unicodedata
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .base import small_batches, text_blocks
+
 SPACE, BREAK, LOWER, UPPER, DIGIT, POINT, SYMBOL, MARKED, OTHER = range(9)
 CLASSES = 9
 SPACES = " \t\n\x0b\x0c\r"
@@ -39,7 +42,8 @@ class Params:
     word_limit: float = 0.3
     word_noise: float = 1.4
     min_words: int = 50
-    block: int = 1 << 22
+    block: int = 1 << 20
+    held: int = 250_000
 
 
 @lru_cache(1)
@@ -67,15 +71,7 @@ def char_counts(texts: list[str]) -> np.ndarray:
 
 
 def _blocks(batch: pa.RecordBatch, at: int, size: int) -> Iterator[list[str]]:
-    block, chars = [], 0
-    for t in batch.column(at).to_pylist():
-        block.append(t or "")
-        chars += len(block[-1])
-        if chars >= size:
-            yield block
-            block, chars = [], 0
-    if block:
-        yield block
+    return ([t or "" for t in block] for block in text_blocks(batch.column(at), size))
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -112,13 +108,13 @@ def fit(docs: DataFrame, p: Params = Params()) -> dict[str, tuple[np.ndarray, di
                     words[langs[at + i]].update(t.encode().lower().split())
                     chars[langs[at + i]] += own[i]
                 at += len(block)
-            if sum(map(len, words.values())) > 1_000_000:
-                yield out()
-                words.clear()
-                chars.clear()
+                if sum(map(len, words.values())) > p.held:
+                    yield out()
+                    words.clear()
+                    chars.clear()
         yield out()
 
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
+    rows = small_batches(docs).where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
     part = rows.mapInArrow(counts, "lang string, word binary, n long, cls int")
     total = part.groupBy("lang", "word", "cls").agg(F.sum("n").alias("n"))
     # Spark keeps the first ranks of each task before the shuffle, so that no task sorts a language's whole vocabulary
@@ -173,8 +169,7 @@ class Judge:
         chars, out = char_counts(texts), []
         judged, hists = [], [[] for _ in self.refs]
         for i, t in enumerate(texts):
-            if len(self.ids) > 1_000_000:
-                self.ids.clear()
+            if len(self.ids) > self.p.held:
                 self.ids = defaultdict(count().__next__)
             data = t.encode()
             words = data.split()
@@ -217,7 +212,7 @@ class Judge:
 def judged(docs: DataFrame, refs: dict, p: Params = Params()) -> DataFrame:
     """docs with RESULTS; every other column stays."""
     shared = docs.sparkSession.sparkContext.broadcast(refs)
-    docs = docs.drop(*RESULTS)
+    docs = small_batches(docs).drop(*RESULTS)
     kinds = [T.LongType()] * 5 + [T.BooleanType()] * 2 + [T.DoubleType()] * 2
     arrow = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, k) for n, k in zip(RESULTS, kinds, strict=True))])
