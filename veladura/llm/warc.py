@@ -1,9 +1,10 @@
-"""WARC archives written by Spark's text sink and read back by a salvaging reader.
+"""WARC archives written by Spark's tasks, a gzip member for each record, and read back by a salvaging reader.
 
-A record ends in CR LF CR LF, which is the sink's line separator, so that executors write whole archives
-wherever Spark can write. The reader takes plain archives and gzip members. After a failed check (version
-line, header, length, record end, block or payload digest, gzip member) it searches for the next valid member
-or version line, goes on there and reports the bytes between as a quarantined gap.
+The folder of an archive has to be shared by driver and executors: tasks write binary files, which Spark has no
+sink for. The reader takes plain archives and gzip members, also mixed. After a failed check (version line,
+header, length, record end, block or payload digest, gzip member) it searches for the next member or version
+line, whichever comes first, goes on there and reports the bytes between as a quarantined gap. Of a broken
+member the records before the fault are kept.
 
 Equal payloads, empty ones included: the one with the largest page_id is the response, the others revisit it.
 Null html is an empty payload, a null url leaves the target out, a null page_id is written as an empty id and
@@ -16,18 +17,25 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .base import small_batches
+
 END = b"\r\n\r\n"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 MEMBER = b"\x1f\x8b\x08"
+START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
+STEP = 1 << 14
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+ATTEMPTS = "_attempts"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -100,49 +108,76 @@ def salvage_plain(data: bytes, base: int = 0) -> Iterator[Record | Gap]:
 
 def salvage(data: bytes) -> Iterator[Record | Gap]:
     """Records and gaps of an archive. Places are bytes of the file (for members: of the member's start)."""
-    if not data.startswith(MEMBER) and MEMBER not in data[:64]:
-        yield from salvage_plain(data)
-        return
-    at, lost = 0, None
+    at, lost, until, drawn = 0, None, 0, set()
     while at < len(data):
-        inflate, out, bad = zlib.decompressobj(31), b"", ""
         if data.startswith(MEMBER, at):
-            try:
-                out = inflate.decompress(memoryview(data)[at:])
-                bad = "" if inflate.eof else "member without end"
-            except zlib.error:
-                bad = "broken member"
-                out = _inflated(data, at)
+            out, stop, bad = _inflated(data, at)
+            found = [*salvage_plain(out)]
+            records = [x for x in found if isinstance(x, Record)]
+            # bytes that only look like a member, or a payload that is one, stay in the gap
+            if not bad and lost and not records:
+                bad = "member without records"
+            if bad:
+                yield from (Record(x.headers, x.block, at, at) for x in records)
+                until, drawn = stop, {out[x.start : x.stop] for x in records}
+            else:
+                found = [Record(x.headers, x.block, at, stop) if isinstance(x, Record) else Gap(at, stop, x.reason) for x in found]
         else:
-            bad = "no member"
+            got = _record(data, at)
+            bad = got if isinstance(got, str) else ""
+            if not bad:
+                # a stored block shows its records as they are: they came with its broken member
+                found, stop = ([] if at < until and data[at : got.stop] in drawn else [got]), got.stop
         if bad:
-            records = [x for x in salvage_plain(out) if isinstance(x, Record)] if out else []
             lost = lost or (at, bad)
-            for x in records:
-                yield Record(x.headers, x.block, at, at)
-            following = data.find(MEMBER, at + 1)
-            at = following if following >= 0 else len(data)
+            following = START.search(data, at + 1)
+            at = following.start() if following else len(data)
             continue
         if lost:
             yield Gap(lost[0], at, lost[1])
             lost = None
-        stop = len(data) - len(inflate.unused_data)
-        for x in salvage_plain(out):
-            yield Record(x.headers, x.block, at, stop) if isinstance(x, Record) else Gap(at, stop, x.reason)
+        yield from found
         at = stop
     if lost:
         yield Gap(lost[0], len(data), lost[1])
 
 
-def _inflated(data: bytes, at: int) -> bytes:
-    """What a broken member gives before it breaks."""
-    inflate, out = zlib.decompressobj(31), []
-    for i in range(at, len(data), 4096):
+def _inflated(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """What a member gives, where it or what could be read of it ends, and what is wrong with it."""
+    inflate, out, view = zlib.decompressobj(31), [], memoryview(data)
+    try:
+        for i in range(at, len(data), STEP):
+            out.append(inflate.decompress(view[i : i + STEP]))
+            if inflate.eof:
+                return b"".join(out), min(i + STEP, len(data)) - len(inflate.unused_data), ""
+        return b"".join(out), len(data), "member without end"
+    except zlib.error:
+        return *_before_fault(view, at), "broken member"
+
+
+def _before_fault(view: memoryview, at: int) -> tuple[bytes, int]:
+    """All that a broken member gives before the fault: steps halve down to the faulty byte, whose output is drawn singly."""
+    inflate, out, step = zlib.decompressobj(31), [], STEP
+    while at < len(view):
+        kept = inflate.copy()
+        try:
+            out.append(inflate.decompress(view[at : at + step]))
+            at += step
+            continue
+        except zlib.error:
+            inflate = kept
+        if step > 1:
+            step //= 2
+            continue
         try:
-            out.append(inflate.decompress(data[i : i + 4096]))
+            rest = bytes(view[at : at + 1])
+            while piece := inflate.decompress(rest, 1):
+                out.append(piece)
+                rest = inflate.unconsumed_tail
         except zlib.error:
-            break
-    return b"".join(out)
+            pass
+        break
+    return b"".join(out), min(at, len(view))
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,8 +216,44 @@ def records(pages: DataFrame) -> DataFrame:
     )
 
 
+def _files(path: str) -> tuple[fs.FileSystem, str]:
+    path = re.sub("^file:(//)?(?=/)", "", path)
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def _write(path: str, per_file: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = _files(path)
+        names, sink, room = [], None, 0
+        try:
+            for batch in batches:
+                for record in batch.column(0):
+                    if not room:
+                        if sink:
+                            sink.close()
+                        names.append(uuid.uuid4().hex)
+                        sink, room = store.open_output_stream(f"{root}/{ATTEMPTS}/{names[-1]}", compression=None), per_file
+                    sink.write(zlib.compress(record.as_py(), wbits=31))
+                    room -= 1
+        finally:
+            if sink:
+                sink.close()
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["name"])
+
+    return run
+
+
 def write(pages: DataFrame, path: str, per_file: int = 2000) -> None:
-    records(pages).write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+    """One gzip member for each record. Tasks write under names of their own; only the files of those that Spark
+    counts as done are moved into the archive."""
+    store, root = _files(path)
+    store.create_dir(f"{root}/{ATTEMPTS}", recursive=True)
+    rows = records(small_batches(pages)).select(F.concat("record", F.lit(END.decode())).cast("binary").alias("record"))
+    names = rows.mapInArrow(_write(path, per_file), "name string").toArrow()["name"].to_pylist()
+    for i, name in enumerate(names):
+        store.move(f"{root}/{ATTEMPTS}/{name}", f"{root}/part-{i:05d}.warc.gz")
+    if not names:
+        store.open_output_stream(f"{root}/part-00000.warc.gz", compression=None).close()
 
 
 FOUND = "file string, start long, stop long, gap string, record_id string, record_type string, refers_to string, target string, payload_bytes long, payload_digest string"
