@@ -3,7 +3,7 @@
 A suffix automaton of labelled text stands for each language. A text is parsed from left to right into the
 longest phrases that occur in that language's sample; the language that needs the fewest phrases, normalised
 to bits a symbol by the sample's size, wins. Letters are lower-cased, each run of other characters is one
-separator. Phrases also end every `window` symbols: the windows of many texts are then parsed in step, one
+separator. Every letter of a sample is a symbol of its own; letters that no sample has share one that no sample has. Phrases also end every `window` symbols: the windows of many texts are then parsed in step, one
 array operation a symbol for all of them, and a long text is just many windows.
 
 The sample is bounded: at most `rows` labelled rows a language, those of smallest hash among rows drawn by
@@ -44,9 +44,8 @@ def letters() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
-def automaton(text: np.ndarray, width: int) -> np.ndarray:
-    """Dense transitions of the suffix automaton of a symbol sequence; states are multiples of width, the root
-    is `width`, 0 is none."""
+def automaton(text: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Moves of the suffix automaton of a symbol sequence, as packed() lays them out."""
     nexts: list[dict[int, int]] = [{}, {}]
     link, size = [0, 0], [0, 0]
     last = 1
@@ -75,11 +74,45 @@ def automaton(text: np.ndarray, width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = clone
         last = new
-    dense = np.zeros((len(nexts), width), np.int32)
+    return packed(nexts, width)
+
+
+def packed(nexts: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, to, root): the moves of states in one array, the rows of all states laid over each other so that no two
+    moves meet. A state is known by its row's offset, which no other has; 0 is none. State s moves by c to
+    to[s + c] where owner[s + c] is s, and nowhere otherwise. root holds the moves of state 1 by symbol. The size
+    follows the number of moves, not that of symbols."""
+    taken, offsets, at = bytearray(2 * width + 2), [0] * len(nexts), {0}
+    low, high = [0] * width, 0
+    for s in sorted(range(1, len(nexts)), key=lambda s: -len(nexts[s])):
+        moves = sorted(nexts[s])
+        first, tries = moves[0] if moves else 0, 0
+        cell = high if len(moves) > 1 else low[first]
+        while True:
+            if len(taken) <= cell + 2 * width:
+                taken.extend(bytes(len(taken)))
+            cell = taken.index(0, cell)
+            offset = cell - first
+            if offset > 0 and offset not in at and not any(taken[offset + c] for c in moves):
+                break
+            cell, tries = cell + 1, tries + 1
+        if len(moves) < 2:  # a cell that doesn't do for one move never will for the same
+            low[first] = cell
+        elif tries > 16:  # the cells passed over are left to states of one move
+            high = cell
+        offsets[s] = offset
+        at.add(offset)
+        for c in moves:
+            taken[offset + c] = 1
+    owner = np.full(max(at) + width, -1, np.int64)
+    to = np.zeros(len(owner), np.int64)
     for s, moves in enumerate(nexts):
         for c, t in moves.items():
-            dense[s, c] = t * width
-    return dense.ravel()
+            owner[offsets[s] + c], to[offsets[s] + c] = offsets[s], offsets[t]
+    root = np.zeros(width, np.int64)
+    for c, t in nexts[1].items():
+        root[c] = offsets[t]
+    return owner, to, root
 
 
 class Parser:
@@ -88,16 +121,15 @@ class Parser:
     def __init__(self, sample: tuple[tuple[str, str], ...], p: Params) -> None:
         self.p, self.names = p, [k for k, _ in sample]
         is_letter = letters()
-        used = sorted({ord(c) for _, t in sample for c in t.lower() if is_letter[ord(c)]})[:250]
+        used = sorted({ord(c) for _, t in sample for c in t.lower() if is_letter[ord(c)]})
         # 0 pads, 1 separates, 2 is a letter that no sample has
-        self.table = np.where(is_letter, 2, 1).astype(np.uint8)
-        self.table[used] = np.arange(3, 3 + len(used))
         self.width = 3 + len(used)
+        self.table = np.where(is_letter, 2, 1).astype(np.min_scalar_type(self.width))
+        self.table[used] = np.arange(3, 3 + len(used))
         self.autos, self.bits = [], []
         for _, t in sample:
             symbols = self.symbols(t)[: p.symbols]
-            auto = automaton(symbols, self.width)
-            self.autos.append((auto, auto[self.width : 2 * self.width]))
+            self.autos.append(automaton(symbols, self.width))
             self.bits.append(np.log2(max(2, len(symbols))))
 
     def symbols(self, text: str) -> np.ndarray:
@@ -107,14 +139,14 @@ class Parser:
     def phrases(self, windows: np.ndarray) -> np.ndarray:
         """Phrases in each window (a column of symbols, padded with 0) for each language."""
         n, out = windows.shape[1], np.zeros((len(self.autos), windows.shape[1]), np.int64)
-        for k, (auto, root) in enumerate(self.autos):
+        for k, (owner, to, root) in enumerate(self.autos):
             # no move leaves state 0: there a phrase begins, as it does after a symbol that the sample lacks
             state, missed = np.zeros(n, np.int64), np.zeros(n, np.int32)
             for row in windows:
-                to = auto[state + row]
-                miss = to == 0
+                at = state + row
+                miss = owner[at] != state
                 missed += miss & (row != 0)
-                state = np.where(miss, root[row], to).astype(np.int64)
+                state = np.where(miss, root[row], to[at])
             out[k] += missed
         return out
 
@@ -125,12 +157,12 @@ class Parser:
         w, parts, owner = self.p.window, [], []
         sizes = np.zeros(len(texts), np.int64)
         for i, t in enumerate(texts):
-            s = self.symbols(t) if t else np.zeros(0, np.uint8)
+            s = self.symbols(t) if t else np.zeros(0, self.table.dtype)
             if not (s >= 2).any():
                 continue
             sizes[i] = len(s)
             pad = -len(s) % w
-            parts.append(np.concatenate((s, np.zeros(pad, np.uint8))))
+            parts.append(np.concatenate((s, np.zeros(pad, self.table.dtype))))
             owner += [i] * ((len(s) + pad) // w)
         if not parts:
             return out
