@@ -54,7 +54,12 @@ def filter_end_of_day(spark, sf_dir):
 
 @query("filter_in", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderkey % 10 = 0")
 def filter_in(spark, sf_dir):
-    return orders(spark, sf_dir).where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH") & (F.col("o_orderkey") % 10 == 0)).select("o_orderkey", "o_orderstatus")
+    return filter_in_whole(spark, sf_dir).where("o_orderkey % 10 = 0")
+
+
+@query("filter_in_whole", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')")
+def filter_in_whole(spark, sf_dir):
+    return orders(spark, sf_dir).where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).select("o_orderkey", "o_orderstatus")
 
 
 @query("filter_not_in", "SELECT o_orderstatus, count(*)::BIGINT AS n FROM orders WHERE o_orderstatus NOT IN ('F') AND o_orderdate IS NOT NULL GROUP BY 1")
@@ -114,10 +119,20 @@ def join_inner(spark, sf_dir):
     "(SELECT user_id, round(sum(value), 2) AS balance FROM events WHERE event_type = 'purchase' GROUP BY 1) ON c_custkey = user_id ORDER BY place LIMIT 50",
 )
 def left_join_balance(spark, sf_dir):
+    top = left_join_balance_whole(spark, sf_dir).limit(50)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(F.col("balance").desc_nulls_last(), "c_custkey")))
+
+
+@query(
+    "left_join_balance_whole",
+    "SELECT c_custkey, balance FROM customer LEFT JOIN "
+    "(SELECT user_id, round(sum(value), 2) AS balance FROM events WHERE event_type = 'purchase' GROUP BY 1) ON c_custkey = user_id ORDER BY balance DESC NULLS LAST, c_custkey",
+)
+def left_join_balance_whole(spark, sf_dir):
+    """Every user, in order; the sort keys stand for the place number."""
     credit = events(spark, sf_dir).where("event_type = 'purchase'").groupBy("user_id").agg(F.round(F.sum("value"), 2).alias("balance"))
     rows = customers(spark, sf_dir).join(credit, F.col("c_custkey") == F.col("user_id"), "left").select("c_custkey", "balance")
-    top = rows.orderBy(F.col("balance").desc_nulls_last(), "c_custkey").limit(50)
-    return top.withColumn("place", F.row_number().over(Window.orderBy(F.col("balance").desc_nulls_last(), "c_custkey")))
+    return rows.orderBy(F.col("balance").desc_nulls_last(), "c_custkey")
 
 
 @query("semi_assigned", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
@@ -282,12 +297,22 @@ def topk_recent(spark, sf_dir):
     "SELECT o_orderkey, row_number() OVER (ORDER BY CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 ELSE 2 END, o_orderdate ASC NULLS LAST, o_orderkey)::INTEGER AS place FROM orders QUALIFY place <= 100",
 )
 def case_rank_order(spark, sf_dir):
-    rank = F.when(F.col("o_orderpriority") == "1-URGENT", 0).when(F.col("o_orderpriority") == "2-HIGH", 1).otherwise(2)
     keys = [F.col("rank"), F.col("o_orderdate").asc_nulls_last(), F.col("o_orderkey")]
-    top = orders(spark, sf_dir).withColumn("rank", rank).orderBy(*keys).limit(100)
+    top = case_rank_order_whole(spark, sf_dir).limit(100)
     return top.withColumn("place", F.row_number().over(Window.orderBy(*keys))).select("o_orderkey", "place")
 
 
+@query(
+    "case_rank_order_whole",
+    "SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 ELSE 2 END AS rank, o_orderdate FROM orders ORDER BY rank, o_orderdate ASC NULLS LAST, o_orderkey",
+)
+def case_rank_order_whole(spark, sf_dir):
+    """Every order, in order; the sort keys stand for the place number."""
+    rank = F.when(F.col("o_orderpriority") == "1-URGENT", 0).when(F.col("o_orderpriority") == "2-HIGH", 1).otherwise(2)
+    rows = orders(spark, sf_dir).select("o_orderkey", rank.alias("rank"), "o_orderdate")
+    return rows.orderBy("rank", F.col("o_orderdate").asc_nulls_last(), "o_orderkey")
+
+
 @query("latest_per_user", "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1")
 def latest_per_user(spark, sf_dir):
     return events(spark, sf_dir).groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
