@@ -65,3 +65,36 @@ def test_paragraph_chunks(spark):
     assert " ".join(row.c).split() == text.split()
     short = spark.createDataFrame([("x",)], "t string").select(templates.paragraphs(F.col("t")).alias("c")).first()
     assert short.c == ["x"]
+
+
+def test_streams_over_several_batches(spark, tmp_path):
+    """One file a micro-batch: a window that several batches touch comes once, with all of its events."""
+    import datetime
+
+    from veladura.streaming import logs
+
+    at = datetime.datetime(2024, 1, 1, 12)
+    for i in range(3):
+        rows = [(10 * i + j, 7, at + datetime.timedelta(seconds=i * 10 + j), "a", 1.0, False) for j in range(3)]
+        spark.createDataFrame(rows, "id long, key long, ts timestamp, kind string, value double, success boolean").coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    stream = lambda: spark.readStream.schema("id long, key long, ts timestamp, kind string, value double, success boolean").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    got = logs.drained(logs.tumbling(stream(), "1 day"), "update", spark, "t", ("start", "kind")).collect()
+    assert [(r.n, r.total) for r in got] == [(9, 9.0)]
+    bad = logs.drained(logs.failures(stream(), "1 day", "1 day", "10 minutes", 5), "update", spark, "f", ("key", "start", "stop")).collect()
+    assert [r.failures for r in bad] == [9]
+    calls = logs.drained(logs.limited(stream(), 4, 60), "append", spark, "l").collect()
+    assert {r.id for r in calls if r.accepted} == {0, 1, 2, 10} and len(calls) == 9
+
+
+def test_training_examples_round_trip(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "DNI 12345678 y S/ 20.50"), (2, "nada")], "doc_id long, text string")
+    records = documents.training_records(docs)
+    documents.write_jsonl(records, f"{tmp_path}/out")
+    back = {r.text: [tuple(e) for e in r.entities] for r in documents.jsonl(spark, f"{tmp_path}/out").collect()}
+    assert back == {"DNI 12345678 y S/ 20.50": [(4, 12, "DNI"), (15, 23, "MONTO")], "nada": []}
+
+
+def test_documents_written_and_read(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "docx", "a\nb", ["a", "b"]), (2, "docx", "sin bloques", None), (3, "txt", None, None)], "doc_id long, ext string, text string, blocks array<string>")
+    got = {r.path: r.text for r in documents.extracted(documents.write_documents(docs, f"{tmp_path}/o")).collect()}
+    assert got == {"1.docx": "a\nb", "2.txt": "sin bloques", "3.txt": ""}

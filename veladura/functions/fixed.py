@@ -141,7 +141,8 @@ PERSON_TRIGGERS = (
     "declarante", "cónyuge", "esposo", "esposa", "conviviente", "representante", "apoderado", "apoderada", "solicitante",
     "invitado", "invitada", "acreedor", "acreedora", "deudor", "deudora", "denunciante", "denunciado", "denunciada",
     "imputado", "imputada", "procesado", "procesada", "agraviado", "agraviada", "víctima", "victima", "actor", "actora",
-    "patrocinante", "patrocinado", "patrocinada", "defendido", "defendida", "investigado", "investigada", "hermano", "hermana",
+    "demandado(a)", "demandante(s)", "patrocinante", "patrocinado", "patrocinada", "defendido", "defendida", "investigado",
+    "investigada", "hermano", "hermana", "suscrito por", "suscrita por",
 )
 
 # --- fixed values: contexts -----------------------------------------------------------------------------------
@@ -216,3 +217,131 @@ PRE_REDACT = (
 )
 PRE_REDACT_DNI = r"\b(\d{8})\b"
 PRE_REDACT_DNI_AFTER = ("s/", "us$", "$", "soles", "artículo", "art.", "ley", "decreto")
+
+# --- fixed values: institutions, boards, sections, addresses, names on their own --------------------------------
+INSTITUTIONS = (
+    r"JUZGADO|SALA|CORTE\s+SUPERIOR|PODER\s+JUDICIAL|FISCAL[IÍ]A|MINISTERIO\s+P[ÚU]BLICO|DEFENSOR[IÍ]A\s+DEL\s+PUEBLO|SUNARP|"
+    r"REGISTROS\s+P[ÚU]BLICOS|REGISTRO\s+PERSONAL|REGISTRO\s+VEHICULAR|RENIEC|RNP|REGISTRO\s+NACIONAL|MUNICIPALIDAD|GOBIERNO\s+REGIONAL|"
+    r"MINISTERIO|SUPERINTENDENCIA|SBS|OSIPTEL|OSINERGMIN|SUNAT|INDECOPI|MIGRACIONES|NOTAR[IÍ]A|NOTARIO|COLEGIO\s+DE\s+NOTARIOS|"
+    r"CENTRO\s+DE\s+CONCILIACI[ÓO]N|CONCILIADOR|PNP|POLIC[IÍ]A\s+NACIONAL|COMISAR[IÍ]A"
+)
+FOLLOWING = r"[A-ZÁÉÍÓÚÑ0-9&“”\"().,\-]+(?:\s+[A-ZÁÉÍÓÚÑ0-9&“”\"().,\-]+){1,8}"
+COURTS = (
+    "juzgado", "sala", "tribunal", "corte superior", "corte suprema", "poder judicial", "fiscalía", "fiscalia", "ministerio público",
+    "ministerio publico", "defensoría del pueblo", "defensoria del pueblo",
+)
+ASSOCIATIONS = ("CAL", "CALN", "CAC", "CAA", "ICAP", "ICAL", "ICAC", "ICAA", "CAH", "ICAI", "CAJ", "ICAT")
+ASSOCIATION = r"\b([A-Z](?:\.?[A-Z]){1,5}\.?)\s*[:\-]?\s*([A-ZÁÉÍÓÚÑ&“”\"().,\-]+(?:\s+[A-ZÁÉÍÓÚÑ&“”\"().,\-]+){1,5})\b"
+HEADINGS = (
+    "DATOS DEL DEMANDANTE", "DATOS DE LA DEMANDANTE", "DATOS DEL DEMANDADO", "DATOS DE LA DEMANDADA", "DATOS DE LOS SOLICITANTES",
+    "DATOS DE LAS SOLICITANTES", "DATOS DEL SOLICITANTE", "DATOS DE LA SOLICITANTE", "DATOS DEL INVITADO", "DATOS DE LA INVITADA",
+    "DATOS PERSONALES", "DATOS GENERALES",
+)
+SECTION = r"[:\s]*((?s:.{50,500}?))(?=\n\n|\n[A-Z]{2,}|\nI{1,3}\.|\n\d+[.)-])"
+SECTION_NAME = r"([A-ZÁÉÍÓÚÑ][a-záéíóúñ]+(?:\s+[A-ZÁÉÍÓÚÑ][a-záéíóúñ]+){1,3})"
+SECTION_DNI = r"\b(\d{8})\b"
+ADDRESS_WORDS = (
+    r"\bAv(?:enida)?\.?\s+|\bJr(?:\.|\.|irón)?\s+|\bCalle\s+|\bPsje(?:\.|Pasaje)?\s+|\bMz(?:\.|anzana)?\s+|\bLt(?:\.|ote)?\s+|"
+    r"\bUrb(?:\.|anizaci[oó]n)?\s+|\bAA\.?HH\.?\s+|\bP\.?J\.?\s+|\bN[°oº]?\s*\d+|\bBloque\s+|\bPiso\s+|\bInt(?:erior)?\.?\s*|\bDpto\.?\s*"
+)
+ADDRESS = rf"(?:{ADDRESS_WORDS})[A-Za-záéíóúñÁÉÍÓÚÑ0-9\s,.\-°º#]+(?=[\.\n,;]|$)"
+ADDRESS_BREAK = r"(?<=[\.;])\s+(?=[A-ZÁÉÍÓÚÑ])"
+ADDRESS_GOES_ON = (
+    "departamento", "departamento.", "depto", "depto.", "interior", "int.", "oficina", "of.", "piso", "bloque", "urb.", "urbanización",
+    "urbanizacion", "distrito", "provincia", "lima",
+)
+NAMED = (
+    r"((?:[A-ZÁÉÍÓÚÑ][a-záéíóúñ]+|[A-ZÁÉÍÓÚÑ]{2,})(?:\s+(?:de\s+(?:la\s+|los\s+|las\s+)?|del\s+)?(?:[A-ZÁÉÍÓÚÑ][a-záéíóúñ]+|[A-ZÁÉÍÓÚÑ]{2,})){1,5})"
+    r"\s*,?\s*(?i:identificad[oa]\s+con\s+(?:DNI|D\.?N\.?I\.?|documento)\s*(?:n[°oº]?\s*)?[:\s]*)(\d{8})"
+)
+LOOSE_NAME = (
+    r"([A-ZÁÉÍÓÚÑ][A-Za-zÁÉÍÓÚÑáéíóúñ]+(?:\s+(?:de|del|la|los|las))?(?:\s+[A-ZÁÉÍÓÚÑ][A-Za-zÁÉÍÓÚÑáéíóúñ]+){1,5})"
+)
+IDENTIFIED = LOOSE_NAME + r"\s*,?\s*(?i:identificad[oa]\s+con\s+(?:D\.?\s*N\.?\s*I\.?|DNI|documento\s+de\s+identidad))"
+ALONE = (r"^(?:REMITENTE|DESTINATARIO)\s*:?\s*\n" + LOOSE_NAME + r"\s*$", r"^Atentamente,?\s*\n" + LOOSE_NAME + r"\s*$")
+CAPITAL_LINE = r"^\s*([A-ZÁÉÍÓÚÑ]{2,}(?:\s+(?:DE|DEL|LA|LOS|LAS|Y))?(?:\s+[A-ZÁÉÍÓÚÑ]{2,}){1,4})\s*$"
+LEGAL_CAPITALS = (
+    "PETITORIO", "FUNDAMENTOS", "PRUEBAS", "ANEXOS", "HECHOS", "DEMANDA", "SUMILLA", "PRETENSION", "PRETENSIÓN", "OTROSÍ", "MINISTERIO",
+    "PODER", "JUDICIAL", "TRIBUNAL", "JUZGADO", "SALA", "FISCALÍA", "FISCALIA", "SOLICITA", "INTERPONE", "EXPEDIENTE", "CASILLA",
+    "ARTÍCULO", "CONSIDERANDO", "RESOLUCIÓN", "PRIMERO", "SEGUNDO", "TERCERO",
+)
+HARD = (
+    "PENSION", "PENSIÓN", "ALIMENTOS", "REDUCCION", "REDUCCIÓN", "MONTO", "SITUACION", "SITUACIÓN", "ECONOMICA", "ECONÓMICA", "PETITORIO",
+    "FUNDAMENTOS", "HECHOS", "ANEXOS", "PRUEBAS", "PRETENSION", "PRETENSIÓN",
+)
+
+# --- fixed values: emergency redaction ------------------------------------------------------------------------
+HARD_REDACT = (
+    (r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", "{{EMAIL_REDACT}}"),
+    (r"\b\d{8}\b", "{{DNI_REDACT}}"),
+    (r"\b(?:10|20)\d{9}\b", "{{RUC_REDACT}}"),
+    (r"\+51[\s\-]?9[\d\s\-]{8,12}|9\d{8}", "{{TEL_REDACT}}"),
+    (r"(?:C\.?A\.?L\.?|CAL|CMP|CIP)[\s:N°º]*\d{4,6}", "{{COLEGIATURA_REDACT}}"),
+)
+EMAIL_SAFETY = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+
+# --- fixed values: the evaluator ------------------------------------------------------------------------------
+EVAL_MONEY = r"(?:S/\.?|US?\$|\%|soles|dólares)"
+
+# --- fixed values: the older detector -------------------------------------------------------------------------
+OLD_MONEY = ("s/", "s/.", "us$", "$", "soles", "dólares", "dolares", "monto", "suma", "pago", "pen", "usd")
+OLD_CASE = r"\b[0-9]{5}-[0-9]{4}-[0-9]-[0-9]{4}-[A-Z]{2}-[A-Z]{2}-[0-9]{2}\b"
+OLD_MAILBOX = r"\bcasilla\s+(?:electr[oó]nica\s+)?(?:n[°oº]?\s*)?[0-9]+\b"
+OLD_COURT = (
+    r"\b(?:[0-9]+[°ºo]?\s*)?juzgado\s+(?:de\s+)?(?:paz\s+letrado|familia|civil|penal|laboral|mixto|comercial)"
+    r"(?:\s+(?:de\s+)?[A-Za-záéíóúñÁÉÍÓÚÑ]+){0,4}"
+)
+OLD_RUC = r"\b[12][0-9]{10}\b"
+OLD_DNI = r"\b[0-9]{8}\b"
+OLD_EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
+OLD_PHONES = (r"\+51\s?9[0-9]{8}\b", r"\b9[0-9]{8}\b", r"\b0[1-9][0-9]\s?[0-9]{6,7}\b", r"\([0-9]{2,3}\)\s?[0-9]{6,7}\b")
+OLD_ADDRESS_WORDS = (
+    r"\bAv(?:enida)?\.?\s+|\bJr(?:\.|irón)?\s+|\bCalle\s+|\bPsje(?:\.|Pasaje)?\s+|\bMz(?:\.|anzana)?\s+|\bLt(?:\.|ote)?\s+|"
+    r"\bDpto(?:\.|Departamento)?\s+|\bUrb(?:\.|anizaci[oó]n)?\s+|\bAA\.?HH\.?\s+|\bP\.?J\.?\s+|\bDistrito\s+(?:de\s+)?|\bProvincia\s+(?:de\s+)?"
+)
+OLD_ADDRESS = rf"(?:{OLD_ADDRESS_WORDS})[A-Za-záéíóúñÁÉÍÓÚÑ0-9\s,.\-°º#]+(?=[\.\n,;]|$)"
+OLD_NAME = (
+    r"(?:(?:señor|señora|sr\.|sra\.)\s+|(?:don|doña)\s+|(?:el|la)\s+(?:demandante|demandado|demandada)\s+|"
+    r"(?:el|la)\s+(?:solicitante|invitado|invitada)\s+|identificad[oa]\s+con\s+(?:DNI|documento)|(?:abogad[oa]|letrad[oa])\s+|"
+    r"(?:el|la)\s+(?:menor|menores?)\s+|(?:madre|padre|hijo|hija)\s+|(?:cónyuge|esposo|esposa)\s+|(?:testigo|perito)\s+)"
+    r"([A-ZÁÉÍÓÚÑ][a-záéíóúñ]+(?:\s+[A-ZÁÉÍÓÚÑ][a-záéíóúñ]+){1,4})"
+)
+OLD_CAPITALS = r"\b([A-ZÁÉÍÓÚÑ]{2,}(?:\s+[A-ZÁÉÍÓÚÑ]{2,}){1,4})\b"
+OLD_TITLE_CASE = r"\b([A-ZÁÉÍÓÚÑ][a-záéíóúñ]+(?:\s+(?:de\s+(?:la\s+)?)?[A-ZÁÉÍÓÚÑ][a-záéíóúñ]+){1,4})\b"
+OLD_RECORD = r"\b(?:acta\s+(?:de\s+)?(?:conciliaci[oó]n|audiencia|constataci[oó]n|inspecci[oó]n)?)\s*(?:n[°oº]?\s*)?[0-9]+[-/]?[0-9]*\b"
+OLD_ENTITIES = (
+    r"\b(?:banco|caja|financiera|cooperativa)\s+[A-Za-záéíóúñÁÉÍÓÚÑ\s]+(?:\s+S\.?A\.?(?:\.?C\.?)?)?",
+    r"\b[A-Z][A-Za-záéíóúñÁÉÍÓÚÑ\s&]+\s+(?:S\.A\.C?\.?|S\.R\.L\.?|E\.I\.R\.L\.?|S\.A\.A\.?)\b",
+    r"\b(?:notaría|notaria)\s+(?:de\s+)?[A-Za-záéíóúñÁÉÍÓÚÑ\s]+\b",
+)
+OLD_ACCOUNTS = (
+    r"\b(?:cuenta|cta\.?)\s*(?:de\s+ahorros?|corriente)?\s*(?:n[°oº]?\s*)?[0-9]{10,20}\b",
+    r"\b(?:CCI|cci)\s*[:.]?\s*[0-9]{20}\b",
+    r"\b[0-9]{3}[-\s]?[0-9]{3}[-\s]?[0-9]{10,14}\b",
+)
+OLD_PLATE = r"\b(?:placa\s+(?:de\s+rodaje\s+)?)?[A-Z]{3}[-\s]?[0-9]{3}\b"
+OLD_SIGNATURES = (
+    r"(?:firma(?:do)?|firmante|suscrit[oa])[:.\s]+[^\n]{0,50}", r"_{5,}", r"/s/\s*[A-Za-záéíóúñÁÉÍÓÚÑ\s]+",
+    r"(?:FIRMADO\s+(?:POR|DIGITALMENTE))[^\n]*",
+)
+OLD_SEALS = (r"(?:sello|sellado)[:.\s]+[^\n]{0,50}", r"\[SELLO[^\]]*\]")
+OLD_PRINTS = (r"(?:huella\s+(?:digital|dactilar))[:.\s]*[^\n]{0,30}", r"\[HUELLA[^\]]*\]")
+OLD_HOMES = (
+    r"domicilio\s+(?:real|procesal|legal|fiscal|actual)\s*[:\s]+([^;.\n]+)",
+    r"(?:con\s+)?domicilio\s+(?:en|sito\s+en)\s*[:\s]*([^;.\n]+)",
+    r"reside\s+en\s*[:\s]*([^;.\n]+)",
+    r"ubicad[oa]\s+en\s*[:\s]*([^;.\n]+)",
+    r"dirección\s*[:\s]+([^;.\n]+)",
+)
+OLD_MORE_ADDRESS_WORDS = (
+    r"\bAv(?:enida)?\.?\s+|\bAVENIDA\s+|\bJr(?:\.|irón)?\s+|\bJIRON\s+|\bCalle\s+|\bPsje(?:\.|Pasaje)?\s+|\bPASAJE\s+|"
+    r"\bMz(?:\.|anzana)?\s+|\bMANZANA\s+|\bLt(?:\.|ote)?\s+|\bLOTE\s+|\bDpto(?:\.|Departamento)?\s+|\bDEPARTAMENTO\s+|"
+    r"\bUrb(?:\.|anizaci[oó]n)?\s+|\bURBANIZACION\s+|\bURBANIZACIÓN\s+|\bAA\.?HH\.?\s+|\bP\.?J\.?\s+|\bDistrito\s+(?:de\s+)?|"
+    r"\bProvincia\s+(?:de\s+)?|\bN[°oº]?\s*\d+|\bNro\.?\s*\d+|\bBloque\s+|\bPiso\s+\d+|\bPISO\s+|\bInt(?:erior)?\.?\s*\d+"
+)
+OLD_MORE_ADDRESS = rf"(?:{OLD_MORE_ADDRESS_WORDS})[A-Za-záéíóúñÁÉÍÓÚÑ0-9\s,.\-°º#]+(?=[\.\n,;]|$)"
+OLD_MORE_PHONES = (
+    r"\+51\s*[-\s]?\s*9\d{2}\s*[-\s]?\s*\d{3}\s*[-\s]?\s*\d{3}\b", r"\+51\s*9\d{8}\b", r"\b9\d{2}\s*[-\s]?\s*\d{3}\s*[-\s]?\s*\d{3}\b",
+    r"\b9\d{8}\b", r"\(01\)\s*\d{3}\s*[-\s]?\s*\d{4}\b", r"\b01\s*[-\s]?\s*\d{3}\s*[-\s]?\s*\d{4}\b", r"\(\d{2,3}\)\s*\d{6,7}\b",
+)
+OLD_PHONE_TOLD = r"(?:teléfono|telefono|celular|cel\.?|móvil|movil|fono)\s*[:\s]?\s*(\+?\d[\d\s\-\(\)]{7,15})"

@@ -1,17 +1,153 @@
-"""Native span columns: arrays of struct<start, stop, value> with code-point offsets, built from Spark's own expressions."""
+"""Spans of patterns as columns: arrays of struct<start, stop, value> with code-point offsets, stop exclusive.
+
+One Arrow function looks for all patterns of a table in one pass over each text and gives offsets and groups as
+Python's own regular expressions see them; it knows nothing of what the patterns mean. The rules about what
+stands around a match, and all that is done with matches, are Spark's expressions over its result.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+import re
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+DIGITS = "0-9"
 SPAN = "array<struct<start:int,stop:int,value:string>>"
+MATCH = "array<struct<rule:int,start:int,stop:int,value:string,key:string>>"
+
+
+@dataclass(frozen=True)
+class Find:
+    """A pattern to look for. `value` is the group whose text is given, `place` the groups that the span begins and ends
+    with, `key` a group whose text comes along. `anchors` are folded words with one of which every match begins (DIGITS
+    stands for the places where digits begin): only there is the pattern tried. `hints` are folded words one of which every text with a match holds: texts
+    without any are passed over. `inside` is a pattern whose groups 1 are the texts to look in."""
+
+    pattern: str
+    value: int = 1
+    place: tuple[int, int] = (0, 0)
+    key: int | None = None
+    ignore_case: bool = False
+    multiline: bool = False
+    anchors: tuple[str, ...] = ()
+    hints: tuple[str, ...] = ()
+    inside: Find | None = None
+
+    @property
+    def flags(self) -> int:
+        return (re.I if self.ignore_case else 0) | (re.M if self.multiline else 0)
+
+
+@lru_cache(512)
+def _compiled(pattern: str, flags: int) -> re.Pattern:
+    return re.compile(pattern, flags)
+
+
+def folded(text: str) -> str:
+    """Lower case such that whatever a pattern may match regardless of case is found as plain lower case."""
+    return text.lower() if text.isascii() else text.replace("İ", "i").replace("ı", "i").casefold()
+
+
+class Scanned:
+    """One text on its way past the patterns: its folded form, where digits begin, what each pattern matched."""
+
+    def __init__(self, text: str):
+        self.text, self.fold = text, folded(text)
+        self.digits: list[int] | None = None
+        self.seen: dict[tuple, list[tuple[re.Match, int]]] = {}
+
+    def begins(self, anchors: tuple[str, ...]) -> list[int]:
+        at = set()
+        for word in anchors:
+            if word == DIGITS:
+                if self.digits is None:
+                    self.digits = [m.start() for m in _compiled(r"\d+", 0).finditer(self.text)]
+                at.update(self.digits)
+                continue
+            i = self.fold.find(word)
+            while i >= 0:
+                at.add(i)
+                i = self.fold.find(word, i + 1)
+        return sorted(at)
+
+    def search(self, find: Find) -> Iterator[re.Match]:
+        """What finditer gives, with the pattern tried at its anchors only."""
+        pattern = _compiled(find.pattern, find.flags)
+        if not find.anchors or len(self.fold) != len(self.text):
+            yield from pattern.finditer(self.text)
+            return
+        free = 0
+        for at in self.begins(find.anchors):
+            if at >= free and (m := pattern.match(self.text, at)):
+                yield m
+                free = m.end()
+
+    def places(self, find: Find) -> list[tuple[re.Match, int]]:
+        """Matches with the place in the text that their own offsets count from; one search a pattern."""
+        if find.hints and not any(h in self.fold for h in find.hints):
+            return []
+        key = (find.pattern, find.flags, find.inside)
+        if key not in self.seen:
+            if find.inside is None:
+                self.seen[key] = [(m, 0) for m in self.search(find)]
+            else:
+                inner = _compiled(find.pattern, find.flags)
+                self.seen[key] = [(m, o.start(1)) for o, _ in self.places(find.inside) for m in inner.finditer(o[1])]
+        return self.seen[key]
+
+
+def matches(finds: tuple[Find, ...]) -> Callable[[Column], Column]:
+    """A function of a text column: all matches, pattern after pattern, with the pattern's place in the table as rule."""
+
+    @F.arrow_udf(MATCH)
+    def run(texts: pa.Array) -> pa.Array:
+        rule, start, stop, value, key, ends = [], [], [], [], [], [0]
+        for scalar in texts:
+            text = scalar.as_py()
+            if text:
+                scanned = Scanned(text)
+                for i, find in enumerate(finds):
+                    for m, at in scanned.places(find):
+                        rule.append(i)
+                        start.append(at + m.start(find.place[0]))
+                        stop.append(at + m.end(find.place[1]))
+                        value.append(m[find.value])
+                        key.append(None if find.key is None else m[find.key])
+            ends.append(len(rule))
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string())
+        cols = [pa.array(c, k) for c, k in zip((rule, start, stop, value, key), kinds, strict=True)]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(cols, names=["rule", "start", "stop", "value", "key"]))
+
+    return run
+
+
+@lru_cache(256)
+def _one(find: Find) -> Callable[[Column], Column]:
+    return matches((find,))
+
+
+def plain(found: Column) -> Column:
+    """Matches as spans."""
+    return F.transform(found, lambda m: F.struct(m["start"].alias("start"), m["stop"].alias("stop"), m["value"].alias("value")))
+
+
+def spans(text: Column, *finds: Find) -> Column:
+    """The spans of some patterns, pattern after pattern. Null texts have none."""
+    return plain(_one(finds[0])(text) if len(finds) == 1 else matches(finds)(text))
+
+
+def strip(text: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
 def java(pattern: str, ignore_case: bool = False, multiline: bool = False) -> str:
-    """The pattern under the rules of Python: Unicode classes, only \\n ends a line."""
+    """The pattern for Spark's own regular expressions under the rules of Python: Unicode classes, only \\n ends a line."""
     return f"(?Ud{'iu' if ignore_case else ''}{'m' if multiline else ''}){pattern}"
 
 
@@ -19,27 +155,6 @@ def empty() -> Column:
     return F.array().cast(SPAN)
 
 
-def spans(text: Column, pattern: str, group: int = 1, at: str = "match") -> Column:
-    """All matches. value is the group's text; the span is the whole match (`match`), or that of a group that the
-    match ends (`last`) or begins (`first`) with. Offsets are prefix sums over what lies between the matches, in
-    one fold over the matches."""
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    gaps = F.slice(F.split(text, pattern, -1), 1, F.size(whole))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        stop = start + F.length(x["whole"])
-        a = stop - F.length(x["value"]) if at == "last" else start
-        b = start + F.length(x["value"]) if at == "first" else stop
-        one = F.struct(a.alias("start"), b.alias("stop"), x["value"].alias("value"))
-        return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
-
-    zipped = F.arrays_zip(whole.alias("whole"), value.alias("value"), gaps.alias("gap"))
-    folded = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), empty().alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), folded).otherwise(empty())
-
-
 def before(text: Column, span: Column, n: int) -> Column:
     """Up to n characters that precede the span."""
     start = F.greatest(span["start"] - n, F.lit(0))
@@ -68,3 +183,11 @@ def keep(array: Column, test: Callable[[Column], Column]) -> Column:
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value) with the value computed once, however often it is used."""
     return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def settled(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with columns computed once for each row, however often later columns use them: a generator of one element is
+    a place that the optimizer neither copies expressions through nor moves Python functions past."""
+    one = F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))).alias("__settled")
+    kept = [c for c in rows.columns if c not in columns]
+    return rows.select(*kept, one).select(*kept, "__settled.*")

@@ -1,12 +1,22 @@
-"""The audit: a second, independent set of detectors for what anonymization left, its repair and the scores."""
+"""The audit: a second, independent set of detectors for what anonymization left, its repair, the gate and the scores.
+
+All of it works on one document at a time: leaks are an array, repair is a fold over it, so that nothing is shuffled
+and no text is read twice.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veladura.functions import fixed as X
-from veladura.functions.spans import around, before, after, has_any, java, keep, spans
+from veladura.functions.spans import DIGITS, Find, after, around, before, has_any, matches, plain, settled, spans, strip
+
+from . import filters, tokens
+from .merge import merged
 
 LEAK = "array<struct<type:string,value:string,start:int,stop:int,seq:int>>"
 
@@ -22,108 +32,200 @@ def _money(text: Column, span: Column, n: int = 40) -> Column:
 
 
 def _is_date(value: Column) -> Column:
-    part = lambda a, n: F.substring(value, a, n).cast("int")
-    return part(1, 4).between(1900, 2100) & part(5, 2).between(1, 12) & part(7, 2).between(1, 31)
+    part = lambda a, n: F.substring(value, a, n).try_cast("int")
+    return F.coalesce(part(1, 4).between(1900, 2100) & part(5, 2).between(1, 12) & part(7, 2).between(1, 31), F.lit(False))
 
 
-def dni(text: Column) -> Column:
-    told = lambda s: has_any(F.lower(before(text, s, 50)), X.DNI_CONTEXT)
-    legal = lambda s: has_any(F.lower(before(text, s, 30)), X.LEGAL_NUMBERS)
-    got = spans(text, java(r"\b(\d{8})\b"))
-    return keep(got, lambda s: _free(text, s) & ~_is_date(s["value"]) & (told(s) | ~(_money(text, s) | legal(s))))
+def _dni(text: Column, m: Column) -> Column:
+    told = has_any(F.lower(before(text, m, 50)), X.DNI_CONTEXT)
+    legal = has_any(F.lower(before(text, m, 30)), X.LEGAL_NUMBERS)
+    return _free(text, m) & ~_is_date(m["value"]) & (told | ~(_money(text, m) | legal))
 
 
-def email(text: Column) -> Column:
-    return keep(spans(text, java(X.AUDIT_EMAIL, True)), lambda s: ~s["value"].rlike(X.TOKEN) & ~F.lower(s["value"]).rlike(r"example\.com|test\.com"))
+def _plate(text: Column, m: Column) -> Column:
+    near = has_any(F.lower(before(text, m, 50)), X.AUDIT_VEHICLE) | has_any(F.lower(after(text, m, 50)), X.AUDIT_VEHICLE)
+    return _free(text, m) & near & (F.length(F.regexp_replace(m["value"], "[- ]", "")) >= 5)
 
 
-def phone(text: Column) -> Column:
-    every = F.array_distinct(F.concat(*(spans(text, java(p)) for p in X.AUDIT_PHONES)))
-    return keep(every, lambda s: _free(text, s) & ~_money(text, s))
+def _clear(n: int = 20) -> Callable[[Column, Column], Column]:
+    return lambda text, m: _free(text, m, n) & ~F.contains(m["value"], F.lit("{{"))
 
 
-def ruc(text: Column) -> Column:
-    return keep(spans(text, java(X.AUDIT_RUC)), lambda s: _free(text, s) & F.contains(F.lower(before(text, s, 30)), F.lit("ruc")))
+@dataclass(frozen=True)
+class Finder:
+    finds: tuple[Find, ...]
+    test: Callable[[Column, Column], Column]
+    #: each `value` or each `span` once, or `every`
+    once: str = "value"
 
 
-def plate(text: Column) -> Column:
-    near = lambda s: has_any(F.lower(before(text, s, 50)), X.AUDIT_VEHICLE) | has_any(F.lower(after(text, s, 50)), X.AUDIT_VEHICLE)
-    tight = lambda s: F.length(F.regexp_replace(s["value"], "[- ]", "")) >= 5
-    return keep(spans(text, java(X.AUDIT_PLATE, True)), lambda s: _free(text, s) & near(s) & tight(s))
+def _plain(*patterns: str, anchors: tuple[tuple[str, ...], ...] = (), hints: tuple[str, ...] = (), value: int = 0, ignore_case: bool = True) -> tuple[Find, ...]:
+    words = anchors or ((),) * len(patterns)
+    return tuple(Find(p, value, (value, value), ignore_case=ignore_case, anchors=a, hints=hints) for p, a in zip(patterns, words, strict=True))
 
 
-def _by_value(array: Column) -> Column:
-    """The first span of each value."""
-    known = lambda acc, s: F.exists(acc, lambda k: k["value"] == s["value"])
-    return F.aggregate(array, F.array().cast("array<struct<start:int,stop:int,value:string>>"), lambda acc, s: F.when(known(acc, s), acc).otherwise(F.concat(acc, F.array(s))))
+COURT_WORDS = ("juzgado", "tribunal", "sala", "corte", "fiscal")
+CASES = ((DIGITS,), ("exp", "proceso"))
+STREETS = (("calle", "av", "jr", "jir", "psje", "pasaje", "alameda", "malec"), ("mz", "manzana"))
+PHONES = (("+51",), (DIGITS,), (DIGITS,), ("(",), (DIGITS,), (DIGITS,))
+FINDERS: dict[str, Finder] = {
+    "DNI": Finder(_plain(r"\b(\d{8})\b", value=1, ignore_case=False, anchors=((DIGITS,),)), _dni, "every"),
+    "EMAIL": Finder(_plain(X.AUDIT_EMAIL, value=1, hints=("@",)), lambda t, m: ~m["value"].rlike(X.TOKEN) & ~F.lower(m["value"]).rlike(r"example\.com|test\.com"), "every"),
+    "TELEFONO": Finder(_plain(*X.AUDIT_PHONES, value=1, ignore_case=False, anchors=PHONES), lambda t, m: _free(t, m) & ~_money(t, m), "span"),
+    "COLEGIATURA": Finder(_plain(X.AUDIT_LICENSED, anchors=(("ca", "c.a", "cm", "ci", "cp", "colegi", "n"),)), lambda t, m: _free(t, m), "every"),
+    "RUC": Finder(_plain(X.AUDIT_RUC, value=1, ignore_case=False, anchors=((DIGITS,),)), lambda t, m: _free(t, m) & F.contains(F.lower(before(t, m, 30)), F.lit("ruc")), "every"),
+    "DIRECCION": Finder(_plain(*X.AUDIT_ADDRESSES, anchors=STREETS), _clear(10)),
+    "ACTA_REGISTRO": Finder(_plain(X.AUDIT_RECORD, anchors=(("acta", "n", "registro", "constancia", "documento", "expediente"),)), _clear()),
+    "PLACA": Finder(_plain(X.AUDIT_PLATE, value=1), _plate, "every"),
+    "EXPEDIENTE": Finder(_plain(*X.AUDIT_CASES, anchors=CASES), _clear()),
+    "RESOLUCION": Finder(_plain(X.AUDIT_RULING, anchors=(("resoluci", "auto", "oficio", "informe"),)), _clear()),
+    "PARTIDA": Finder(_plain(X.AUDIT_REGISTRY, anchors=(("partida", "sunarp", "asiento", "tomo", "ficha", "folio"),)), _clear()),
+    "CASILLA": Finder(_plain(*X.AUDIT_MAILBOXES, anchors=(("casilla",), ("mesa",))), _clear()),
+    "JUZGADO": Finder(_plain(X.AUDIT_COURT, hints=COURT_WORDS), lambda t, m: _clear()(t, m) & (F.length(m["value"]) >= 10)),
+}
 
 
-def _plain(text: Column, patterns: tuple[str, ...], n: int = 20, group: int = 0) -> Column:
-    parts = [spans(text, java(p, True), group) for p in patterns]
-    return keep(F.concat(*parts) if len(parts) > 1 else parts[0], lambda s: _free(text, s, n) & ~F.contains(s["value"], F.lit("{{")))
+def court_kind(value: Column) -> Column:
+    low = F.lower(value)
+    return F.when(F.contains(low, F.lit("tribunal")), "TRIBUNAL").when(F.contains(low, F.lit("sala")), "SALA").when(F.contains(low, F.lit("fiscal")), "FISCALIA").otherwise("JUZGADO")
 
 
-def courts(text: Column) -> Column:
-    got = keep(_plain(text, (X.AUDIT_COURT,)), lambda s: F.length(F.trim(s["value"])) >= 10)
-    return _by_value(F.transform(got, lambda s: s.withField("value", F.trim(s["value"]))))
+def leaks(text: Column, *kinds: str) -> Column:
+    """All leaks, finder after finder; each finder gives a value or a span once where it says so."""
+    asked = [(k, f) for k, f in FINDERS.items() if not kinds or k in kinds]
+    number = [i for i, (_, f) in enumerate(asked) for _ in f.finds]
+    found = matches(tuple(x for _, f in asked for x in f.finds))(text)
+    of = lambda m, what: F.element_at(filters.listed(tuple(str(what(i)) for i in number)), m["rule"] + 1)
 
+    def fits(m: Column) -> Column:
+        out = None
+        for i, (_, f) in enumerate(asked):
+            here = m["rule"].isin(*(r for r, n in enumerate(number) if n == i))
+            out = F.when(here, f.test(text, m)) if out is None else out.when(here, f.test(text, m))
+        return out
 
-def court_kind(value: Column) -> Column:
-    low = F.lower(value)
-    return F.when(F.contains(low, F.lit("tribunal")), "TRIBUNAL").when(F.contains(low, F.lit("sala")), "SALA").when(F.contains(low, F.lit("fiscal")), "FISCALIA").otherwise("JUZGADO")
+    def leak(m: Column) -> Column:
+        kind = of(m, lambda i: asked[i][0])
+        named = F.when(kind == "JUZGADO", court_kind(m["value"])).otherwise(kind)
+        return F.struct(named.alias("type"), m["value"].alias("value"), m["start"].alias("start"), m["stop"].alias("stop"), of(m, lambda i: i).alias("finder"), of(m, lambda i: asked[i][1].once).alias("once"))
 
+    trimmed = F.transform(found, lambda m: m.withField("value", F.when(of(m, lambda i: asked[i][0]) == "JUZGADO", strip(m["value"])).otherwise(m["value"])))
+    rows = F.transform(F.filter(trimmed, fits), leak)
+    same = lambda a, b: (a["finder"] == b["finder"]) & F.when(a["once"] == "value", a["value"] == b["value"]).otherwise((a["start"] == b["start"]) & (a["stop"] == b["stop"]))
+    first = lambda every: F.filter(every, lambda a, i: (a["once"] == "every") | ~F.exists(F.slice(every, 1, i), lambda b: same(a, b)))
+    once = F.element_at(F.transform(F.array(rows), first), 1)
+    out = lambda a, i: F.struct(a["type"].alias("type"), a["value"].alias("value"), a["start"].alias("start"), a["stop"].alias("stop"), i.alias("seq"))
+    return F.transform(once, out).cast(LEAK)
+
+
+def find(text: Column, kind: str) -> Column:
+    """The spans of one finder."""
+    return plain(leaks(text, kind))
 
-FINDERS = {
-    "DNI": dni,
-    "EMAIL": email,
-    "TELEFONO": phone,
-    "COLEGIATURA": lambda t: _plain(t, (X.AUDIT_LICENSED,)),
-    "RUC": ruc,
-    "DIRECCION": lambda t: _by_value(_plain(t, X.AUDIT_ADDRESSES, 10)),
-    "ACTA_REGISTRO": lambda t: _by_value(_plain(t, (X.AUDIT_RECORD,))),
-    "PLACA": plate,
-    "EXPEDIENTE": lambda t: _by_value(_plain(t, X.AUDIT_CASES)),
-    "RESOLUCION": lambda t: _by_value(_plain(t, (X.AUDIT_RULING,))),
-    "PARTIDA": lambda t: _by_value(_plain(t, (X.AUDIT_REGISTRY,))),
-    "CASILLA": lambda t: _by_value(_plain(t, X.AUDIT_MAILBOXES)),
-    "JUZGADO": courts,
-}
 
+FIX = "array<struct<start:int,stop:int,value:string,type:string,number:int,token:string>>"
 
-def _named(found: Column, kind: str, layer: int) -> Column:
-    name = (lambda s: court_kind(s["value"])) if kind == "JUZGADO" else (lambda s: F.lit(kind))
-    return F.transform(
-        found,
-        lambda s, k: F.struct(name(s).alias("type"), s["value"].alias("value"), s["start"].alias("start"), s["stop"].alias("stop"), (k + 1000 * layer).alias("seq")),
-    ).cast(LEAK)
 
+def _fixes(text: Column, found: Column, first: int) -> Column:
+    """A token for each of a document's disjoint leaks, counted from the end of the text: one for each value (of the type
+    that has it first), within its type on from the numbers that the text already holds, else from `first`."""
 
-def leaks(text: Column) -> Column:
-    """All leaks, finder after finder."""
-    return F.concat(*(_named(find(text), kind, i) for i, (kind, find) in enumerate(FINDERS.items())))
+    def used(kind: Column) -> Column:
+        return F.array_max(F.transform(F.regexp_extract_all(text, F.concat(F.lit(r"\{\{"), kind, F.lit(r"_(\d{1,9})\}\}")), F.lit(1)), lambda x: x.cast("int")))
+
+    def step(acc: Column, e: Column) -> Column:
+        known = F.get(F.filter(acc, lambda k: k["value"] == e["value"]), F.lit(0))
+        last = F.array_max(F.transform(F.filter(acc, lambda k: k["type"] == e["type"]), lambda k: k["number"]))
+        kind = F.coalesce(known["type"], e["type"])
+        number = F.coalesce(known["number"], F.coalesce(last, used(e["type"]), F.lit(first - 1)) + 1)
+        token = F.concat(F.lit("{{"), kind, F.lit("_"), number, F.lit("}}"))
+        one = F.struct(e["start"].alias("start"), e["stop"].alias("stop"), e["value"].alias("value"), kind.alias("type"), number.alias("number"), token.alias("token"))
+        return F.concat(acc, F.array(one).cast(FIX))
+
+    return F.aggregate(F.reverse(found), F.array().cast(FIX), step)
 
 
 def fixed(docs: DataFrame, first: int = 100) -> DataFrame:
-    """docs (doc_id, text) with fixed_text, leaks_found, remaining and is_safe.
-
-    Overlapping leaks are merged first; each value gets one token, counted from the end of the text within its type
-    and on from the numbers that the text already holds."""
-    from .merge import merged
-    from .tokens import replaced_at
-
-    rows = docs.select("doc_id", "text", leaks(F.col("text")).alias("leaks"))
-    rows = rows.withColumn("clean", merged(F.col("leaks"), LEAK))
-    one = rows.select("doc_id", "text", F.explode("clean").alias("e")).select("doc_id", "text", "e.*")
-    used = F.array_max(F.transform(F.regexp_extract_all("text", F.concat(F.lit(r"\{\{"), "type", F.lit(r"_(\d+)\}\}")), F.lit(1)), lambda x: x.cast("int")))
-    last = Window.partitionBy("doc_id", "value")
-    one = one.withColumn("own", F.first("type").over(last.orderBy(F.col("start").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    one = one.withColumn("late", F.max("start").over(last)).withColumn("used", F.coalesce(used, F.lit(first - 1)))
-    number = F.dense_rank().over(Window.partitionBy("doc_id", "own").orderBy(F.col("late").desc()))
-    one = one.withColumn("token", F.concat(F.lit("{{"), "own", F.lit("_"), F.col("used") + number, F.lit("}}")))
-    got = one.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop", "token")).alias("spans"))
-    out = rows.join(got, "doc_id", "left").withColumn("fixed_text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(replaced_at(F.col("text"), F.col("spans"))))
-    out = out.withColumn("remaining", F.size(leaks(F.col("fixed_text"))))
-    return out.select("doc_id", "text", "fixed_text", F.size("leaks").alias("leaks_found"), "remaining", (F.col("remaining") == 0).alias("is_safe"))
+    """docs (doc_id, text, others kept) with fixed_text, leaks_found, fixes, remaining and is_safe.
+
+    Overlapping leaks are merged first, so that no repair splices into another. Each scan is a stage of its own over
+    columns already computed: leaks, then tokens, then the fixed text, then what is left in it."""
+    rows = settled(docs, __leaks=leaks(F.col("text")))
+    rows = settled(rows, __fixes=_fixes(F.col("text"), merged(F.col("__leaks"), LEAK), first))
+    rows = settled(rows, fixed_text=F.when(F.size("__fixes") == 0, F.col("text")).otherwise(tokens.replaced_at(F.col("text"), F.col("__fixes"))))
+    rows = settled(rows, remaining=F.size(leaks(F.col("fixed_text"))))
+    rows = rows.withColumns({"leaks_found": F.size("__leaks"), "fixes": F.size("__fixes"), "is_safe": F.col("remaining") == 0})
+    return rows.drop("__leaks", "__fixes")
+
+
+def warnings(row: str = "") -> Column:
+    """What an audit has to say, from the columns of `fixed`."""
+    c = lambda n: F.col(f"{row}{n}")
+    unsafe = F.concat(F.lit("CRITICAL: "), c("remaining"), F.lit(" leaks could not be auto-fixed"))
+    fixes = F.concat(F.lit("Applied "), c("fixes"), F.lit(" emergency auto-fixes"))
+    every = F.array(F.when(c("remaining") > 0, unsafe), F.when(c("remaining") > 0, F.lit("DOCUMENT MARKED AS NOT SAFE - manual review required")), F.when(c("fixes") > 0, fixes))
+    return F.filter(every, lambda w: w.isNotNull())
+
+
+def repaired(docs: DataFrame, rounds: int = 2) -> DataFrame:
+    """docs (doc_id, text) after up to `rounds` rounds of audit and repair, each on what the one before left: text,
+    leaks_found and is_safe of the last round. A text that is safe stays as it is, so that a round more changes nothing."""
+    rows = docs.select("*", F.lit(0).alias("__found"), F.lit(False).alias("__safe"))
+    for i in range(rounds):
+        done = fixed(docs if i == 0 else rows)
+        found = F.col("leaks_found") if i == 0 else F.col("__found")
+        kept = [F.col("fixed_text" if c == "text" else c).alias(c) for c in docs.columns]
+        rows = done.select(*kept, found.alias("__found"), F.col("is_safe").alias("__safe"))
+    return rows.withColumnRenamed("__found", "leaks_found").withColumnRenamed("__safe", "is_safe")
+
+
+def gated(docs: DataFrame, rounds: int = 2, strict: bool = True, force: bool = False) -> DataFrame:
+    """The gate before a document leaves: rounds of repair, then (strict and not forced) hard redaction of what is not yet
+    safe and one more look. Columns: text, is_safe, hard (whether it was redacted hard), remaining, verdict (`safe`,
+    `forced`, `blocked`)."""
+    rows = repaired(docs, rounds).drop("leaks_found", "is_safe")
+    rows = settled(rows, __left=F.size(leaks(F.col("text"))))
+    hard = (F.col("__left") > 0) & F.lit(strict and not force)
+    rows = settled(rows, __text=F.when(hard, tokens.hard_redacted(F.col("text"))).otherwise(F.col("text")))
+    rows = rows.withColumn("hard", F.col("__text") != F.col("text")).drop("text").withColumnRenamed("__text", "text")
+    rows = settled(rows, __again=F.size(leaks(F.col("text"))))
+    rows = rows.withColumn("remaining", F.when(F.col("hard"), F.col("__again")).otherwise(F.col("__left"))).drop("__left", "__again")
+    verdict = F.when(F.col("remaining") == 0, "safe").when(F.lit(force), "forced").otherwise("blocked")
+    return rows.withColumns({"is_safe": F.col("remaining") == 0, "verdict": verdict})
+
+
+# --- the evaluator --------------------------------------------------------------------------------------------
+
+EVAL_EMAIL = Find(X.OLD_EMAIL, 0, ignore_case=True, hints=("@",))
+EVAL_DNI = Find(X.OLD_DNI, 0)
+EVAL_PHONE = Find(r"(?:\+51\s*)?9[0-9]{8}\b", 0)
+EVAL = (("DNI", "high"), ("EMAIL", "high"), ("TELEFONO", "medium"))
+
+
+def potential_leaks(text: Column) -> Column:
+    """array<struct<type, severity, value, position>> of what an anonymized text may still hold: identity numbers far from
+    tokens and money, addresses, phones."""
+    found = matches((EVAL_DNI, EVAL_EMAIL, EVAL_PHONE))(text)
+    near = lambda m: around(text, m, 30)
+    fits = lambda m: F.when(m["rule"] == 0, ~near(m).rlike(X.TOKEN) & ~near(m).rlike(f"(?iu){X.EVAL_MONEY}")).otherwise(~m["value"].rlike(X.TOKEN))
+    name = lambda m, i: F.element_at(F.array(*(F.lit(e[i]) for e in EVAL)), m["rule"] + 1)
+    return F.transform(F.filter(found, fits), lambda m: F.struct(name(m, 0).alias("type"), name(m, 1).alias("severity"), m["value"].alias("value"), m["start"].alias("position")))
+
+
+def identifiers(text: Column) -> Column:
+    """How many identity numbers, addresses and phones the evaluator counts in an original text."""
+    return F.size(spans(text, EVAL_DNI, EVAL_EMAIL, EVAL_PHONE))
+
+
+def over_anonymized(value: Column) -> Column:
+    """struct<reason, severity> of a person's value that should have stayed, or null."""
+    why = lambda r, s: F.struct(F.lit(r).alias("reason"), F.lit(s).alias("severity"))
+    return (
+        F.when(filters.whitelisted(value), why("whitelist_violation", "high"))
+        .when(filters.is_title(value), why("legal_title_tokenized", "high"))
+        .when(filters.has_verb(value), why("contains_legal_verb", "medium"))
+        .when(F.size(filters.words(value)) > 5, why("too_many_words", "low"))
+    )
 
 
 def scores(found: Column, leaked: Column, replaced: Column, over: Column) -> list[Column]:
@@ -131,3 +233,22 @@ def scores(found: Column, leaked: Column, replaced: Column, over: Column) -> lis
     recall = F.when(found > 0, F.greatest(F.lit(0.0), (found - leaked) / found)).otherwise(1.0)
     precision = F.when(replaced > 0, F.greatest(F.lit(0.0), 1 - over / replaced)).otherwise(1.0)
     return [F.round(c, 4).alias(n) for n, c in (("privacy_recall", recall), ("precision", precision), ("final_score", 0.7 * recall + 0.3 * precision))]
+
+
+def evaluated(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, original, anonymized, applied array<struct<type, value>>) with one report a document: counts, scores
+    rounded to four places, the first ten leaks and cases of too much, warnings."""
+    persons = F.transform(F.filter("applied", lambda e: e["type"] == "PERSONA"), lambda e: F.struct(e["value"].alias("value"), over_anonymized(e["value"]).alias("why")))
+    rows = settled(rows, __leaks=potential_leaks(F.col("anonymized")), __found=identifiers(F.col("original")), __over=F.filter(persons, lambda p: p["why"].isNotNull()))
+    rows = rows.select("*", *scores(F.col("__found"), F.size("__leaks"), F.size("applied"), F.size("__over")))
+    told = F.filter(
+        F.array(
+            F.when(F.col("privacy_recall") < 0.95, F.lit("low_recall")), F.when(F.col("precision") < 0.90, F.lit("low_precision")),
+            F.when(F.size("__leaks") > 0, F.concat(F.size("__leaks"), F.lit(" potential leaks"))),
+        ),
+        lambda w: w.isNotNull(),
+    )
+    return rows.select(
+        "doc_id", F.col("__found").alias("detected"), F.size("applied").alias("replaced"), F.size("__leaks").alias("leak_count"), F.size("__over").alias("over_count"),
+        "privacy_recall", "precision", "final_score", F.slice("__leaks", 1, 10).alias("potential_leaks"), F.slice("__over", 1, 10).alias("potential_over"), told.alias("warnings"),
+    )

@@ -1,165 +1,224 @@
-"""Detectors of institutions, boards, sections and standalone names, and the older scoring detector for persons."""
+"""The older detector: patterns with guards that look at what was found before, scored names, claims by priority.
+
+Everything is an array of struct<type, value, start, stop, confidence, seq> over one document, made of Spark's
+expressions over the matches of one pass; guards and claims are folds in the order in which the patterns speak.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veladura.functions import fixed as X
 from veladura.functions import lexicon as L
-from veladura.functions.spans import after, before, has_any, java, keep, spans
+from veladura.functions.spans import Find, after, before, has_any, keep, let, matches, spans, strip
 
-from . import filters
+from . import filters, merge
 
-# --- fixed values: institutions -------------------------------------------------------------------------------
-INSTITUTIONS = (
-    r"JUZGADO|SALA|CORTE\s+SUPERIOR|PODER\s+JUDICIAL|FISCAL[IÍ]A|MINISTERIO\s+P[ÚU]BLICO|DEFENSOR[IÍ]A\s+DEL\s+PUEBLO|SUNARP|"
-    r"REGISTROS\s+P[ÚU]BLICOS|REGISTRO\s+PERSONAL|REGISTRO\s+VEHICULAR|RENIEC|RNP|REGISTRO\s+NACIONAL|MUNICIPALIDAD|GOBIERNO\s+REGIONAL|"
-    r"MINISTERIO|SUPERINTENDENCIA|SBS|OSIPTEL|OSINERGMIN|SUNAT|INDECOPI|MIGRACIONES|NOTAR[IÍ]A|NOTARIO|COLEGIO\s+DE\s+NOTARIOS|"
-    r"CENTRO\s+DE\s+CONCILIACI[ÓO]N|CONCILIADOR|PNP|POLIC[IÍ]A\s+NACIONAL|COMISAR[IÍ]A"
-)
-FOLLOWING = r"[A-ZÁÉÍÓÚÑ0-9&“”\"().,\-]+(?:\s+[A-ZÁÉÍÓÚÑ0-9&“”\"().,\-]+){1,8}"
-COURTS = (
-    "juzgado", "sala", "tribunal", "corte superior", "corte suprema", "poder judicial", "fiscalía", "fiscalia", "ministerio público",
-    "ministerio publico", "defensoría del pueblo", "defensoria del pueblo",
-)
-BOARDS = ("CAL", "CALN", "CAC", "CAA", "ICAP", "ICAL", "ICAC", "ICAA", "CAH", "ICAI", "CAJ", "ICAT")
-BOARD_NAME = r"\b([A-Z](?:\.?[A-Z]){1,5}\.?)\s*[:\-]?\s*([A-ZÁÉÍÓÚÑ&“”\"().,\-]+(?:\s+[A-ZÁÉÍÓÚÑ&“”\"().,\-]+){1,5})\b"
-HEADINGS = (
-    "DATOS DEL DEMANDANTE", "DATOS DE LA DEMANDANTE", "DATOS DEL DEMANDADO", "DATOS DE LA DEMANDADA", "DATOS DE LOS SOLICITANTES",
-    "DATOS DE LAS SOLICITANTES", "DATOS DEL SOLICITANTE", "DATOS DE LA SOLICITANTE", "DATOS DEL INVITADO", "DATOS DE LA INVITADA",
-    "DATOS PERSONALES", "DATOS GENERALES",
-)
-ADDRESS_WORDS = (
-    r"\bAv(?:enida)?\.?\s+|\bJr(?:\.|\.|irón)?\s+|\bCalle\s+|\bPsje(?:\.|Pasaje)?\s+|\bMz(?:\.|anzana)?\s+|\bLt(?:\.|ote)?\s+|"
-    r"\bUrb(?:\.|anizaci[oó]n)?\s+|\bAA\.?HH\.?\s+|\bP\.?J\.?\s+|\bN[°oº]?\s*\d+|\bBloque\s+|\bPiso\s+|\bInt(?:erior)?\.?\s*|\bDpto\.?\s*"
+OLD = "array<struct<type:string,value:string,start:int,stop:int,confidence:double,seq:int>>"
+RANKED = "array<struct<type:string,value:string,start:int,stop:int,confidence:double,seq:int,rank:int>>"
+TOKEN = Find(r"\{\{[^}]+\}\}", 0)
+
+
+def tokens_in(text: Column) -> Column:
+    """Placeholders that the text already holds."""
+    return spans(text, TOKEN)
+
+
+def overlaps(a: Column, b: Column) -> Column:
+    return (a["start"] < b["stop"]) & (b["start"] < a["stop"])
+
+
+def outside(found: Column, taken: Column) -> Column:
+    """Spans that overlap none of the taken ones."""
+    free = lambda both: keep(both["found"], lambda s: ~F.exists(both["taken"], lambda t: overlaps(s, t)))
+    return let(F.struct(found.alias("found"), taken.alias("taken")), free)
+
+
+def sanitized(text: Column) -> Column:
+    return F.translate(text, "\u0000\u000b\u000c", "   ")
+
+
+def no_name(value: Column) -> Column:
+    return F.forall(filters.words(F.upper(value)), lambda w: F.array_contains(filters.listed(L.OLD_NO_NAMES), w))
+
+
+def money_before(text: Column, span: Column) -> Column:
+    return has_any(F.lower(before(text, span, 20)), X.OLD_MONEY)
+
+
+def date_after(text: Column, span: Column) -> Column:
+    """Two digits after a slash or a dash."""
+    return F.lower(strip(after(text, span, 15))).rlike(r"(?U)^[/\-]\d(?:\d|$)")
+
+
+@dataclass(frozen=True)
+class Old:
+    type: str
+    finds: tuple[Find, ...]
+    confidence: float
+    #: `any`: always; `start`: nothing begins at the same place; `cross`: no end of it lies in what is there; `clear`: no overlap
+    guard: str = "any"
+    least: int = 0
+    most: int = 1 << 30
+    test: str = ""
+
+
+def _old(kind: str, patterns: tuple[str, ...], confidence: float, guard: str = "any", ignore_case: bool = True, value: int = 0, place: tuple[int, int] = (0, 0), hints: tuple[str, ...] = (), **more) -> Old:
+    return Old(kind, tuple(Find(p, value, place, ignore_case=ignore_case, hints=hints) for p in patterns), confidence, guard, **more)
+
+
+#: Patterns in the order in which they speak.
+REGEX = (
+    _old("EXPEDIENTE", (X.OLD_CASE,), 0.95),
+    _old("CASILLA", (X.OLD_MAILBOX,), 0.95, hints=("casilla",)),
+    _old("JUZGADO", (X.OLD_COURT,), 0.90, hints=("juzgado",)),
+    _old("RUC", (X.OLD_RUC,), 0.90, ignore_case=False, test="money"),
+    _old("DNI", (X.OLD_DNI,), 0.85, ignore_case=False, test="money and date"),
+    _old("EMAIL", (X.OLD_EMAIL,), 0.95, ignore_case=False, hints=("@",)),
+    _old("TELEFONO", X.OLD_PHONES, 0.85, "start", ignore_case=False),
+    _old("DIRECCION", (X.OLD_ADDRESS,), 0.75, least=11),
+    _old("PERSONA", (X.OLD_NAME,), 0.80, value=1, place=(1, 1), least=6, test="name"),
+    _old("PERSONA", (X.OLD_CAPITALS,), 0.60, "cross", ignore_case=False, value=1, test="two to five"),
+    _old("ACTA", (X.OLD_RECORD,), 0.90, hints=("acta",)),
+    _old("ENTIDAD", X.OLD_ENTITIES[:1], 0.85, "start", least=6, hints=("banco", "caja", "financiera", "cooperativa")),
+    _old("ENTIDAD", X.OLD_ENTITIES[1:2], 0.85, "start", least=6, hints=("s.a", "s.r.l", "e.i.r.l")),
+    _old("ENTIDAD", X.OLD_ENTITIES[2:], 0.85, "start", least=6, hints=("notar",)),
+    _old("CUENTA", X.OLD_ACCOUNTS, 0.90, "start"),
+    _old("PLACA", (X.OLD_PLATE,), 0.90),
+    _old("FIRMA", X.OLD_SIGNATURES, 0.70, "start", hints=("firma", "suscrit", "_____", "/s/")),
+    _old("SELLO", X.OLD_SEALS, 0.70, "start", hints=("sell",)),
+    _old("HUELLA", X.OLD_PRINTS, 0.70, "start", hints=("huella",)),
 )
-ADDRESS = rf"(?:{ADDRESS_WORDS})[A-Za-záéíóúñÁÉÍÓÚÑ0-9\s,.\-°º#]+(?=[\.\n,;]|$)"
-NAMED = (
-    r"((?:[A-ZÁÉÍÓÚÑ][a-záéíóúñ]+|[A-ZÁÉÍÓÚÑ]{2,})(?:\s+(?:de\s+(?:la\s+|los\s+|las\s+)?|del\s+)?(?:[A-ZÁÉÍÓÚÑ][a-záéíóúñ]+|[A-ZÁÉÍÓÚÑ]{2,})){1,5})"
-    r"\s*,?\s*(?i:identificad[oa]\s+con\s+(?:DNI|D\.?N\.?I\.?|documento)\s*(?:n[°oº]?\s*)?[:\s]*)(\d{8})"
+ADDRESSES = (
+    _old("DIRECCION", X.OLD_HOMES, 0.90, "start", value=1, least=11, most=299),
+    _old("DIRECCION", (X.OLD_MORE_ADDRESS,), 0.80, "clear", least=9),
 )
-ALONE = (
-    r"([A-ZÁÉÍÓÚÑ][A-Za-zÁÉÍÓÚÑáéíóúñ]+(?:\s+(?:de|del|la|los|las))?(?:\s+[A-ZÁÉÍÓÚÑ][A-Za-zÁÉÍÓÚÑáéíóúñ]+){1,5})(?=\s*$)"
+PHONES = (
+    _old("TELEFONO", X.OLD_MORE_PHONES, 0.90, "start", ignore_case=False, test="seven"),
+    _old("TELEFONO", (X.OLD_PHONE_TOLD,), 0.90, "start", value=1, test="seven"),
 )
-CAPITAL_LINE = r"^\s*([A-ZÁÉÍÓÚÑ]{2,}(?:\s+(?:DE|DEL|LA|LOS|LAS|Y))?(?:\s+[A-ZÁÉÍÓÚÑ]{2,}){1,4})(?=\s*$)"
-LEGAL_CAPITALS = (
-    "PETITORIO", "FUNDAMENTOS", "PRUEBAS", "ANEXOS", "HECHOS", "DEMANDA", "SUMILLA", "PRETENSION", "PRETENSIÓN", "OTROSÍ", "MINISTERIO",
-    "PODER", "JUDICIAL", "TRIBUNAL", "JUZGADO", "SALA", "FISCALÍA", "FISCALIA", "SOLICITA", "INTERPONE", "EXPEDIENTE", "CASILLA",
-    "ARTÍCULO", "CONSIDERANDO", "RESOLUCIÓN", "PRIMERO", "SEGUNDO", "TERCERO",
-)
-HARD = (
-    "PENSION", "PENSIÓN", "ALIMENTOS", "REDUCCION", "REDUCCIÓN", "MONTO", "SITUACION", "SITUACIÓN", "ECONOMICA", "ECONÓMICA", "PETITORIO",
-    "FUNDAMENTOS", "HECHOS", "ANEXOS", "PRUEBAS", "PRETENSION", "PRETENSIÓN",
-)
-OLD_MONEY = ("s/", "us$", "$", "soles", "dólares", "dolares", "monto", "suma", "pago", "pen", "usd")
-
-
-def excluded(value: Column) -> Column:
-    """Whether a value is no name: an excluded word, or of two words or more 60 in 100 excluded or one hard."""
-    words = F.regexp_extract_all(F.upper(value), F.lit("[A-ZÁÉÍÓÚÑ]+"), F.lit(0))
-    hits = F.size(F.filter(words, lambda w: F.array_contains(F.lit(list(L.EXCLUDED)), w)))
-    many = (F.size(words) >= 2) & ((hits >= 0.6 * F.size(words)) | F.arrays_overlap(words, F.lit(list(HARD))))
-    return (F.trim(value) == "") | F.array_contains(F.lit(list(L.EXCLUDED)), filters.normal(value)) | many
-
-
-def institutions(text: Column) -> Column:
-    """Trigger and name: one span for courts, two for all others."""
-
-    def of(gap: str) -> Column:
-        trigger, name = (spans(text, java(rf"\b({INSTITUTIONS}){gap}({FOLLOWING})\b", True), g, at) for g, at in ((1, "first"), (2, "last")))
-        pairs = F.arrays_zip(trigger.alias("t"), name.alias("n"))
-        court = lambda p: F.lower(F.trim(p["t"]["value"])).isin(*COURTS)
-        whole = lambda p: F.struct(
-            p["t"]["start"].alias("start"), p["n"]["stop"].alias("stop"), F.substring(text, p["t"]["start"] + 1, p["n"]["stop"] - p["t"]["start"]).alias("value")
-        )
-        return F.flatten(F.transform(pairs, lambda p: F.when(court(p), F.array(whole(p))).otherwise(F.array(p["t"], p["n"]))))
 
-    return F.array_sort(F.array_distinct(F.concat(of(r"\s+"), of(r"\s*[:\-]\s*"))))
 
+def by_rules(text: Column, rules: tuple[Old, ...]) -> Column:
+    """What some patterns find outside placeholders, each guarded by what was found before it."""
+    number = [r for r in range(len(rules)) for _ in rules[r].finds]
+    found = matches(tuple(f for r in rules for f in r.finds))(text)
+    of = lambda m, what: F.element_at(filters.listed(tuple(str(what(rules[r])) for r in number)), m["rule"] + 1)
+
+    def fits(m: Column) -> Column:
+        v, kind = m["value"], of(m, lambda r: r.test)
+        n = F.size(filters.words(v))
+        test = (
+            F.when(kind == "money", ~money_before(text, m))
+            .when(kind == "money and date", ~money_before(text, m) & ~date_after(text, m))
+            .when(kind == "name", F.contains(v, F.lit(" ")) & ~no_name(v))
+            .when(kind == "two to five", n.between(2, 5) & ~no_name(v))
+            .when(kind == "seven", F.length(F.regexp_replace(v, r"(?U)[\s\-()]", "")) >= 7)
+            .otherwise(True)
+        )
+        long = F.length(v).between(of(m, lambda r: r.least).cast("int"), of(m, lambda r: r.most).cast("int"))
+        return long & test
+
+    def step(acc: Column, m: Column) -> Column:
+        guard = of(m, lambda r: r.guard)
+        ends = lambda e: ((e["start"] <= m["start"]) & (m["start"] < e["stop"])) | ((e["start"] < m["stop"]) & (m["stop"] <= e["stop"]))
+        clash = (
+            F.when(guard == "start", F.exists(acc, lambda e: e["start"] == m["start"]))
+            .when(guard == "cross", F.exists(acc, ends))
+            .when(guard == "clear", F.exists(acc, lambda e: overlaps(e, m)))
+            .otherwise(False)
+        )
+        one = F.struct(
+            of(m, lambda r: r.type).alias("type"), m["value"].alias("value"), m["start"].alias("start"), m["stop"].alias("stop"),
+            of(m, lambda r: r.confidence).cast("double").alias("confidence"), F.size(acc).alias("seq"),
+        )
+        return F.when(clash, acc).otherwise(F.concat(acc, F.array(one).cast(OLD)))
 
-def boards(text: Column) -> Column:
-    """A bar association's short form and the name after it."""
-    short, name = (spans(text, java(BOARD_NAME), g, at) for g, at in ((1, "first"), (2, "last")))
-    known = F.filter(F.arrays_zip(short.alias("s"), name.alias("n")), lambda p: F.upper(F.regexp_replace(p["s"]["value"], "[. ]", "")).isin(*BOARDS))
-    return F.flatten(F.transform(known, lambda p: F.array(p["s"], p["n"])))
+    trimmed = F.transform(found, lambda m: m.withField("value", strip(m["value"])))
+    return F.aggregate(keep(outside(trimmed, tokens_in(text)), fits), F.array().cast(OLD), step)
 
 
-def addresses(text: Column) -> Column:
-    """Addresses that begin with a word for a street or plot."""
-    return keep(spans(text, java(ADDRESS, True), 0), lambda s: F.length(F.trim(s["value"])) > 8)
+def scored_persons(text: Column, first_names: tuple[str, ...] = L.FIRST_NAMES, last_names: tuple[str, ...] = L.LAST_NAMES) -> Column:
+    """array<struct<span, score>> of names in capitals (from .40) and in title case (from .35), raised by a trigger in the
+    80 characters before or 30 after, a first name, a last name and, for capitals, two to four words; .50 is the least,
+    .95 the most."""
 
+    def of(pattern: str, base: float, trigger: float, name: float, short: float, title: bool) -> Column:
+        near = lambda s: has_any(F.lower(F.concat(before(text, s, 80), s["value"], after(text, s, 30))), L.OLD_TRIGGERS)
+        small = lambda w: F.lower(w).isin("de", "la", "del", "los", "las")
+        parts = lambda s: F.filter(filters.words(s["value"]), lambda w: ~small(w)) if title else filters.words(F.initcap(s["value"]))
+        has = lambda s, names: F.arrays_overlap(parts(s), filters.listed(names))
+        add = lambda test, x: F.when(test, x).otherwise(0.0)
+        score = lambda s: F.round(
+            F.lit(base) + add(near(s), trigger) + add(has(s, first_names), name) + add(has(s, last_names), name) + add(F.size(parts(s)).between(2, 4), short), 2
+        )
+        fits = keep(outside(spans(text, Find(pattern)), tokens_in(text)), lambda s: F.size(parts(s)).between(2, 5) & ~no_name(s["value"]))
+        return F.transform(fits, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["value"].alias("value"), F.least(score(s), F.lit(0.95)).alias("score")))
 
-def identified(text: Column) -> tuple[Column, Column]:
-    """Names that are identified by a number, and the numbers."""
-    return keep(spans(text, java(NAMED), 1, "first"), lambda s: ~excluded(s["value"])), spans(text, java(NAMED), 2, "last")
+    upper = of(X.OLD_CAPITALS, 0.40, 0.15, 0.10, 0.10, False)
+    title = of(X.OLD_TITLE_CASE, 0.35, 0.20, 0.15, 0.0, True)
+    return F.filter(F.concat(upper, title), lambda s: s["score"] >= 0.5)
 
 
-def alone(text: Column) -> Column:
-    """Names on a line of their own after a sender, an addressee or a closing."""
-    parts = (spans(text, java(r"^(?:REMITENTE|DESTINATARIO)\s*:?\s*\n" + ALONE, True, True), 1, "last"), spans(text, java(r"^Atentamente,?\s*\n" + ALONE, True, True), 1, "last"))
-    return keep(F.concat(*parts), lambda s: ~excluded(s["value"]))
+def _persons(text: Column) -> Column:
+    return F.transform(
+        scored_persons(text),
+        lambda s, i: F.struct(F.lit("PERSONA").alias("type"), s["value"].alias("value"), s["start"].alias("start"), s["stop"].alias("stop"), s["score"].alias("confidence"), i.alias("seq")),
+    ).cast(OLD)
 
 
-def capital_lines(text: Column) -> Column:
-    """Lines of two to five words in capitals, none of them legal."""
-    legal = lambda s: F.arrays_overlap(F.split(s["value"], r"\s+"), F.lit(list(LEGAL_CAPITALS)))
-    return keep(spans(text, java(CAPITAL_LINE, False, True), 1, "last"), lambda s: ~legal(s) & ~excluded(s["value"]) & (F.length(s["value"]) > 5))
+def _ranked(found: Column, rank: int) -> Column:
+    return F.transform(found, lambda e: e.withField("rank", F.lit(rank))).cast(RANKED)
 
 
-def in_sections(text: Column, pattern: str, group: int = 1) -> Column:
-    """Spans of a pattern inside the data sections of a document, placed in the whole text."""
-    heading = r"(?:" + "|".join(HEADINGS) + r")[:\s]*((?s:.{50,500}?))(?=\n\n|\n[A-Z]{2,}|\nI{1,3}\.|\n\d+[.)-])"
-    sections = spans(text, java(heading, True), 1, "last")
-    inner = lambda sec: F.transform(
-        spans(sec["value"], java(pattern), group), lambda s: F.struct((s["start"] + sec["start"]).alias("start"), (s["stop"] + sec["start"]).alias("stop"), s["value"].alias("value"))
-    )
-    return F.flatten(F.transform(sections, inner))
+def hybrid(text: Column, model: Column | None = None) -> Column:
+    """Claims by priority: patterns, addresses, phones, what a model found (OLD, optional), names scored .65 or more; each
+    stays unless it overlaps one that claimed its place before. By place, the longest first."""
+    layers = [by_rules(text, REGEX), by_rules(text, ADDRESSES), by_rules(text, PHONES)]
+    layers += [] if model is None else [model.cast(OLD)]
+    layers.append(keep(_persons(text), lambda e: e["confidence"] >= 0.65))
+    ranked = [_ranked(a, r) for r, a in enumerate(layers)]
+    return merge.claims(F.concat(*ranked), RANKED)
 
 
-# --- the older detector ---------------------------------------------------------------------------------------
+def needs_review(entity: Column) -> Column:
+    return (entity["type"] == "PERSONA") & (entity["confidence"] < 0.75)
 
 
-def tokens_in(text: Column) -> Column:
-    """Placeholders that the text already holds."""
-    return spans(text, r"\{\{[^}]+\}\}", 0)
+def regex_only(text: Column) -> Column:
+    """Patterns, addresses, phones and scored names side by side, nothing claimed; from .80 on they need no review."""
+    return F.concat(by_rules(text, REGEX), by_rules(text, ADDRESSES), by_rules(text, PHONES), _persons(text))
 
 
-def outside(found: Column, taken: Column) -> Column:
-    """Spans that overlap none of the taken ones."""
-    return keep(found, lambda s: ~F.exists(taken, lambda t: (s["start"] < t["stop"]) & (t["start"] < s["stop"])))
+def first_that_works(*attempts: tuple[str, Column]) -> Column:
+    """struct<detector, entities> of the first attempt that gave an array: a plug-in that failed gives null."""
+    out = None
+    for name, found in attempts:
+        one = F.struct(F.lit(name).alias("detector"), found.alias("entities"))
+        out = F.when(found.isNotNull(), one) if out is None else out.when(found.isNotNull(), one)
+    return out
 
 
-def sanitized(text: Column) -> Column:
-    return F.translate(text, "\u0000\u000b\u000c", "   ")
+def left_over(text: Column, model: Column | None = None) -> Column:
+    """The last scan of the older detector: each value once, confirmed ones and names of .70 or more, no placeholders."""
 
+    def distinct(found: Column) -> Column:
+        sure = F.filter(found, lambda e: ~needs_review(e))
+        maybe = F.filter(found, lambda e: needs_review(e) & (e["confidence"] >= 0.70))
+        every = F.filter(F.concat(sure, maybe), lambda e: ~F.startswith(e["value"], F.lit("{{")))
+        return F.filter(every, lambda e, i: ~F.exists(F.slice(every, 1, i), lambda k: k["value"] == e["value"]))
 
-def scored_persons(text: Column, first_names: tuple[str, ...], last_names: tuple[str, ...]) -> Column:
-    """array<struct<span, score>> of names in capitals (from .40) and in title case (from .35), raised by a trigger in the
-    80 characters before or 30 after, a first name, a last name and, for capitals, two to four words; .50 is the least."""
+    return let(hybrid(text, model), distinct)
 
-    def of(pattern: str, base: float, trigger: float, name: float, short: float, title: bool) -> Column:
-        near = lambda s: has_any(F.lower(F.concat(before(text, s, 80), s["value"], after(text, s, 30))), X.PERSON_TRIGGERS)
-        parts = lambda s: F.filter(F.split(s["value"] if title else F.initcap(s["value"]), r"\s+"), lambda w: ~F.lower(w).isin("de", "la", "del", "los", "las"))
-        has = lambda s, names: F.arrays_overlap(parts(s), F.lit(list(names)))
-        add = lambda test, x: F.when(test, x).otherwise(0.0)
-        score = lambda s: F.round(
-            F.lit(base) + add(near(s), trigger) + add(has(s, first_names), name) + add(has(s, last_names), name) + add(F.size(parts(s)).between(2, 4), short), 2
-        )
-        fits = keep(spans(text, java(pattern)), lambda s: F.size(parts(s)).between(2, 5) & ~filters.all_excluded(s["value"]))
-        return F.transform(fits, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["value"].alias("value"), F.least(score(s), F.lit(0.95)).alias("score")))
 
-    upper = of(r"\b([A-ZÁÉÍÓÚÑ]{2,}(?:\s+[A-ZÁÉÍÓÚÑ]{2,}){1,4})\b", 0.40, 0.15, 0.10, 0.10, False)
-    title = of(r"\b([A-ZÁÉÍÓÚÑ][a-záéíóúñ]+(?:\s+(?:de\s+(?:la\s+)?)?[A-ZÁÉÍÓÚÑ][a-záéíóúñ]+){1,4})\b", 0.35, 0.20, 0.15, 0.0, True)
-    return F.filter(F.concat(upper, title), lambda s: s["score"] >= 0.5)
+def missed(text: Column, model: Column, known: Column) -> Column:
+    """Persons that a model finds in a text and that are not among the known entities, whatever their case."""
 
+    def of(both: Column) -> Column:
+        fresh = lambda e: ~F.exists(both["known"], lambda k: F.upper(k["value"]) == F.upper(e["value"]))
+        return F.filter(both["found"], lambda e: (e["type"] == "PERSONA") & fresh(e) & ~F.startswith(e["value"], F.lit("{{")))
 
-def over_anonymized(value: Column) -> Column:
-    """struct<reason, severity> of a person's value that should have stayed, or null."""
-    why = lambda r, s: F.struct(F.lit(r).alias("reason"), F.lit(s).alias("severity"))
-    return (
-        F.when(filters.whitelisted(value), why("whitelist_violation", "high"))
-        .when(filters.is_title(value), why("legal_title_tokenized", "high"))
-        .when(filters.has_verb(value), why("contains_legal_verb", "medium"))
-        .when(F.size(filters.words(value)) > 5, why("too_many_words", "low"))
-    )
+    return let(F.struct(outside(model, tokens_in(text)).alias("found"), known.alias("known")), of)

@@ -6,13 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veladura.functions import lexicon as L
-from veladura.functions.spans import has_any, let
+from veladura.functions.spans import has_any, let, strip
 
 LETTERS = "A-Za-záéíóúñÁÉÍÓÚÑ"
 
 
-def _list(words: tuple[str, ...]) -> Column:
-    return F.lit(list(words))
+def listed(words: tuple[str, ...]) -> Column:
+    """Fixed words as one constant array."""
+    return F.split(F.lit("|".join(words)), r"\|")
 
 
 def words(value: Column) -> Column:
@@ -24,20 +25,20 @@ def normal(value: Column) -> Column:
 
 
 def whitelisted(value: Column, exact: tuple[str, ...] = L.WHITELIST) -> Column:
-    return F.array_contains(_list(exact), normal(value))
+    return F.array_contains(listed(exact), normal(value))
 
 
 def white_pattern(value: Column) -> Column:
-    return F.trim(value).rlike("(?Uiu)^(?:" + "|".join(L.WHITE_PATTERNS) + ")")
+    return strip(value).rlike("(?Uiu)^(?:" + "|".join(L.WHITE_PATTERNS) + ")")
 
 
 def has_verb(value: Column) -> Column:
     clean = F.transform(words(F.lower(value)), lambda w: F.regexp_replace(w, r"(?U)[^\w]", ""))
-    return F.arrays_overlap(clean, _list(L.VERBS))
+    return F.arrays_overlap(clean, listed(L.VERBS))
 
 
 def is_connector(value: Column) -> Column:
-    return F.array_contains(_list(L.CONNECTORS), F.lower(F.array_join(words(value), " ")))
+    return F.array_contains(listed(L.CONNECTORS), F.lower(F.array_join(words(value), " ")))
 
 
 def is_title(value: Column) -> Column:
@@ -45,24 +46,24 @@ def is_title(value: Column) -> Column:
 
 
 def all_excluded(value: Column, excluded: tuple[str, ...] = L.EXCLUDED) -> Column:
-    return F.forall(words(F.upper(value)), lambda w: F.array_contains(_list(excluded), w))
+    return F.forall(words(F.upper(value)), lambda w: F.array_contains(listed(excluded), w))
 
 
 def has_month(value: Column) -> Column:
-    return F.arrays_overlap(F.transform(words(F.upper(value)), lambda w: F.regexp_replace(w, r"[.,;:]+$", "")), _list(L.CALENDAR))
+    return F.arrays_overlap(F.transform(words(F.upper(value)), lambda w: F.regexp_replace(w, r"[.,;:]+$", "")), listed(L.CALENDAR))
 
 
 def common_noun(word: Column) -> Column:
     w = F.upper(word)
     endings = "(?:" + "|".join(L.NOUN_ENDINGS) + ")$"
-    return F.array_contains(_list(tuple(dict.fromkeys(L.COMMON + L.EXCLUDED))), w) | ((F.length(w) >= 7) & w.rlike(endings))
+    return F.array_contains(listed(tuple(dict.fromkeys(L.COMMON + L.EXCLUDED))), w) | ((F.length(w) >= 7) & w.rlike(endings))
 
 
 def proper_name(value: Column) -> Column:
     """Two to six words within 80 characters, none of the legal forms, two words of the shape of names at least."""
     parts = words(value)
     shaped = lambda w: w.rlike("^(?:[A-ZÁÉÍÓÚÑ][a-záéíóúñ]{2,}|[A-ZÁÉÍÓÚÑ]{3,})$")
-    named = F.filter(parts, lambda w: ~F.array_contains(_list(L.PARTICLES), F.upper(w)) & ~common_noun(w) & shaped(w))
+    named = F.filter(parts, lambda w: ~F.array_contains(listed(L.PARTICLES), F.upper(w)) & ~common_noun(w) & shaped(w))
     legal = has_month(value) | whitelisted(value) | white_pattern(value) | has_verb(value) | is_connector(value) | is_title(value) | all_excluded(value)
     return F.size(parts).between(2, 6) & (F.length(value) <= 80) & ~legal & (F.size(named) >= 2)
 
@@ -106,7 +107,7 @@ def decide(value: Column, kind: Column, strong: Column) -> Column:
     )
     return (
         F.when(kind.isin(*L.STRUCTURED), yes("structured_pii"))
-        .when(F.length(F.trim(text)) < 2, no("too_short"))
+        .when(F.length(strip(text)) < 2, no("too_short"))
         .when(is_person, person)
         .when(kind == "DIRECCION", F.when(address, yes("address_structure")).otherwise(no("no_address_structure")))
         .when(kind.isin(*L.LEGAL_ENTITIES), yes("legal_entity"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veladura.functions import fixed as X
-from veladura.functions.spans import has_any, java, keep, spans
+from veladura.functions.spans import Find, before, has_any, java, keep, settled, spans
 
 # --- fixed values: sections, intents --------------------------------------------------------------------------
 SECTIONS = {
@@ -152,16 +152,26 @@ def _numbered(text: Column, found: Column, name: str) -> Column:
 
 
 def pre_redacted(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) with clean: addresses, company numbers, phones, accounts, plates and identity numbers as
-    numbered marks, kind after kind over the text as the kind before left it."""
-    rows = docs.select("doc_id", F.col("text").alias("clean"))
-    for name, pattern in X.PRE_REDACT:
-        ic = name in ("EMAIL_PRE", "PLACA_PRE")
-        rows = rows.withColumn("found", spans(F.col("clean"), java(pattern, ic), 0)).withColumn("clean", _numbered(F.col("clean"), F.col("found"), name))
-    from veladura.functions.spans import before
-
-    ids = keep(spans(F.col("clean"), java(X.PRE_REDACT_DNI), 0), lambda s: ~has_any(F.lower(before(F.col("clean"), s, 20)), X.PRE_REDACT_DNI_AFTER))
-    return rows.withColumn("found", ids).withColumn("clean", _numbered(F.col("clean"), F.col("found"), "DNI_PRE")).drop("found")
+    """docs (doc_id, text) with clean and marks: addresses, company numbers, phones, accounts, plates and identity numbers
+    as numbered marks, kind after kind over the text as the kind before left it; marks maps each to what it stands for."""
+    rows = docs.select("doc_id", F.col("text").alias("clean"), F.create_map().cast("map<string,string>").alias("marks"))
+    kinds = [(n, Find(p, 0, ignore_case=n in ("EMAIL_PRE", "PLACA_PRE"))) for n, p in X.PRE_REDACT] + [("DNI_PRE", Find(X.PRE_REDACT_DNI, 0))]
+    for name, find in kinds:
+        found = spans(F.col("clean"), find)
+        if name == "DNI_PRE":
+            found = keep(found, lambda s: ~has_any(F.lower(before(F.col("clean"), s, 20)), X.PRE_REDACT_DNI_AFTER))
+        rows = settled(rows, found=found)
+        rows = settled(rows, clean=_numbered(F.col("clean"), F.col("found"), name), marks=F.map_concat("marks", F.map_from_entries(_marks(F.col("found"), name)))).drop("found")
+    return rows
+
+
+def _marks(found: Column, name: str) -> Column:
+    return F.transform(found, lambda s, i: F.struct(F.concat(F.lit(f"[{name}_"), i + 1, F.lit("]")).alias("key"), s["value"].alias("value")))
+
+
+def restored(clean: Column, marks: Column) -> Column:
+    """The text with its marks replaced by what they stand for."""
+    return F.aggregate(F.map_entries(marks), clean, lambda acc, e: F.replace(acc, e["key"], e["value"]))
 
 
 def merged_suggestions(local: DataFrame, suggested: DataFrame, docs: DataFrame, confidence: float = 0.9) -> DataFrame:

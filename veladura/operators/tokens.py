@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veladura.functions import fixed as X
 from veladura.functions import lexicon as L
+from veladura.functions.spans import Find, before, java, keep, spans
 
 WORD = r"A-Za-z0-9_À-ɏ\-"
 
@@ -13,18 +15,18 @@ WORD = r"A-Za-z0-9_À-ɏ\-"
 def numbered(rows: DataFrame, order: str) -> DataFrame:
     """rows (doc_id, type, value, start, stop, seq) with a token each; equal values (trimmed, upper case) of a type share
     one. Numbering within document and type: `last` by last occurrence in the text, from the end; `longest` by length,
-    then seq; `listed` by seq."""
-    rows = rows.withColumn("__key", F.upper(F.trim("value")))
-    keys = {
-        "last": [F.max("start").desc()],
-        "longest": [F.max(F.length("value")).desc(), F.min("seq")],
-        "listed": [F.min("seq")],
+    then seq; `listed` by seq. One shuffle by document serves every window."""
+    rows = rows.withColumn("__key", F.upper(F.trim("value"))).repartition("doc_id")
+    value, kind = Window.partitionBy("doc_id", "type", "__key"), Window.partitionBy("doc_id", "type")
+    places = {
+        "last": [F.max("start").over(value).alias("__0")],
+        "longest": [F.max(F.length("value")).over(value).alias("__0"), F.min("seq").over(value).alias("__1")],
+        "listed": [F.min("seq").over(value).alias("__0")],
     }[order]
-    w = Window.partitionBy("doc_id", "type").orderBy(*(F.col(f"__o{i}").desc() if order != "listed" and i == 0 else F.col(f"__o{i}") for i in range(len(keys))), "__key")
-    aggs = {"last": [F.max("start")], "longest": [F.max(F.length("value")), F.min("seq")], "listed": [F.min("seq")]}[order]
-    first = rows.groupBy("doc_id", "type", "__key").agg(*(a.alias(f"__o{i}") for i, a in enumerate(aggs)))
-    first = first.withColumn("number", F.row_number().over(w)).select("doc_id", "type", "__key", "number")
-    return rows.join(first, ["doc_id", "type", "__key"]).drop("__key").withColumn("token", F.concat(F.lit("{{"), "type", F.lit("_"), "number", F.lit("}}")))
+    rows = rows.select("*", *places)
+    by = [F.col("__0") if order == "listed" else F.col("__0").desc(), *(["__1"] if order == "longest" else []), "__key"]
+    rows = rows.withColumn("number", F.dense_rank().over(kind.orderBy(*by)))
+    return rows.drop("__key", "__0", "__1").withColumn("token", F.concat(F.lit("{{"), "type", F.lit("_"), "number", F.lit("}}")))
 
 
 def replaced_at(text: Column, spans: Column) -> Column:
@@ -86,16 +88,70 @@ def masked(kind: Column, value: Column, long: int = 8) -> Column:
     )
 
 
-HARD = (
-    # --- fixed values: emergency redaction ---
-    ("EMAIL", r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"),
-    ("RUC", r"\b(?:10|20)\d{9}\b"),
-    ("TELEFONO", r"\b9\d{8}\b"),
-    ("DNI", r"\b\d{8}\b"),
-)
-
-
 def hard_redacted(text: Column) -> Column:
-    for kind, pattern in HARD:
-        text = F.regexp_replace(text, pattern, "{{" + kind + "_REDACT}}")
+    """The last resort: whatever has the shape of an address, an identity or tax number, a phone or a registry number."""
+    for pattern, token in X.HARD_REDACT:
+        text = F.regexp_replace(text, java(pattern, True), token)
     return text
+
+
+NUMBERED = "array<struct<start:int,stop:int,key:string,token:string>>"
+
+
+def _next(kind: Column, taken: Column, text: Column) -> Column:
+    """The number after the highest that tokens of a type have in a text or among those given since."""
+    number = lambda t: F.regexp_extract(t, r"_(\d{1,9})\}\}$", 1).cast("int")
+    here = F.regexp_extract_all(text, F.concat(F.lit(r"(\{\{"), kind, F.lit(r"_\d{1,9}\}\})")), F.lit(1))
+    own = F.filter(taken, lambda t: F.startswith(t, F.concat(F.lit("{{"), kind, F.lit("_"))))
+    return F.coalesce(F.array_max(F.transform(F.concat(here, own), number)), F.lit(0)) + 1
+
+
+def residual_emails(text: Column, known: Column | None = None) -> Column:
+    """The text with every address left in it replaced: by its token where known (map<upper-case value, token>) has one,
+    by the next number of its type else, in the order of the text. What follows two braces is part of a token."""
+    known = F.create_map().cast("map<string,string>") if known is None else known
+    left = keep(spans(text, Find(X.EMAIL_SAFETY, 0, hints=("@",))), lambda s: ~F.contains(before(text, s, 2), F.lit("{{")))
+
+    def step(acc: Column, s: Column) -> Column:
+        key = F.upper(F.trim(s["value"]))
+        again = F.get(F.filter(acc, lambda a: a["key"] == key), F.lit(0))["token"]
+        fresh = F.concat(F.lit("{{EMAIL_"), _next(F.lit("EMAIL"), F.concat(F.map_values(known), F.transform(acc, lambda a: a["token"])), text), F.lit("}}"))
+        one = F.struct(s["start"].alias("start"), s["stop"].alias("stop"), key.alias("key"), F.coalesce(known[key], again, fresh).alias("token"))
+        return F.concat(acc, F.array(one).cast(NUMBERED))
+
+    return replaced_at(text, F.aggregate(left, F.array().cast(NUMBERED), step))
+
+
+DECIDED = "struct<text:string,given:array<struct<type:string,key:string,token:string>>>"
+
+
+def decided(text: Column, pending: Column) -> Column:
+    """The text after a review: pending (type, value, start, accepted) that were accepted, from the end of the text on; each
+    replaces the first place where its value still stands, equal values of a type share a token."""
+    order = F.array_sort(F.transform(F.filter(pending, lambda e: e["accepted"]), lambda e: F.struct((-e["start"]).alias("a"), e["type"].alias("type"), e["value"].alias("value"))))
+
+    def step(acc: Column, e: Column) -> Column:
+        key = F.upper(F.trim(e["value"]))
+        again = F.get(F.filter(acc["given"], lambda g: (g["type"] == e["type"]) & (g["key"] == key)), F.lit(0))["token"]
+        fresh = F.concat(F.lit("{{"), e["type"], F.lit("_"), _next(e["type"], F.transform(acc["given"], lambda g: g["token"]), F.lit("")), F.lit("}}"))
+        token = F.coalesce(again, fresh)
+        given = F.when(again.isNull(), F.concat(acc["given"], F.array(F.struct(e["type"].alias("type"), key.alias("key"), token.alias("token"))))).otherwise(acc["given"])
+        done = F.struct(replaced_first(acc["text"], e["value"], token).alias("text"), given.alias("given")).cast(DECIDED)
+        return F.when((e["value"] != "") & F.contains(acc["text"], e["value"]), done).otherwise(acc)
+
+    start = F.struct(text.alias("text"), F.array().cast("array<struct<type:string,key:string,token:string>>").alias("given")).cast(DECIDED)
+    return F.aggregate(order, start, step, lambda acc: acc["text"])
+
+
+def summary(rows: DataFrame) -> DataFrame:
+    """rows with tokens to one JSON mapping a document, {type: {token: masked value}}."""
+    one = rows.select("doc_id", "type", "token", masked(F.col("type"), F.col("value")).alias("shown")).dropDuplicates(["doc_id", "token"])
+    kinds = one.groupBy("doc_id", "type").agg(F.array_sort(F.collect_list(F.struct("token", "shown"))).alias("pairs"))
+    docs = kinds.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("type", "pairs"))).alias("kinds"))
+    entries = F.transform("kinds", lambda k: F.struct(k["type"].alias("type"), F.map_from_entries(k["pairs"]).alias("m")))
+    return docs.select("doc_id", F.to_json(F.map_from_entries(entries)).alias("mapping"))
+
+
+def mapping_of(mapping: Column) -> Column:
+    """The mapping that `summary` wrote, read back."""
+    return F.from_json(mapping, "map<string,map<string,string>>")

@@ -2,7 +2,7 @@
 
 from veladura.streaming import logs  # noqa: F401
 
-from . import contexts, detection, ledgers, relational, texts  # noqa: F401
+from . import cases, detection, files, ledgers, models, relational, texts  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veladura.functions import fixed as X
-from veladura.functions.spans import java, spans
+from veladura.functions.spans import Find, spans
 from veladura.operators import audit, detect, filters, merge, tokens
 
 from . import sqltext as S
@@ -20,21 +20,29 @@ def exploded(docs: DataFrame, array) -> DataFrame:
     return docs.select("doc_id", F.explode(array).alias("s")).select("doc_id", "s.start", "s.stop", "s.value")
 
 
-def _rule(name: str) -> None:
-    rule = detect.RULES[name]
-    flag = "(?i)" if rule.ignore_case else ""
-    parts = [f"SELECT {COLUMNS} FROM ({S.spans(flag + p, rule.group, rule.at)})" for p in rule.patterns]
-    least = f" WHERE length(trim(value)) >= {rule.least}" if rule.least else ""
-    sql = S.with_legal(f"SELECT {COLUMNS} FROM ({' UNION ALL '.join(parts)}){least}")
+#: name of a query's rule, patterns, group of the value, where the span lies, whether case matters not, least length
+PLAIN_RULES = (
+    ("ruc", (X.RUC,), 1, "match", False, 0), ("expediente", X.CASE_FILES, 1, "match", True, 0), ("casilla", (X.MAILBOX,), 0, "match", True, 0),
+    ("acta", X.RECORDS, 0, "match", True, 0), ("juzgado", (X.COURT,), 1, "match", True, 0), ("cuenta", X.ACCOUNTS, 1, "match", True, 0),
+    ("colegiatura", (X.LICENSED,), 0, "match", True, 0), ("sala", (X.CHAMBER,), 1, "match", True, 0), ("tribunal", (X.TRIBUNAL,), 1, "match", True, 0),
+    ("partida", (X.REGISTRY,), 0, "match", True, 0), ("resolucion", (X.RULING,), 0, "match", True, 0), ("historia_clinica", (X.MEDICAL,), 1, "match", True, 0),
+    ("codigo_cliente", (X.CLIENT,), 1, "match", True, 0), ("licencia", (X.LICENCE,), 1, "match", True, 5), ("poliza", (X.POLICY,), 1, "match", True, 0),
+    ("firma", X.SIGNATURES, 1, "match", True, 5), ("sello", X.SEALS, 1, "match", True, 4), ("huella", X.PRINTS, 1, "match", True, 5),
+    ("email_context", (X.EMAIL_TRIGGER,), 1, "last", True, 0),
+)
 
-    @query(f"detect_{name}", sql)
+
+def _rule(name: str, patterns: tuple[str, ...], group: int, at: str, ignore_case: bool, least: int) -> None:
+    parts = [f"SELECT doc_id, start, stop, trim(value) AS value FROM ({S.spans(('(?i)' if ignore_case else '') + p, group, at)})" for p in patterns]
+    long = f" WHERE length(value) >= {least}" if least else ""
+
+    @query(f"detect_{name}", S.with_legal(f"SELECT {COLUMNS} FROM ({' UNION ALL '.join(parts)}){long}"))
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        docs = legal_text(spark, sf_dir)
-        return exploded(docs, detect.found(F.col("text"), name))
+        return exploded(legal_text(spark, sf_dir), detect.found(F.col("text"), name))
 
 
-for _name in detect.RULES:
-    _rule(_name)
+for _r in PLAIN_RULES:
+    _rule(*_r)
 
 LONE = f"NOT regexp_matches({S.around(3)}, '\\d{{11}}')"
 MONEY_SQL = "(" + " OR ".join(S.has_any(f"lower({c})", [w.lower() for w in X.MONEY]) for c in (S.before(30), S.after(30))) + ")"
@@ -53,7 +61,7 @@ def detect_dni(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("detect_email", S.with_legal(f"SELECT {COLUMNS} FROM ({S.spans('(?i)' + X.EMAIL)})"))
 def detect_email(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exploded(legal_text(spark, sf_dir), detect.email(F.col("text")))
+    return exploded(legal_text(spark, sf_dir), detect.found(F.col("text"), "email"))
 
 
 def _sql_phone() -> str:
@@ -68,32 +76,17 @@ def _sql_phone() -> str:
 
 @query("detect_phone", _sql_phone())
 def detect_phone(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exploded(legal_text(spark, sf_dir), detect.phone(F.col("text")))
+    return exploded(legal_text(spark, sf_dir), detect.found(F.col("text"), "phone"))
 
 
 @query("detect_phone_told", S.with_legal(f"SELECT {COLUMNS} FROM ({S.spans('(?i)' + X.PHONE_TRIGGER, 1, 'last')}) WHERE length(regexp_replace(value, '[\\s\\-()]', '', 'g')) >= 9"))
 def detect_phone_told(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exploded(legal_text(spark, sf_dir), detect.phone_told(F.col("text")))
+    return exploded(legal_text(spark, sf_dir), detect.found(F.col("text"), "phone_told"))
 
 
 @query("detect_plate", S.with_legal(f"SELECT {COLUMNS} FROM ({S.spans('(?i)' + X.PLATE)}) WHERE {S.has_any(f'lower({S.around(120)})', X.VEHICLE)}"))
 def detect_plate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exploded(legal_text(spark, sf_dir), detect.plate(F.col("text")))
-
-
-NEAR_SQL = S.has_any(f"lower({S.before(100)})", X.PERSON_TRIGGERS)
-
-
-@query(
-    "detect_capitals",
-    S.with_legal(
-        f"SELECT {COLUMNS}, CASE WHEN near THEN 'strong_context_persona' ELSE 'heuristic' END AS source FROM (SELECT *, {NEAR_SQL} AS near FROM ({S.spans(X.CAPITALS)})) "
-        "WHERE near OR len(regexp_split_to_array(trim(value), '\\s+')) >= 3"
-    ),
-)
-def detect_capitals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = legal_text(spark, sf_dir).select("doc_id", F.explode(detect.capitals(F.col("text"), 0)).alias("s"))
-    return docs.select("doc_id", "s.start", "s.stop", "s.value", "s.source")
+    return exploded(legal_text(spark, sf_dir), detect.found(F.col("text"), "plate"))
 
 
 # --- documents ------------------------------------------------------------------------------------------------
@@ -105,7 +98,7 @@ def detect_capitals(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"'(?i){S.quoted(X.EMAIL)}', 1)) AS v FROM documents) GROUP BY lang",
 )
 def email_counts_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("lang", F.explode(spans(F.col("text"), java(X.EMAIL_GUARD + X.EMAIL, True))).alias("s"))
+    docs = table(spark, sf_dir, "documents").select("lang", F.explode(detect.found(F.col("text"), "email")).alias("s"))
     return docs.groupBy("lang").agg(F.count("*").alias("emails"), F.countDistinct("s.value").alias("addresses"))
 
 
@@ -157,16 +150,6 @@ def priority_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "s.start", "s.stop")
 
 
-@query("detect_all")
-def detect_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All detectors, merged, filtered and with their status: one row for each entity that stays."""
-    docs = legal_text(spark, sf_dir).select("doc_id", detect.detect(F.col("text")).alias("e"))
-    docs = docs.select("doc_id", merge.merged(F.col("e"), detect.ENTITY).alias("e"))
-    docs = docs.select("doc_id", F.explode(filters.filtered(F.col("e"))).alias("e"))
-    rows = docs.select("doc_id", "e.type", "e.value", "e.start", "e.stop", "e.source", "e.confidence")
-    return rows.withColumn("status", filters.status(F.col("type"), F.col("confidence"))).where(F.col("status").isNotNull())
-
-
 @query(
     "first_wins",
     "SELECT c_mktsegment AS kind, c_nationkey AS value, min(c_custkey) AS first_id FROM customer GROUP BY ALL",
@@ -270,10 +253,16 @@ def status_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Announced numbers, addresses and company numbers of each document, in that order."""
     docs = legal_text(spark, sf_dir)
-    text = F.col("text")
-    every = F.concat(*(detect.entities(a, k, "regex", 1.0, i) for i, (k, a) in enumerate((("DNI", spans(text, java(X.DNI_TRIGGER, True), 1, "last")), ("EMAIL", detect.email(text)), ("RUC", detect.found(text, "ruc"))))))
-    return docs.select("doc_id", F.explode(every).alias("e")).select("doc_id", "e.type", "e.value", "e.start", "e.stop", "e.seq")
+    told = spans(F.col("text"), Find(X.DNI_TRIGGER, 1, (1, 1), ignore_case=True, anchors=("d", "identificad", "con")))
+    kinds = (("DNI", told), ("EMAIL", detect.found(F.col("text"), "email")), ("RUC", detect.found(F.col("text"), "ruc")))
+
+    def named(kind: str, found):
+        return F.transform(found, lambda s: F.struct(F.lit(kind).alias("type"), s["value"].alias("value"), s["start"].alias("start"), s["stop"].alias("stop")))
+
+    every = F.concat(*(named(k, a) for k, a in kinds))
+    return docs.select("doc_id", F.posexplode(every).alias("seq", "e")).select("doc_id", "e.type", "e.value", "e.start", "e.stop", "seq")
 
 
 _E = " UNION ALL ".join(
@@ -313,7 +302,7 @@ EMAIL_IN = "'user' || client || '@mail' || client % 10 || '.gob.pe'"
 @query("redact_at", S.with_legal(f"SELECT doc_id, replace(text, {EMAIL_IN}, '{{{{EMAIL_1}}}}') AS clean FROM lt"))
 def redact_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = legal_text(spark, sf_dir)
-    spots = F.transform(detect.email(F.col("text")), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.lit("{{EMAIL_1}}").alias("token")))
+    spots = F.transform(detect.found(F.col("text"), "email"), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.lit("{{EMAIL_1}}").alias("token")))
     return docs.select("doc_id", tokens.replaced_at(F.col("text"), spots).alias("clean"))
 
 
@@ -334,18 +323,6 @@ def redact_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return legal_text(spark, sf_dir).select("doc_id", tokens.replaced_first(F.col("text"), F.lit("Lima"), F.lit("{{LUGAR_1}}")).alias("clean"))
 
 
-def _hard_sql() -> str:
-    out = "text"
-    for kind, pattern in tokens.HARD:
-        out = f"regexp_replace({out}, '{S.quoted(pattern)}', '{{{{{kind}_REDACT}}}}', 'g')"
-    return S.with_legal(f"SELECT doc_id, {out} AS clean FROM lt")
-
-
-@query("hard_redact", _hard_sql())
-def hard_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return legal_text(spark, sf_dir).select("doc_id", tokens.hard_redacted(F.col("text")).alias("clean"))
-
-
 # --- audit ----------------------------------------------------------------------------------------------------
 
 FREE = f"NOT regexp_matches({S.around(20)}, '{X.TOKEN}')"
@@ -368,37 +345,21 @@ AUDIT_SQL = {
     "RESOLUCION": _firsts(f"SELECT * FROM ({S.spans('(?i)' + X.AUDIT_RULING, 0)}) WHERE {FREE}"),
     "PARTIDA": _firsts(f"SELECT * FROM ({S.spans('(?i)' + X.AUDIT_REGISTRY, 0)}) WHERE {FREE}"),
     "CASILLA": _firsts(" UNION ALL ".join(f"SELECT * FROM ({S.spans('(?i)' + p, 0)}) WHERE {FREE}" for p in X.AUDIT_MAILBOXES)),
-    "DIRECCION": None,
-    "EXPEDIENTE": None,
-    "JUZGADO": None,
 }
 
 
 def _audit(kind: str) -> None:
     sql = AUDIT_SQL[kind]
 
-    @query(f"audit_{kind.lower()}", S.with_legal(sql) if sql else None)
+    @query(f"audit_{kind.lower()}", S.with_legal(sql))
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return exploded(legal_text(spark, sf_dir), audit.FINDERS[kind](F.col("text")))
+        return exploded(legal_text(spark, sf_dir), audit.find(F.col("text"), kind))
 
 
 for _kind in AUDIT_SQL:
     _audit(_kind)
 
 
-@query("audit_fix")
-def audit_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.fixed(legal_text(spark, sf_dir)).drop("text")
-
-
-@query("post_scan")
-def post_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What detectors still find after redaction, by type."""
-    docs = legal_text(spark, sf_dir).select("doc_id", tokens.hard_redacted(F.col("text")).alias("text"))
-    rows = docs.select(F.explode(merge.merged(detect.detect(F.col("text")), detect.ENTITY)).alias("e"))
-    return rows.groupBy("e.type").agg(F.count("*").alias("n"))
-
-
 @query(
     "eval_scores",
     "WITH d AS (SELECT o_custkey AS doc_id, count(*) AS found, count(*) FILTER (o_orderstatus = 'F') AS leaked, count(*) FILTER (o_orderstatus <> 'F') AS replaced, "
@@ -419,24 +380,3 @@ def eval_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("report_counts", S.with_legal(f", e AS ({_E}) SELECT type, count(*)::BIGINT AS n, count(DISTINCT value)::BIGINT AS distinct_values FROM e GROUP BY 1"))
 def report_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _entities(spark, sf_dir).groupBy("type").agg(F.count("*").alias("n"), F.countDistinct("value").alias("distinct_values"))
-
-
-@query("report_json")
-def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from veladura.sources import documents
-
-    return documents.report(tokens.numbered(_entities(spark, sf_dir), "listed"))
-
-
-@query("mapping_csv_rows")
-def mapping_csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from veladura.sources import documents
-
-    return documents.mapping_rows(tokens.numbered(_entities(spark, sf_dir), "listed"))
-
-
-@query("training_records")
-def training_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from veladura.sources import documents
-
-    return documents.training_records(legal_text(spark, sf_dir)).select("doc_id", F.to_json("entities").alias("entities"))

@@ -123,7 +123,7 @@ def pre_redact_counts(spark, sf_dir):
 @query("suggestions_merged", S.with_legal("SELECT doc_id, 'EMAIL' AS type, count(*)::BIGINT AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)" + S.quoted(X.EMAIL) + "', 1)) FROM lt) GROUP BY 1 UNION ALL SELECT doc_id, 'LUGAR', 1 FROM lt"))
 def suggestions_merged(spark, sf_dir):
     docs = legal_text(spark, sf_dir)
-    local = docs.select("doc_id", F.explode(detect.email(F.col("text"))).alias("s")).select("doc_id", F.lit("EMAIL").alias("type"), "s.value", "s.start", "s.stop")
+    local = docs.select("doc_id", F.explode(detect.found(F.col("text"), "email")).alias("s")).select("doc_id", F.lit("EMAIL").alias("type"), "s.value", "s.start", "s.stop")
     said = docs.select("doc_id", F.explode(F.array(F.struct(F.lit("LUGAR").alias("type"), F.lit("Lima").alias("value")), F.struct(F.lit("LUGAR").alias("type"), F.lit("Cusco").alias("value")), F.struct(F.lit("EMAIL").alias("type"), F.expr("concat('USER', client, '@mail', client % 10, '.gob.pe')").alias("value")))).alias("x"))
     rows = templates.merged_suggestions(local, said.select("doc_id", "x.type", "x.value"), docs)
     return rows.groupBy("doc_id", "type").agg(F.count("*").alias("n"))

@@ -6,27 +6,59 @@ import io
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veladura.functions.spans import Find, spans
+
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 ALLOWED = ("docx", "pdf", "txt", "doc")
 
 
-def _paragraphs(root: ElementTree.Element) -> Iterator[str]:
+def _text(p: ElementTree.Element) -> str:
+    return "".join(t.text or "" for t in p.iter(f"{W}t"))
+
+
+def _body(root: ElementTree.Element) -> Iterator[str]:
     """Body paragraphs first, then those of table cells."""
     inside = {id(p) for t in root.iter(f"{W}tbl") for p in t.iter(f"{W}p")}
     every = list(root.iter(f"{W}p"))
     for wanted in (False, True):
         for p in every:
             if (id(p) in inside) == wanted:
-                yield "".join(t.text or "" for t in p.iter(f"{W}t"))
+                yield _text(p)
+
+
+def _preview(root: ElementTree.Element) -> Iterator[str]:
+    """Paragraphs that aren't blank, then a line for each row of a table, its cells parted by a bar."""
+    inside = {id(p) for t in root.iter(f"{W}tbl") for p in t.iter(f"{W}p")}
+    yield from (t for p in root.iter(f"{W}p") if id(p) not in inside and (t := _text(p)).strip())
+    for row in root.iter(f"{W}tr"):
+        cells = [" ".join(t for p in c.iter(f"{W}p") if (t := _text(p)).strip()) for c in row.iter(f"{W}tc")]
+        if any(cells):
+            yield " | ".join(c for c in cells if c)
+
+
+def _cells(root: ElementTree.Element) -> Iterator[str]:
+    """Body paragraphs, then cells, each cell's paragraphs one a line."""
+    inside = {id(p) for t in root.iter(f"{W}tbl") for p in t.iter(f"{W}p")}
+    yield from (_text(p) for p in root.iter(f"{W}p") if id(p) not in inside)
+    yield from ("\n".join(_text(p) for p in c.iter(f"{W}p")) for c in root.iter(f"{W}tc"))
 
 
-def docx_text(data: bytes, headers: bool = True) -> tuple[str | None, str | None]:
-    """(text, error): paragraphs, table cells, then headers and footers, one a line."""
+#: How a document's parts become its text: lines of each part, what joins them, whether headers and footers count.
+VARIANTS = {
+    "whole": (_body, "\n", True), "primary": (_body, "\n", False), "simple": (lambda r: (t.text for t in r.iter(f"{W}t") if t.text), " ", False),
+    "preview": (_preview, "\n", False), "cells": (_cells, "\n", False),
+}
+
+
+def docx_text(data: bytes, variant: str = "whole") -> tuple[str | None, str | None]:
+    """(text, error) of one of the VARIANTS."""
+    lines, join, headers = VARIANTS[variant]
     try:
         with zipfile.ZipFile(io.BytesIO(data)) as z:
             names = z.namelist()
@@ -36,11 +68,25 @@ def docx_text(data: bytes, headers: bool = True) -> tuple[str | None, str | None
             if headers:
                 parts += sorted(n for n in names if n.startswith("word/header") and n.endswith(".xml"))
                 parts += sorted(n for n in names if n.startswith("word/footer") and n.endswith(".xml"))
-            return "\n".join(x for p in parts for x in _paragraphs(ElementTree.fromstring(z.read(p)))), None
-    except (zipfile.BadZipFile, ElementTree.ParseError):
+            return join.join(x for p in parts for x in lines(ElementTree.fromstring(z.read(p)))), None
+    except (zipfile.BadZipFile, ElementTree.ParseError, EOFError, OSError):
         return None, "DOCX_INVALID"
 
 
+def docx_bytes(paragraphs: list[str], rows: list[list[str]] = (), header: str | None = None) -> bytes:
+    """A DOCX file with paragraphs, one table and a header."""
+    para = lambda t: f'<w:p><w:r><w:t xml:space="preserve">{escape(t)}</w:t></w:r></w:p>'
+    space = f'xmlns:w="{W[1:-1]}"'
+    table = "".join("<w:tr>" + "".join(f"<w:tc>{para(c)}</w:tc>" for c in r) + "</w:tr>" for r in rows)
+    body = "".join(map(para, paragraphs)) + (f"<w:tbl>{table}</w:tbl>" if rows else "")
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("word/document.xml", f'<?xml version="1.0" encoding="UTF-8"?><w:document {space}><w:body>{body}</w:body></w:document>')
+        if header is not None:
+            z.writestr("word/header1.xml", f'<?xml version="1.0" encoding="UTF-8"?><w:hdr {space}>{para(header)}</w:hdr>')
+    return out.getvalue()
+
+
 def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
 
@@ -55,23 +101,75 @@ def magic(content: Column) -> Column:
     return F.when(head == "25504446", "pdf").when(head == "504B0304", "zip")
 
 
-def read(spark: SparkSession, path: str, headers: bool = True) -> DataFrame:
-    """path, ext, text, extractor, error for every file under a path. Plain text is read by Spark alone, files that
-    the format check turns down get an error, PDF needs a reader that isn't installed."""
+def extracted(files: DataFrame, variants: tuple[str, ...] = ("whole",)) -> DataFrame:
+    """files (path, content) to path, ext, text, extractor, error. DOCX variants are tried one after another until one
+    gives text; plain text is read by Spark alone; files that the format check turns down get an error; PDF needs a
+    reader that isn't installed."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            got = [docx_text(c, headers) for c in rows["content"]]
-            yield pd.DataFrame({"path": rows["path"], "ext": rows["ext"], "text": [t for t, _ in got], "error": [e for _, e in got]})
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    files = files.withColumns({"ext": extension(F.col("path")), "magic": magic(F.col("content"))}).where(F.col("ext").isin(*ALLOWED))
-    docx = files.where("ext = 'docx'").select("path", "ext", "content").mapInPandas(run, "path string, ext string, text string, error string")
+            out = []
+            for data in rows["content"]:
+                got = [(t, e, v) for v in variants for t, e in [docx_text(data, v)]]
+                out.append(next((g for g in got if g[0]), got[0]))
+            yield pd.DataFrame({"path": rows["path"], "ext": rows["ext"], "text": [o[0] for o in out], "error": [o[1] for o in out], "variant": [o[2] for o in out]})
+
+    files = files.select("path", "content").withColumns({"ext": extension(F.col("path")), "magic": magic(F.col("content"))}).where(F.col("ext").isin(*ALLOWED))
+    docx = files.where("ext = 'docx'").select("path", "ext", "content").mapInPandas(run, "path string, ext string, text string, error string, variant string")
+    none = F.lit(None).cast("string")
     plain = files.where("ext = 'txt'").select("path", "ext", F.try_validate_utf8(F.col("content").cast("string")).alias("text"))
-    plain = plain.withColumn("error", F.when(F.col("text").isNull(), "TXT_NOT_UTF8"))
-    other = files.where("ext IN ('pdf', 'doc')").select("path", "ext", F.lit(None).cast("string").alias("text"), F.when((F.col("ext") == "pdf") & ~F.col("magic").eqNullSafe("pdf"), "PDF_INVALID").when(F.col("ext") == "pdf", "PDF_NO_READER").otherwise("DOC_UNSUPPORTED").alias("error"))
+    plain = plain.select("*", F.when(F.col("text").isNull(), "TXT_NOT_UTF8").alias("error"), none.alias("variant"))
+    refused = F.when((F.col("ext") == "pdf") & ~F.col("magic").eqNullSafe("pdf"), "PDF_INVALID").when(F.col("ext") == "pdf", "PDF_NO_READER").otherwise("DOC_UNSUPPORTED")
+    other = files.where("ext IN ('pdf', 'doc')").select("path", "ext", none.alias("text"), refused.alias("error"), none.alias("variant"))
     every = docx.unionByName(plain).unionByName(other)
-    return every.withColumn("extractor", F.when(F.col("error").isNull(), F.concat(F.lit("native_"), "ext")))
+    name = F.concat_ws("_", F.lit("native"), "ext", F.when(F.col("variant") != variants[0], F.col("variant")))
+    return every.withColumn("extractor", F.when(F.col("error").isNull(), name)).drop("variant")
+
+
+def read(spark: SparkSession, path: str, variants: tuple[str, ...] = ("whole",)) -> DataFrame:
+    """Every file under a path that the allow-list has, extracted."""
+    return extracted(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content"), variants)
+
+
+def pages_joined(pages: Column, most: int = 50, join: str = "\n\n") -> Column:
+    """struct<text, page_count, error> of what a PDF reader gives, an array of page texts: the first `most` pages; under
+    100 characters in all the file is a scan."""
+    text = F.array_join(F.slice(pages, 1, most), join)
+    error = F.when(pages.isNull(), "PDF_NO_TEXT").when(F.length(F.trim(text)) < 100, "PDF_SCANNED")
+    return F.struct(text.alias("text"), F.size(pages).alias("page_count"), error.alias("error"))
+
+
+def stale(files: DataFrame, now: Column, minutes: int = 30) -> DataFrame:
+    """files (path, modificationTime) that have outlived their time; removing them is up to the caller."""
+    return files.where(F.col("modificationTime") < now - F.make_interval(mins=F.lit(minutes)))
+
+
+def jsonl(spark: SparkSession, path: str) -> DataFrame:
+    """Training examples, one JSON object {text, entities: [[start, end, label]]} a line; lines that are none are left out."""
+    rows = spark.read.schema("text string, entities array<array<string>>").json(path).where("text IS NOT NULL")
+    one = lambda e: F.struct(F.get(e, F.lit(0)).cast("int").alias("start"), F.get(e, F.lit(1)).cast("int").alias("end"), F.get(e, F.lit(2)).alias("label"))
+    return rows.select("text", F.transform("entities", one).alias("entities"))
+
+
+def write_jsonl(records: DataFrame, path: str) -> None:
+    """Training examples as `jsonl` reads them."""
+    one = lambda e: F.array(e["start"].cast("string"), e["end"].cast("string"), e["label"])
+    body = F.to_json(F.struct("text", F.transform("entities", one).alias("entities")))
+    records.select(body.alias("value")).write.text(path)
+
+
+def write_documents(docs: DataFrame, path: str) -> DataFrame:
+    """docs (doc_id, ext, text, blocks array<string>) as files: DOCX where the extension says so and its blocks are known,
+    plain text else. Gives doc_id and path of each; a task that runs again writes the same file again."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            data = [docx_bytes(list(b)) if e == "docx" and b is not None else t.encode() for e, t, b in zip(rows["ext"], rows["text"], rows["blocks"], strict=True)]
+            yield pd.DataFrame({"doc_id": rows["doc_id"], "ext": ["docx" if e == "docx" and b is not None else "txt" for e, b in zip(rows["ext"], rows["blocks"], strict=True)], "content": data})
+
+    files = docs.select("doc_id", "ext", F.coalesce("text", F.lit("")).alias("text"), "blocks").mapInPandas(run, "doc_id long, ext string, content binary")
+    files.write.partitionBy("ext").parquet(path)
+    return docs.sparkSession.read.parquet(path).select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit("."), "ext").alias("path"), "content")
 
 
 def report(rows: DataFrame) -> DataFrame:
@@ -96,15 +194,58 @@ def write_mapping(rows: DataFrame, path: str) -> None:
     mapping_rows(rows).write.option("header", True).csv(path)
 
 
+REPORT = {
+    "DIRECCION": "Las direcciones fueron detectadas mediante heurísticas. Revise el documento para confirmar la correcta anonimización.",
+    "PERSONA": "Los nombres fueron detectados mediante NER y patrones. Pueden existir nombres adicionales no detectados.",
+}  # fixed values: warnings of the report
+
+
+def report_text(rows: DataFrame, name: Column, ext: Column, at: Column) -> DataFrame:
+    """rows (doc_id, type, value, token, review) to one plain report a document: counts by type, replacements with masked
+    values, warnings. name, ext and at (the time, as text) are of the document."""
+    from veladura.operators.tokens import masked
+
+    rows = rows.select("doc_id", "type", "token", "review", name.alias("name"), ext.alias("ext"), at.alias("at"), masked(F.col("type"), F.col("value")).alias("shown"))
+    kinds = rows.groupBy("doc_id", "type").agg(
+        F.count("*").alias("n"), F.count_if("review").alias("review"), F.array_sort(F.collect_set(F.struct("token", "shown"))).alias("pairs"),
+        F.min("name").alias("name"), F.min("ext").alias("ext"), F.min("at").alias("at"),
+    )
+    docs = kinds.groupBy("doc_id").agg(
+        F.array_sort(F.collect_list(F.struct("type", "n", "pairs"))).alias("kinds"), F.sum("n").alias("n"), F.sum("review").alias("review"),
+        F.min("name").alias("name"), F.min("ext").alias("ext"), F.min("at").alias("at"),
+    )
+    line, thin = F.lit("=" * 60), F.lit("-" * 40)
+    counts = F.transform("kinds", lambda k: F.concat(F.lit("  "), k["type"], F.lit(": "), k["n"]))
+    pairs = F.transform("kinds", lambda k: F.concat(F.lit("\n"), k["type"], F.lit(":\n"), F.array_join(F.transform(k["pairs"], lambda p: F.concat(F.lit("  "), p["token"], F.lit(" <- "), p["shown"])), "\n")))
+    told = F.filter(
+        F.array(
+            *(F.when(F.exists("kinds", lambda k: k["type"] == t), F.lit(f"  * {REPORT[t]}")) for t in REPORT),
+            F.when(F.col("review") > 0, F.concat(F.lit("  * Se detectaron "), "review", F.lit(" entidades que requieren revisión manual."))),
+        ),
+        lambda w: w.isNotNull(),
+    )
+    head = F.array(
+        line, F.lit("REPORTE DE ANONIMIZACIÓN"), line, F.lit(""), F.concat(F.lit("Fecha de procesamiento: "), "at"), F.concat(F.lit("Archivo original: "), "name"),
+        F.concat(F.lit("Tipo de archivo: "), "ext"), F.lit("Modo de sustitución: tokens"), F.lit("Modo estricto: Sí"), F.lit(""), thin,
+        F.lit("RESUMEN DE ENTIDADES DETECTADAS"), thin, F.concat(F.lit("Total de entidades: "), "n"), F.concat(F.lit("Pendientes de revisión: "), "review"), F.lit(""),
+    )
+    warned = F.when(F.size(told) > 0, F.concat(F.array(F.lit(""), thin, F.lit("ADVERTENCIAS"), thin), told)).otherwise(F.array().cast("array<string>"))
+    body = F.concat(head, counts, F.array(F.lit(""), thin, F.lit("REEMPLAZOS REALIZADOS"), thin), pairs, warned, F.array(F.lit(""), line))
+    return docs.select("doc_id", F.array_join(body, "\n").alias("report"))
+
+
+# --- fixed values: training labels ---
+TRAINING = (
+    ("EMAIL", Find(r"[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}", 0, ignore_case=True, hints=("@",))), ("DNI", Find(r"\b\d{8}\b", 0)),
+    ("MONTO", Find(r"S\/\s?\d+(?:\.\d{2})?", 0, ignore_case=True, anchors=("s/",))),
+    ("FECHA", Find(r"\d{1,2}\s+DE\s+[A-ZÁÉÍÓÚÑ]+\s+(?:DEL\s+)?\d{4}", 0, ignore_case=True)),
+    ("PERSONA", Find(r"^[A-ZÁÉÍÓÚÑ\s]{10,}$", 0, multiline=True)),
+)
+
+
 def training_records(docs: DataFrame) -> DataFrame:
-    """Training examples {text, entities: [[start, end, label]]} from addresses, identity numbers and capital lines."""
-    from veladura.functions import fixed as X
-    from veladura.functions.spans import java, spans
-    from veladura.operators import detect
-
-    text = F.col("text")
-    named = (("EMAIL", detect.email(text)), ("DNI", spans(text, java(X.DNI))), ("PERSONA", spans(text, java(X.CAPITALS))))
-    every = F.concat(*(_labelled(a, k) for k, a in named))
+    """Training examples {text, entities: [[start, end, label]]}: addresses, identity numbers, sums, dates, capital lines."""
+    every = F.concat(*(_labelled(spans(F.col("text"), find), label) for label, find in TRAINING))
     return docs.select("doc_id", "text", F.array_sort(every).alias("entities"))
 
 
