@@ -459,7 +459,7 @@ def review_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 WHOLE = ("Lleva DNI {c8} consigo.", "Escriba user{c}@mail.pe pronto.", "Ante el Juzgado de Familia: lugar", "Tiene DNI {c8} igual.", "Otro DNI 4{c7} mas.")
-WHOLE_CLEAN = ("Lleva DNI {{DNI_2}} consigo.", "Escriba {{EMAIL_1}} pronto.", "Ante el {{JUZGADO_100}}: lugar", "Tiene DNI {{DNI_2}} igual.", "Otro DNI {{DNI_1}} mas.")
+WHOLE_CLEAN = ("Lleva DNI {{DNI_2}} consigo.", "Escriba {{EMAIL_1}} pronto.", "Ante el{{JUZGADO_100}}: lugar", "Tiene DNI {{DNI_2}} igual.", "Otro DNI {{DNI_1}} mas.")
 
 
 @query("anonymized_text", f"SELECT o_orderkey AS doc_id, {_joined(WHOLE_CLEAN)} AS clean, 4 AS replaced, true AS is_safe FROM orders")
