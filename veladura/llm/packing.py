@@ -15,6 +15,7 @@ an empty result; extra columns are ignored. Pieces tie on length; ties go by sal
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -22,6 +23,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import tiktoken
+import tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +35,26 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 SALTS = 64
 
 
+#: The faster library's expressions run out of stack on longer runs of white space.
+LONG_SPACE = re.compile(r"\s{20000}")
+
+
+@lru_cache(2)
+def plain_encoder(path: str) -> tokenizers.Tokenizer:
+    return tokenizers.Tokenizer.from_file(path)
+
+
+def ids_of(path: str, text: str) -> list[int]:
+    """The ids of a text. Texts with a long run of white space go to the tokenizers library itself, which takes them."""
+    if len(text) >= 20000 and LONG_SPACE.search(text):
+        plain = plain_encoder(path)
+        plain.no_truncation()
+        plain.no_padding()
+        return plain.encode(text, add_special_tokens=False).ids
+    enc, special = encoder(path)
+    return enc.encode(text, allowed_special=special)
+
+
 @lru_cache(2)
 def encoder(path: str) -> tuple[tiktoken.Encoding, set[str]]:
     """The byte-level vocabulary of a tokenizers file, run by the faster library; ids are the same."""
@@ -46,11 +68,10 @@ def encoder(path: str) -> tuple[tiktoken.Encoding, set[str]]:
 
 def _cut(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, special = encoder(path)
         for batch in batches:
             rows: list[list[int]] = [[], [], [], [], []]
             for i, text in enumerate(batch.column(1).to_pylist()):
-                ids = np.append(np.asarray(enc.encode(text or "", allowed_special=special), np.uint32), np.uint32(end_id))
+                ids = np.append(np.asarray(ids_of(path, text or ""), np.uint32), np.uint32(end_id))
                 data, total = ids.astype("<u4").tobytes(), len(ids)
                 for start in range(0, total, capacity):
                     n = min(capacity, total - start)
