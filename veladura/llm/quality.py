@@ -138,7 +138,11 @@ def repeat_words(ids: np.ndarray) -> int:
     if len(ids) < 4:
         return 0
     ids = ids.astype(np.int64)
-    key = (ids[:-2] << 42) | (ids[1:-1] << 21) | ids[2:]
+    wide = int(ids.max()) + 1
+    if wide <= 1 << 21:
+        key = (ids[:-2] << 42) | (ids[1:-1] << 21) | ids[2:]
+    else:  # three ids no longer fit one key: pairs are numbered first
+        key = np.unique(ids[:-2] * wide + ids[1:-1], return_inverse=True)[1].astype(np.int64) * wide + ids[2:]
     _, back, n = np.unique(key, return_inverse=True, return_counts=True)
     hit = n[back] > 1
     if not hit.any():
