@@ -2,7 +2,8 @@
 
 Each distinct piece of text is split once; the symbols of many words lie in one flat array. A round looks up
 the rank of every adjacent pair by binary search over the sorted pair keys, takes the lowest rank of each word,
-merges its leftmost occurrences and goes on until no word has a pair left.
+merges its leftmost occurrences and goes on until no word has a pair left. Words of more than LONG_WORD bytes, on
+which a round would cost as much as they are long, are merged by the same ranks from a heap.
 
 Null texts are empty; an empty text has no ids. Memory is bounded by the cache's size and one Arrow batch.
 """
@@ -10,6 +11,7 @@ Null texts are empty; an empty text has no ids. Memory is bounded by the cache's
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -23,6 +25,7 @@ from pyspark.sql import DataFrame
 from .base import small_batches, text_blocks
 
 CACHE = 300_000
+LONG_WORD = 512
 SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACES = regex.compile(f"[{SPACE}]+")
 NOT_SPACE = regex.compile("[\x1c-\x1f]")
@@ -40,6 +43,29 @@ def byte_symbols() -> list[str]:
     return out
 
 
+# --- fixed values: what Unicode 16 added to Python's 15.1 and the library's expressions know (the regex module knows more),
+# and the lower case of letters that Unicode 16 and 17 added, as its normalizer has it
+ADDED = {
+    "L": ((0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+          (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1),
+          (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF),
+          (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0)),
+    "N": ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)),
+}
+LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+LOWER |= {i: i + 0x20 for i in range(0x10D50, 0x10D66)} | {i: i + 0x1B for i in range(0x16EA0, 0x16EB9)}
+NEW_UPPER = regex.compile("[" + "".join(map(chr, LOWER)) + "]")
+
+
+@lru_cache(2)
+def category(first: str) -> str:
+    """The characters of a general category in Unicode 16, as ranges of a regular expression's class."""
+    at = [i for i in range(0x110000) if unicodedata.category(chr(i))[0] == first]
+    cuts = [0, *(k for k in range(1, len(at)) if at[k] != at[k - 1] + 1), len(at)]
+    ranges = [(at[a], at[b - 1]) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in [*ranges, *ADDED[first]])
+
+
 class Bpe:
     """A vocabulary with word ends, read from a tokenizers file: NFC, white space dropped, lower case."""
 
@@ -53,7 +79,7 @@ class Bpe:
         self.tokens = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         splits = [x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split"]
         # the library's \s leaves out U+001C to U+001F, which Python's has
-        self.pattern = regex.compile(splits[0].replace(r"\s", SPACE))
+        self.pattern = regex.compile(splits[0].replace(r"\s", SPACE).replace(r"\p{L}", category("L")).replace(r"\p{N}", category("N")))
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
         symbols = byte_symbols()
         self.plain = np.array([vocab[s] for s in symbols], np.int64)
@@ -64,6 +90,7 @@ class Bpe:
         made = np.array([vocab[a + b] for a, b in pairs], np.int64)
         keys, first = np.unique(keys, return_index=True)
         self.keys, self.ranks, self.made = keys, first, made[first]
+        self.pairs = {k: (r, m) for k, r, m in zip(keys.tolist(), first.tolist(), made[first].tolist(), strict=True)}
         self.cache: dict[str, tuple[str, int, str]] = {}
 
     def merge(self, words: list[bytes]) -> list[np.ndarray]:
@@ -110,6 +137,31 @@ class Bpe:
         order = np.argsort(word, kind="stable")
         return np.split(ids[order], np.cumsum(np.bincount(word, minlength=len(words)))[:-1])
 
+    def merge_long(self, word: bytes) -> np.ndarray:
+        """The ids of one long word: the same merges, lowest rank first, then leftmost, over a linked list. A round costs as
+        much as the word is long; here a merge costs what its two new pairs do."""
+        ids = self.plain[np.frombuffer(word, np.uint8)].tolist()
+        ids[-1] = int(self.final[word[-1]])
+        n = len(ids)
+        after, before = [*range(1, n), -1], [*range(-1, n - 1)]
+        pair, width = self.pairs, self.width
+        heap = [(r[0], i) for i in range(n - 1) if (r := pair.get(ids[i] * width + ids[i + 1]))]
+        heapq.heapify(heap)
+        while heap:
+            rank, i = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] < 0 or j < 0 or (r := pair.get(ids[i] * width + ids[j])) is None or r[0] != rank:
+                continue
+            ids[i], ids[j], k = r[1], -1, after[j]
+            after[i] = k
+            if k >= 0:
+                before[k] = i
+                if r := pair.get(ids[i] * width + ids[k]):
+                    heapq.heappush(heap, (r[0], i))
+            if (h := before[i]) >= 0 and (r := pair.get(ids[h] * width + ids[i])):
+                heapq.heappush(heap, (r[0], h))
+        return np.array([x for x in ids if x >= 0], np.int64)
+
     def pieces(self, chunk: str) -> list[str]:
         return self.pattern.findall(chunk)
 
@@ -117,7 +169,10 @@ class Bpe:
         """Put the ids of chunks (normalised, without white space) into the cache."""
         parts = [self.pieces(c) for c in chunks]
         distinct = list(dict.fromkeys(p for ps in parts for p in ps))
-        made = dict(zip(distinct, self.merge([p.encode() for p in distinct]), strict=True))
+        data = {p: p.encode() for p in distinct}
+        short = [p for p in distinct if len(data[p]) <= LONG_WORD]
+        made = dict(zip(short, self.merge([data[p] for p in short]), strict=True))
+        made |= {p: self.merge_long(data[p]) for p in distinct if len(data[p]) > LONG_WORD}
         tokens = self.tokens
         for c, ps in zip(chunks, parts, strict=True):
             ids = [i for p in ps for i in made[p].tolist()]
@@ -162,6 +217,8 @@ def chunks_of(text: str) -> list[str]:
     """NFC, lower case letter by letter (without the final-sigma rule that str.lower has), split at white space."""
     if not text.isascii():
         text = unicodedata.normalize("NFC", text)
+        if NEW_UPPER.search(text):
+            text = text.translate(LOWER)
     text = text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
     return [c for c in SPACES.split(text) if c] if NOT_SPACE.search(text) else text.split()
 
