@@ -122,24 +122,63 @@ def test_brown_lm(docs):
 
 
 def test_brown_lm_probabilities_sum_to_one(spark):
-    train = spark.createDataFrame([("a b a c",), ("b a d",), (None,)], "text string")
-    p = brown_lm.Params(head=3, signatures=4, lookup=4, classes=3)
+    train = spark.createDataFrame([("a b a c e",), ("b a d f",), ("c e f g a b",), (None,)], "text string")
+    p = brown_lm.Params(head=3, signatures=4, lookup=5, classes=3)
     model, counts = brown_lm.fit(train, p)
-    known = [bytes(r.word) for r in counts.collect()]
-    tests = [w.decode() for w in known if w]
-    # one unknown word for each signature bucket stands for all words that the bucket has not seen
-    fill, i = {}, 0
-    while len(fill) < p.signatures:
-        w = f"zz{i}".encode()
-        fill.setdefault(brown_lm.signature(w, p), w)
-        i += 1
-    tests += [w.decode() for w in fill.values()]
-    got = {r.doc_id: r.score for r in brown_lm.score(spark.createDataFrame([(i, t) for i, t in enumerate([*tests, ""])], "doc_id long, text string"), model, counts).collect()}
-    # P(word) P(end | class of word) summed over words is below one; with the end alone added it is the first step's mass
-    end = 10 ** got[len(tests)]
-    assert 0 < end < 1
-    steps = 10**model.steps
-    assert np.allclose(steps.sum(1), 1)
+    assert 3 < len(model.words) <= 6
+    seen = {bytes(r.word): r.n for r in counts.collect()}
+    total = np.zeros(p.classes)
+    for i, w in enumerate(model.words):
+        total[model.classes[i]] += 10 ** model.emit[i]
+    for k in range(p.signatures):
+        unit = len(model.words) + k
+        # the rare words of a bucket, and one place for all that it has not seen
+        here = [n for w, n in seen.items() if w not in model.words and brown_lm.signature(w, p) == k]
+        total[model.classes[unit]] += 10 ** model.emit[unit] * (sum(n + 0.1 for n in here) + 0.1)
+    used = [c for c in range(p.classes) if (model.classes == c).any()]
+    assert np.allclose(total[used], 1) and np.allclose((10**model.steps).sum(1), 1)
+
+
+def test_brown_lm_scores_are_those_of_the_plain_model(docs):
+    p = brown_lm.Params(head=20, signatures=16, lookup=60, classes=8, flush=64)
+    train = docs.where(F.col("doc_id") % 10 != 0).select("text")
+    model, counts = brown_lm.fit(train, p)
+    assert len(model.words) > 40 and (model.classes >= 0).all()
+    seen = {bytes(r.word): r.n for r in counts.collect()}
+    rank = {w: i for i, w in enumerate(model.words)}
+    want = Counter()
+    for r in docs.collect():
+        score, before = 0.0, 0
+        for w in [*(x.encode() for x in words(r.text)), b""]:
+            unit = rank.get(w, len(rank) + brown_lm.signature(w, p))
+            cls = int(model.classes[unit])
+            score += model.steps[before, cls] + model.emit[unit] + (0 if w in rank else math.log10(seen.get(w, 0) + 0.1))
+            before = cls
+        want[r.doc_id, round(score, 6)] += 1
+    assert Counter((r.doc_id, round(r.score, 6)) for r in brown_lm.score(docs, model, counts).collect()) == want
+
+
+def test_brown_lm_class_bigrams_are_those_of_the_texts(spark):
+    """Words beyond the head get the class that suits their neighbours; the grid counts final classes."""
+    texts = [" ".join(x for i in range(40) for x in (rng.choice(["el", "la"]), rng.choice([f"n{j}" for j in range(12)]), rng.choice([f"v{j}" for j in range(12)]))) for _ in range(60)]
+    p = brown_lm.Params(head=12, signatures=2, lookup=40, classes=4, rounds=8)
+    model, _ = brown_lm.fit(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), p)
+    cls = dict(zip(model.words, model.classes[: len(model.words)].tolist(), strict=True))
+    grid = np.zeros((4, 4))
+    for t in texts:
+        ring = [0, *(cls[w.encode()] for w in t.split()), 0]
+        for a, b in zip(ring, ring[1:]):
+            grid[a, b] += 1
+    assert np.allclose(model.steps, np.log10((grid + 0.5) / (grid.sum(1, keepdims=True) + 2)))
+    nouns, verbs = Counter(cls[f"n{j}".encode()] for j in range(12)), Counter(cls[f"v{j}".encode()] for j in range(12))
+    assert nouns.most_common(1)[0][1] + verbs.most_common(1)[0][1] >= 20 and nouns.most_common(1)[0][0] != verbs.most_common(1)[0][0]
+
+
+@pytest.mark.parametrize("most, want", [(100, 6), (6, 6), (5, 3), (3, 3), (2, 2), (1, 1), (0, 0)])
+def test_frequent_words(spark, most, want):
+    rows = [(b"", 0, 99)] + [(w.encode(), 0, n) for w, n in (("a", 1000), ("b", 1001), ("c", 7), ("d", 1), ("e", 1), ("f", 1))]
+    got = brown_lm.frequent(spark.createDataFrame(rows, "word binary, sig int, n long"), most).collect()
+    assert len(got) == want and all(r.n >= 1 for r in got)
 
 
 def test_exchange_raises_likelihood():

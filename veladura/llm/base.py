@@ -10,22 +10,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new path below spark.checkpoint.dir, the folder that driver and executors share. Where that is unset a local master,
+    as in tests, gets a folder of its own; on a cluster it is an error, for no folder of one machine would do."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
-        at = tempfile.mkdtemp(prefix="veladura-")
-        spark.sparkContext.setCheckpointDir(at)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="veladura-"))
         at = spark.sparkContext.getCheckpointDir()
-    return at.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df, computed once and read back from the shared folder: cuts lineage and survives lost executors."""
+    """df, computed once and read back from the shared folder: cuts lineage and survives lost executors. Results are lazy
+    and read these tables later, so that clearing the folder is up to whoever owns it, once results are written."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,15 +1,17 @@
 """Brown class-based bigram model: P(text) = product of P(class | class before) * P(word | class).
 
-Units are the `head` most frequent training words (the end token among them) and `signatures` buckets of
-all rarer words by their last three bytes. Exchange clustering moves units between `classes` classes while
-that raises the bigram likelihood. Unit bigrams are counted over every training text, so what is gathered
-grows with the corpus, but the clustered matrix is at most (head + signatures)^2 cells whatever its size:
-only that matrix and the `lookup` most frequent words are ever sent to the driver or broadcast. Counts of
-rarer words stay in a table and meet the texts in a shuffled join; the words hot enough to skew that join
-are exactly those that the lookup has.
+The vocabulary that is clustered word by word is every training word above a floor of occurrences, the least floor that
+leaves `lookup` words at most. Classes are found in two steps. Exchange clustering moves the `head` most frequent of them,
+and `signatures` buckets of words below the floor by their last three bytes, between `classes` classes while that raises
+the bigram likelihood. Then every other word of the lookup goes to the class that makes its own neighbours most likely:
+its counts before and after each class, gathered over all training texts in a shuffle by word, weighed in the tasks that
+hold them. Class bigrams are counted once more with the final classes. Only the lookup's words with their classes, and
+matrices of classes, reach the driver or are broadcast; counts of words below the floor stay in a table and meet the texts
+in a shuffled join, which the words hot enough to skew it, being in the lookup, don't take part in.
 
 Null and empty texts hold the end token alone. Rows that repeat are scored one by one and count as often
-as they occur. An empty table gives an empty result; extra columns are ignored.
+as they occur. An empty table gives an empty result; extra columns are ignored. Words that occur equally often are above
+the floor together or not at all; of classes that suit a word equally well it takes the first.
 """
 
 from __future__ import annotations
@@ -176,10 +178,10 @@ def exchange(pairs: np.ndarray, p: Params) -> np.ndarray:
 
 @dataclass
 class Model:
-    """words: the lookup's words by falling count, `size` of which are units; all arrays are of bounded size."""
+    """words: the lookup by falling count, the end token first; classes: of its words, then of the buckets; all arrays are of
+    bounded size. emit is log10 P(word | class); for a bucket what a word of it with no count but ADD has, less that ADD."""
 
     params: Params
-    size: int
     words: list[bytes]
     counts: np.ndarray
     classes: np.ndarray
@@ -193,62 +195,159 @@ class Model:
         return self.tokens + ADD * (self.distinct + 1)
 
 
+def frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The words above the least floor of occurrences that leaves `most` of them at most (the end token apart): found in a
+    histogram of counts by powers of 2^(1/8), then by the counts of the one bin in which the floor lies."""
+    words = counts.where(F.length("word") > 0).withColumn("bin", F.floor(8 * F.log2("n")).cast("int"))
+    left, floor = most, 0
+    for r in sorted(words.groupBy("bin").agg(F.count("*").alias("v")).collect(), key=lambda r: -r["bin"]):
+        if r["v"] > left:
+            for n, v in sorted(((x["n"], x["v"]) for x in words.where(F.col("bin") == r["bin"]).groupBy("n").agg(F.count("*").alias("v")).collect()), reverse=True):
+                if v > left:
+                    floor = n
+                    break
+                left -= v
+            break
+        left -= r["v"]
+    return words.where(F.col("n") > floor).select("word", "sig", "n")
+
+
+def _ranks(words: list[bytes], rank: dict[bytes, int], size: int, p: Params) -> np.ndarray:
+    """Places in the lookup; words that it lacks count on from its size by bucket."""
+    at = np.fromiter(map(rank.get, words, repeat(-1)), np.int64, len(words))
+    for i in np.flatnonzero(at < 0):
+        at[i] = size + signature(words[i], p)
+    return at
+
+
+def _rings(batches: Iterator[pa.RecordBatch], rank: dict[bytes, int], size: int, p: Params) -> Iterator[np.ndarray]:
+    """Texts in blocks of about `flush` tokens as units, an end token before, between and after them."""
+    held, waiting = [np.zeros(1, np.int64)], 0
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            held.append(np.append(_ranks(words_of(text), rank, size, p) if text else np.zeros(0, np.int64), 0))
+            waiting += len(held[-1])
+            if waiting >= p.flush:
+                yield np.concatenate(held)
+                held, waiting = [np.zeros(1, np.int64)], 0
+    if waiting:
+        yield np.concatenate(held)
+
+
+def _contexts(shared, p: Params):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank, cls, _ = shared.value
+        size, c = len(rank), p.classes
+        for ring in _rings(batches, rank, size, p):
+            own = cls[ring]
+            later = np.flatnonzero((own < 0) & (ring < size))
+            keys = []
+            for step, shift in ((1, 0), (-1, c)):
+                near = own[later + step]
+                fine = near >= 0
+                keys.append(ring[later][fine] * 2 * c + shift + near[fine])
+            keys, n = np.unique(np.concatenate(keys), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys // (2 * c), pa.int32()), pa.array(keys % (2 * c), pa.int32()), pa.array(n, pa.int64())], names=["w", "k", "n"])
+
+    return run
+
+
+def _assign(shared, p: Params):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, _, (steps, mass) = shared.value
+        c, rows = p.classes, {}
+        for batch in batches:
+            for w, k, n in zip(*(batch.column(i).to_numpy() for i in range(3)), strict=True):
+                rows.setdefault(int(w), np.zeros(2 * c))[k] += n
+        if rows:
+            seen = np.stack(list(rows.values()))
+            after, before = seen[:, :c], seen[:, c:]
+            # the word's neighbours under each class, less what its tokens cost by sharing the class's mass
+            gain = after @ steps.T + before @ steps - np.maximum(after.sum(1), before.sum(1))[:, None] * mass[None, :]
+            gain[:, 0] = -np.inf
+            yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int32()), pa.array(gain.argmax(1), pa.int32())], names=["w", "cls"])
+
+    return run
+
+
+def _class_pairs(shared, p: Params):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank, cls = shared.value
+        grid = np.zeros(p.classes * p.classes, np.int64)
+        for ring in _rings(batches, rank, len(rank), p):
+            own = cls[ring]
+            grid += np.bincount(own[:-1] * p.classes + own[1:], minlength=len(grid))
+        at = np.flatnonzero(grid)
+        yield pa.RecordBatch.from_arrays([pa.array(at // p.classes, pa.int32()), pa.array(at % p.classes, pa.int32()), pa.array(grid[at])], names=["a", "b", "n"])
+
+    return run
+
+
+def log_steps(grid: np.ndarray, p: Params) -> np.ndarray:
+    return np.log10((grid + p.smooth) / (grid.sum(1, keepdims=True) + p.smooth * p.classes))
+
+
 def fit(train: DataFrame, p: Params = Params()) -> tuple[Model, DataFrame]:
     """The model and the table of all training words (word, sig, n)."""
+    context = train.sparkSession.sparkContext
     counts = written(word_counts(train, p), "lm-words")
     by_sig = counts.groupBy("sig").agg(F.sum("n").alias("n"), F.count("*").alias("v")).toArrow().to_pylist()
-    top = counts.orderBy(F.col("n").desc(), "word").limit(p.lookup).toArrow()
-    words, ns, sigs = ([*map(bytes, top["word"].to_pylist())], top["n"].to_numpy().astype(np.int64), top["sig"].to_numpy())
-    at_end = words.index(END) if END in words else -1
-    front = [at_end] if at_end >= 0 else []
-    order = np.array(front + [i for i in range(len(words)) if i != at_end], np.int64)
-    words, ns, sigs = [words[i] for i in order], ns[order], sigs[order]
-    if at_end < 0:
-        n_end = counts.where(F.length("word") == 0).agg(F.sum("n")).first()[0] or 0
-        words, ns, sigs = [END, *words], np.concatenate(([n_end], ns)), np.concatenate(([signature(END, p)], sigs))
-    size = min(p.head, len(words))
-    pairs = unit_bigrams(train, {w: i for i, w in enumerate(words[:size])}, p)
-    cls = exchange(pairs, p)
-    member = np.eye(p.classes)[cls]
+    ends = counts.where(F.length("word") == 0).agg(F.sum("n")).first()[0] or 0
+    top = sorted(((bytes(r["word"]), r["n"], r["sig"]) for r in frequent(counts, p.lookup).toArrow().to_pylist()), key=lambda r: (-r[1], r[0]))
+    words = [END, *(w for w, _, _ in top)]
+    ns = np.array([ends, *(n for _, n, _ in top)], np.int64)
+    sigs = np.array([signature(END, p), *(s for _, _, s in top)], np.int64)
+    size, head = len(words), min(p.head, len(words))
+    pairs = unit_bigrams(train, {w: i for i, w in enumerate(words[:head])}, p)
+    first = exchange(pairs, p)
+    member = np.eye(p.classes)[first]
     grid = member.T @ pairs @ member
-    steps = np.log10((grid + p.smooth) / (grid.sum(1, keepdims=True) + p.smooth * p.classes))
+    cls = np.full(size + p.signatures, -1, np.int64)
+    cls[:head], cls[size:] = first[:head], first[head:]
+    rank = {w: i for i, w in enumerate(words)}
+    if size > head:
+        mass = np.log10(np.maximum(grid.sum(0), 1))
+        shared = context.broadcast((rank, cls, (log_steps(grid, p), mass)))
+        near = train.select("text").mapInArrow(_contexts(shared, p), "w int, k int, n long")
+        found = near.repartition("w").mapInArrow(_assign(shared, p), "w int, cls int").toArrow()
+        cls[found["w"].to_numpy()] = found["cls"].to_numpy()
+        # words none of whose neighbours has a class yet
+        lost = np.flatnonzero(cls[:size] < 0)
+        cls[lost] = cls[size + sigs[lost]]
+        shared = context.broadcast((rank, cls))
+        cells = train.select("text").mapInArrow(_class_pairs(shared, p), "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).toArrow()
+        grid = np.zeros((p.classes, p.classes))
+        grid[cells["a"].to_numpy(), cells["b"].to_numpy()] = cells["n"].to_numpy()
     rare_n, rare_v = np.zeros(p.signatures), np.zeros(p.signatures)
     for r in by_sig:
         rare_n[r["sig"]], rare_v[r["sig"]] = r["n"], r["v"]
-    np.subtract.at(rare_n, sigs[:size], ns[:size])
-    np.subtract.at(rare_v, sigs[:size], ns[:size] > 0)
-    unit_n = np.concatenate((ns[:size], rare_n))
+    np.subtract.at(rare_n, sigs, ns)
+    np.subtract.at(rare_v, sigs, ns > 0)
+    unit_n = np.concatenate((ns, rare_n))
     per_class_n = np.bincount(cls, unit_n, p.classes)
     per_class_v = np.bincount(cls, minlength=p.classes)
     emit = np.log10((unit_n + ADD) / (per_class_n[cls] + ADD * per_class_v[cls]))
     emit[size:] -= np.log10(rare_n + ADD * (rare_v + 1))
-    total = sum(r["n"] for r in by_sig)
-    distinct = sum(r["v"] for r in by_sig)
-    return Model(p, size, words, ns, cls, steps, emit, total, distinct), counts
+    total, distinct = sum(r["n"] for r in by_sig), sum(r["v"] for r in by_sig)
+    return Model(p, words, ns, cls, log_steps(grid, p), emit, total, distinct), counts
 
 
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
-        p, size = m.params, m.size
+        p, size = m.params, len(m.words)
         rank = {w: i for i, w in enumerate(m.words)}
         logs = np.log10(m.counts + ADD)
-        extra = np.where(np.arange(len(m.words)) >= size, logs, 0.0)
         den = np.log10(m.base_den) if m.base_den > 0 else 0.0
-        sig_of = np.array([signature(w, p) for w in m.words], np.int64) + size
-        unit_of = np.where(np.arange(len(m.words)) < size, np.arange(len(m.words)), sig_of)
         lows = np.log10(ADD)
         for batch in batches:
             rows = []
             for text in batch.column(batch.schema.get_field_index("text")).to_pylist():
                 words = words_of(text)
                 words.append(END)
-                at = np.fromiter(map(rank.get, words, repeat(-1)), np.int64, len(words))
-                rare = np.flatnonzero(at < 0)
-                unit = unit_of[at]
-                for i in rare:
-                    unit[i] = size + signature(words[i], p)
-                known = at[at >= 0]
+                unit = _ranks(words, rank, size, p)
+                rare = np.flatnonzero(unit >= size)
+                known = unit[unit < size]
                 cls = m.classes[unit]
                 steps = m.steps[np.concatenate(([0], cls[:-1])), cls].sum()
                 tail = Counter([words[i] for i in rare])
@@ -257,7 +356,7 @@ def _score(shared):
                         len(words),
                         int((m.counts[known] > 0).sum()),
                         float(logs[known].sum() + lows * len(rare) - den * len(words)),
-                        float(steps + m.emit[unit].sum() + extra[known].sum() + lows * len(rare)),
+                        float(steps + m.emit[unit].sum() + lows * len(rare)),
                         [{"word": w, "n": n} for w, n in tail.items()],
                     )
                 )
