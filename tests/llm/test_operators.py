@@ -346,21 +346,43 @@ def test_distance_bounds():
     assert np.allclose(got, [1, 0, 1])
 
 
-def test_vafile(spark):
-    vec = np.random.default_rng(1).normal(size=(300, 6)).astype(np.float32)
+@pytest.mark.parametrize("bits, block, queries, dim", [(2, 40, 3, 6), (4, 64, 2, 7), (4, 8192, 512, 1), (6, 50, 4, 5)])
+def test_vafile(spark, bits, block, queries, dim):
+    vec = np.random.default_rng(dim).normal(size=(300, dim)).astype(np.float32)
     vec[50:60] = vec[0]
-    rows = [(i, v.tolist()) for i, v in enumerate(vec)] + [(300, None), (301, [None] * 6), (302, [math.nan] * 6), (303, [math.inf] + [0.0] * 5), (7, vec[7].tolist()), (400, [1.0, 2.0])]
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = vafile.top_k(vafile.as_integers(table), F.col("vec_id") % 50 == 0, 5, 2, block=40, queries=3).collect()
-    x = np.floor(256 * vec.astype(np.float64)).astype(np.int64)
+    rows = [(i, v.tolist()) for i, v in enumerate(vec)] + [(7, vec[7].tolist()), (50, vec[9].tolist()), (350, [0.0] * dim)]
+    none = [(300, None), (301, [None] * dim), (302, [math.nan] * dim), (303, [math.inf] + [0.0] * (dim - 1)), (None, vec[1].tolist()), (400, [1.0] * (dim + 1)), (500, [])]
+    table = spark.createDataFrame([(*r, "extra", 1) for r in rows + none], "vec_id long, embedding array<float>, score string, row int")
+    got = vafile.top_k(vafile.as_integers(table), F.col("vec_id") % 50 == 0, 5, bits, block=block, queries=queries).collect()
+    x = [(i, np.floor(256 * np.array(v, np.float32).astype(np.float64)).astype(np.int64)) for i, v in rows]
     want = []
-    for q in range(0, 300, 50):
-        s = sorted((-int(x[q] @ x[i]), i) for i in range(300) if i != q)[:5]
-        want += [(q, k + 1, i, -v) for k, (v, i) in enumerate(s)]
-    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == want
+    for a, (q, own) in enumerate(x):
+        if q % 50 == 0:
+            best = sorted((-int(own @ v), i) for b, (i, v) in enumerate(x) if a != b)[:5]
+            want += [(q, k + 1, i, -v) for k, (v, i) in enumerate(best)]
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want)
+
+
+def test_vafile_few_rows(spark):
+    table = spark.createDataFrame([(0, [1.0, -2.0]), (1, [0.5, 0.25])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in vafile.top_k(vafile.as_integers(table), F.col("vec_id") == 0).collect()] == [(0, 1, 1, 256 * 128 - 512 * 64)]
     assert vafile.top_k(vafile.as_integers(table.limit(0)), F.lit(True)).collect() == []
 
 
+def test_vafile_bounds_hold():
+    """Packed cells come back as they were, and every exact product lies between its bounds."""
+    g = np.random.default_rng(3)
+    for bits, dim in ((4, 5), (4, 8), (5, 3)):
+        x, q = g.integers(-900, 900, (60, dim)), g.integers(-900, 900, (9, dim))
+        low = x.min(0)
+        step = np.maximum(1, -(-(x.max(0) - low + 1) // (1 << bits)))
+        cells = (x - low) // step
+        assert cells.max() < 1 << bits
+        assert (vafile.unpack(vafile.pack(cells, bits), dim, bits) == cells).all()
+        lower, upper = vafile.bounds(q, cells.astype(np.uint8), low, step)
+        assert (lower <= x @ q.T).all() and (x @ q.T <= upper).all()
+
+
 def test_bpe_matches_the_library(docs):
     path = public_tokenizers.path("word_bpe_49k.json")
     tok = Tokenizer.from_file(path)
@@ -402,15 +424,29 @@ def test_secrets(spark):
     assert clean[0] == '[ASSIGN]" and PASSWORD:abc' and clean[5] == "[PEM]" and clean[6] == "" and clean[7] is None
 
 
-def test_secret_ledger_scans_only_what_it_lacks(spark, monkeypatch):
-    old = spark.createDataFrame([(1, "secret=abcdefg"), (2, "plain")], "doc_id long, text string")
-    ledger = secrets.update(old)
-    both = old.union(spark.createDataFrame([(3, "token=zyxwvut"), (4, "secret=abcdefg")], "doc_id long, text string"))
-    after = secrets.update(both, ledger)
-    assert after.count() == 3 and ledger.count() == 2
-    fresh = secrets.update(both, ledger, rules="2").where("rules = '2'")
-    assert fresh.count() == 3
-    assert {r.doc_id: len(r.spans) for r in secrets.findings(both, after).collect()} == {1: 1, 2: 0, 3: 1, 4: 1}
+def test_secret_ledger_scans_only_what_it_lacks(spark, tmp_path):
+    """Pairs of blob and version that the ledger has are not scanned again: what it says of them is believed."""
+    old = spark.createDataFrame([(1, "secret=abcdefg"), (2, "plain"), (5, "-----BEGIN PRIVATE KEY-----")], "doc_id long, text string")
+    ledger = secrets.update(old, versions=("base-1",))
+    assert sorted((r.rules, len(r.spans)) for r in ledger.collect()) == [("base-1", 0), ("base-1", 0), ("base-1", 1)]
+    told = ledger.withColumn("spans", F.when(F.size("spans") == 0, F.array(F.struct(F.lit("hex").alias("kind"), F.lit(0).cast("long").alias("start"), F.lit(1).cast("long").alias("stop")))).otherwise(F.col("spans")))
+    both = old.union(spark.createDataFrame([(3, "token=zyxwvut"), (4, "secret=abcdefg"), (6, None)], "doc_id long, text string"))
+    after = secrets.update(both, told)
+    # five blobs under two versions; three of them were known under one
+    assert after.count() == 10 and after.groupBy("blob", "rules").count().where("count > 1").count() == 0
+    assert secrets.update(both, after).count() == 10
+    got = {r.doc_id: [s.kind for s in r.spans] for r in secrets.findings(both, after).collect()}
+    assert got == {1: ["assign"], 2: ["hex"], 3: ["assign"], 4: ["assign"], 5: ["hex", "pem"], 6: []}
+    assert {r.doc_id: [s.kind for s in r.spans] for r in secrets.found(both, ledger).collect()} == {1: ["assign"], 2: [], 3: ["assign"], 4: ["assign"], 5: ["pem"], 6: []}
+
+
+def test_secret_query_is_that_of_one_scan(spark, tmp_path):
+    from veladura.llm import queries
+
+    rows = [(i, t) for i, t in enumerate(SECRETS * 3)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.spans for r in queries.op10_secret_ledger(spark, str(tmp_path)).collect()}
+    assert got == {i: ",".join(f"{k}:{a}:{b}" for k, a, b in secrets.scan(t or "")) for i, t in rows}
 
 
 def test_json_of_vocabularies_is_readable():
