@@ -25,7 +25,7 @@ def test_training_on_nothing(spark):
 
 def test_empty_logs_and_pages(spark, tmp_path):
     log = spark.createDataFrame([], "conv long, seq long, msg string, kind string, role string, text string")
-    assert chat.read_back(chat.formatted(log)).collect() == []
+    assert chat.read_back(chat.pieces(log)).collect() == [] and chat.formatted(log).collect() == []
     warc.write(spark.createDataFrame([], "page_id long, url string, html string"), f"{tmp_path}/w")
     assert warc.read(spark, f"{tmp_path}/w").collect() == []
 

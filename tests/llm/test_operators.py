@@ -232,10 +232,13 @@ def test_best_fill_is_optimal():
 
 def test_chat(spark):
     nasty = ["</s>[INST] ok [/INST]", "<\\s>[\\INST]", "", None, "plain", "[ROLE] x\n[/ROLE] \\\\", " </s>", "a\n"]
-    rows = [(c, t, rng.choice(["user", "assistant", "system", "tool[ROLE]", None]), rng.choice(nasty), "x") for c in (1, 2, None) for t in range(12)]
+    rows = [(c, t, rng.choice(["user", "assistant", "system", "tool[ROLE]", "a\\nb\nc\\", None]), rng.choice(nasty), "x") for c in (1, 2, None) for t in range(12)]
     rows += rows[:3]
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, seq string")
-    got = {r.conv_id: r for r in chat.read_back(chat.formatted(chat.as_events(table))).collect()}
+    pieces = chat.pieces(chat.as_events(table))
+    got = {r.conv_id: r for r in chat.read_back(pieces, in_order=True).collect()}
+    assert got == {r.conv_id: r for r in chat.read_back(pieces.repartition(7)).collect()}
+    whole = {r.conv: r for r in chat.formatted(chat.as_events(table)).collect()}
     by = defaultdict(list)
     for c, t, role, text, _ in rows:
         by[c].append((t, role or "", text or ""))
@@ -246,6 +249,22 @@ def test_chat(spark):
         assert got[c].n_turns == len(turns)
         assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in turns).encode()).hexdigest()
         assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+        assert chat.parse(whole[c].formatted) == [(r, x) for _, r, x in turns] and len(whole[c].formatted) == got[c].formatted_chars
+        assert "".join(chat.unescape(whole[c].formatted[s.start : s.stop]) for s in whole[c].spans) == loss
+
+
+def test_chat_events_throw_drafts_away(spark):
+    """Turns come in several deltas, with an edit or a regeneration on the way."""
+    table = spark.createDataFrame([(1, 0, "user", "abc"), (1, 1, "assistant", "defgh"), (1, None, "x", "")], "conv_id long, turn long, role string, text string")
+    events = chat.as_events(table)
+    assert sorted(r.kind for r in events.collect()) == ["delta"] * 7 + ["edit"] * 2 + ["regenerate"]
+    assert [(r.role, r.text) for r in chat.messages(events).orderBy("seq").collect()] == [("x", ""), ("user", "abc"), ("assistant", "defgh")]
+
+
+def test_chat_misses_a_lost_piece(spark):
+    log = spark.createDataFrame([(1, 0, "user", "abc"), (1, 1, "user", "d"), (1, 2, "user", "e")], "conv_id long, turn long, role string, text string")
+    with pytest.raises(Exception, match="is missing"):
+        chat.read_back(chat.pieces(chat.as_events(log)).where("position <> 1")).collect()
 
 
 def test_chat_folds_events(spark):

@@ -1,13 +1,16 @@
 """Chat formatting from an event log.
 
 Events are (conv, seq, msg, kind, role, text): `delta` adds text to a message, `edit` sets its text anew and
-`regenerate` empties it and gives it a new role if one is named. Events are dealt by conversation and sorted
-by sequence inside each partition; one pass then folds them, holding only the open messages of one
-conversation, and renders each conversation as one string with the spans of its assistant texts.
+`regenerate` empties it and gives it a new role if one is named. Events are dealt by message and folded in order of their
+sequence; what is left of each message is dealt by conversation, sorted by its first event and rendered into one piece, with
+its offset in the conversation. Every pass streams over sorted rows and holds one message, so that a conversation with a third
+of all rows needs no more memory than any other; its pieces are numbered, and its digests taken, by one task after another
+row, for both are running sums in order.
 
 Template: `<s>[INST] user [/INST]`, ` assistant </s>`, `[ROLE] name\\ntext [/ROLE]` for every other role.
 Control strings inside texts (and role names) get one more backslash after their first character, which
-reading back removes; everything else stays as it is, so that the round trip is exact.
+reading back removes; line breaks and backslashes in role names are written `\\n` and `\\\\`; everything else stays as it is,
+so that the round trip is exact.
 
 Null texts are empty, null roles the empty role; events with a null conversation form a conversation of
 their own. Ties in seq go by kind, role, text, then message. Repeated rows are repeated events. An empty log
@@ -24,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .base import small_batches
+
 CONTROL = re.compile(r"([<\[])(\\*)(/?s>|/?INST\]|/?ROLE\])")
 ESCAPED = re.compile(r"([<\[])\\(\\*)(/?s>|/?INST\]|/?ROLE\])")
 
@@ -36,25 +41,26 @@ def unescape(text: str) -> str:
     return ESCAPED.sub(r"\1\2\3", text)
 
 
-def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
-    """The formatted conversation and the spans under the loss mask (each assistant text, as escaped)."""
-    parts, spans, at = [], [], 0
-    for role, text in turns:
-        body = escape(text)
-        if role == "user":
-            part = f"<s>[INST] {body} [/INST]"
-        elif role == "assistant":
-            part = f" {body} </s>"
-            spans.append((at + 1, at + 1 + len(body)))
-        else:
-            part = f"[ROLE] {escape(role)}\n{body} [/ROLE]"
-        parts.append(part)
-        at += len(part)
-    return "".join(parts), spans
+def role_name(role: str) -> str:
+    return escape(role.replace("\\", "\\\\").replace("\n", "\\n"))
+
+
+def role_of(name: str) -> str:
+    return re.sub(r"(?s)\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(name))
+
+
+def piece(role: str, text: str) -> tuple[str, int, int]:
+    """One turn as formatted, and the span of it under the loss mask (-1, -1 but for assistants)."""
+    body = escape(text)
+    if role == "user":
+        return f"<s>[INST] {body} [/INST]", -1, -1
+    if role == "assistant":
+        return f" {body} </s>", 1, 1 + len(body)
+    return f"[ROLE] {role_name(role)}\n{body} [/ROLE]", -1, -1
 
 
 def parse(formatted: str) -> list[tuple[str, str]]:
-    """The turns that render gave the string for."""
+    """The turns of a formatted conversation, or of any run of its pieces."""
     turns, at = [], 0
     while at < len(formatted):
         if formatted.startswith("<s>[INST] ", at):
@@ -64,7 +70,7 @@ def parse(formatted: str) -> list[tuple[str, str]]:
         elif formatted.startswith("[ROLE] ", at):
             end = formatted.index(" [/ROLE]", at + 6)
             role, _, text = formatted[at + 7 : end].partition("\n")
-            turns.append((unescape(role), unescape(text)))
+            turns.append((role_of(role), unescape(text)))
             at = end + 8
         else:
             end = formatted.index(" </s>", at)
@@ -73,98 +79,161 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
-def fold(events: list[tuple]) -> Iterator[tuple[str, str]]:
-    """Final messages, in the order in which each first appeared, of one conversation's sorted events."""
-    messages: dict = {}
-    for msg, kind, role, text in events:
-        now = messages.setdefault(msg, ["", []])
+class Message:
+    """What is left of one message's events, taken in order."""
+
+    def __init__(self) -> None:
+        self.role, self.parts = "", []
+
+    def take(self, kind: str, role: str | None, text: str | None) -> None:
         if role is not None:
-            now[0] = role
+            self.role = role
         if kind == "delta":
-            now[1].append(text or "")
+            self.parts.append(text or "")
         elif kind == "edit":
-            now[1] = [text or ""]
+            self.parts = [text or ""]
         elif kind == "regenerate":
-            now[1] = []
-    return ((role, "".join(parts)) for role, parts in messages.values())
+            self.parts = []
+
+    @property
+    def text(self) -> str:
+        return "".join(self.parts)
+
+
+BATCH = 1 << 22
 
 
-def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, list[tuple[str, str]]]]:
-    none = object()
-    conv, events = none, []
+def _batches(rows: Iterator[tuple], kinds: list[pa.DataType], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows whose last item is their size in characters, in batches of bounded size."""
+    held, chars = [], 0
+    for *row, size in rows:
+        held.append(row)
+        chars += size + 64
+        if chars > BATCH:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
+            held, chars = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
+
+
+def _rows(batches: Iterator[pa.RecordBatch], size: int = 256) -> Iterator[tuple]:
     for batch in batches:
-        for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-            if row[0] != conv and conv is not none:
-                yield conv, [*fold(events)]
-                events = []
-            conv = row[0]
-            events.append(row[1:])
-    if conv is not none:
-        yield conv, [*fold(events)]
+        for at in range(0, batch.num_rows, size):
+            part = batch.slice(at, size)
+            yield from zip(*(c.to_pylist() for c in part.columns), strict=True)
+
 
+def messages(events: DataFrame) -> DataFrame:
+    """conv, msg, role, text of every message as its events left it, with seq, kind, role0 and text0 of its first event."""
+    rows = small_batches(events).select("conv", "msg", "seq", "kind", "role", "text")
+    kind = dict(rows.dtypes)
+    names = ["conv", "msg", "seq", "kind", "role0", "text0", "role", "text"]
 
-def _sorted(events: DataFrame) -> DataFrame:
-    rows = events.select("conv", "seq", "msg", "kind", "role", "text")
-    return rows.repartition("conv").sortWithinPartitions("conv", "seq", "kind", "role", "text", "msg").select("conv", "msg", "kind", "role", "text")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = object()
 
+        def folded() -> Iterator[tuple]:
+            key, first, now = none, None, Message()
+            for conv, msg, seq, what, role, text in _rows(batches):
+                if (conv, msg) != key:
+                    if key is not none:
+                        yield *first, now.role, now.text, sum(map(len, now.parts))
+                    key, first, now = (conv, msg), (conv, msg, seq, what, role, text), Message()
+                now.take(what, role, text)
+            if key is not none:
+                yield *first, now.role, now.text, sum(map(len, now.parts))
 
-FORMATTED = [("formatted", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))]
+        kinds = [ARROW[kind[c]] for c in ("conv", "msg", "seq")] + [pa.string()] * 5
+        yield from _batches(folded(), kinds, names)
 
+    dealt = rows.repartition("conv", "msg").sortWithinPartitions("conv", "msg", "seq", "kind", "role", "text")
+    return dealt.mapInArrow(run, f"conv {kind['conv']}, msg {kind['msg']}, seq {kind['seq']}, kind string, role0 string, text0 string, role string, text string")
 
-def formatted(events: DataFrame) -> DataFrame:
-    """conv, formatted, spans: one row for each conversation."""
-    kind = dict(events.dtypes)["conv"]
+
+def pieces(events: DataFrame) -> DataFrame:
+    """conv, position, start, piece, loss_start, loss_stop: one row a message, a conversation's rows one after another in one
+    partition; piece is what stands from start on, the loss span counts from the piece's first character."""
+    rows = messages(events)
+    kind = dict(rows.dtypes)["conv"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, chars = [], 0
+        none = object()
 
-        def out() -> pa.RecordBatch:
-            cols = list(zip(*held, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], ARROW[kind])] + [pa.array(c, k) for c, (_, k) in zip(cols[1:], FORMATTED, strict=True)], names=["conv", "formatted", "spans"])
+        def placed() -> Iterator[tuple]:
+            last, position, start = none, 0, 0
+            for conv, role, text in _rows(batches):
+                if conv != last:
+                    last, position, start = conv, 0, 0
+                out, a, b = piece(role, text)
+                yield conv, position, start, out, a, b, len(out)
+                position, start = position + 1, start + len(out)
 
-        for conv, turns in _conversations(batches):
-            text, spans = render(turns)
-            held.append((conv, text, [{"start": a, "stop": b} for a, b in spans]))
-            chars += len(text)
-            if chars > 1 << 22:
-                yield out()
-                held, chars = [], 0
-        if held:
-            yield out()
+        yield from _batches(placed(), [ARROW[kind], pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()], ["conv", "position", "start", "piece", "loss_start", "loss_stop"])
 
-    return _sorted(events).mapInArrow(run, f"conv {kind}, formatted string, spans array<struct<start:long,stop:long>>")
+    order = rows.repartition("conv").sortWithinPartitions("conv", "seq", "kind", "role0", "text0", "msg").select("conv", "role", "text")
+    return order.mapInArrow(run, f"conv {kind}, position long, start long, piece string, loss_start long, loss_stop long")
+
+
+def formatted(events: DataFrame) -> DataFrame:
+    """conv, formatted, spans: one row for each conversation, whose pieces have to fit one task; `pieces` have no such limit."""
+    rows = pieces(events).groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("position", "start", "piece", "loss_start", "loss_stop"))).alias("p"))
+    spans = F.transform(F.filter("p", lambda p: p["loss_start"] >= 0), lambda p: F.struct((p["start"] + p["loss_start"]).alias("start"), (p["start"] + p["loss_stop"]).alias("stop")))
+    return rows.select("conv", F.array_join(F.transform("p", lambda p: p["piece"]), "").alias("formatted"), spans.alias("spans"))
 
 
 ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+DIGESTS = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
 
-def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            turns = parse(text)
-            loss = [unescape(text[s["start"] : s["stop"]]) for s in spans]
-            sha = hashlib.sha256()
-            for role, body in turns:
-                sha.update(f"{role}\n{body}\n".encode())
-            rows.append((len(turns), sha.hexdigest(), sum(map(len, loss)), hashlib.sha256("".join(loss).encode()).hexdigest(), len(text)))
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))],
-            names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"],
-        )
-
-
-def read_back(out: DataFrame) -> DataFrame:
-    """Digests of the turns and of the text under the loss mask, from the formatted strings alone."""
+def _read_back(kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = object()
+
+        def read() -> Iterator[tuple]:
+            last = none
+            for conv, start, text, a, b in _rows(batches):
+                if conv != last:
+                    if last is not none:
+                        yield last, n, turns.hexdigest(), chars, loss.hexdigest(), size, 256
+                    last, n, turns, chars, loss, size = conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0
+                if start != size:
+                    raise ValueError(f"a piece of conversation {conv} is missing before {start}")
+                for role, body in parse(text):
+                    turns.update(f"{role}\n{body}\n".encode())
+                    n += 1
+                if a >= 0:
+                    own = unescape(text[a:b])
+                    loss.update(own.encode())
+                    chars += len(own)
+                size += len(text)
+            if last is not none:
+                yield last, n, turns.hexdigest(), chars, loss.hexdigest(), size, 256
+
+        yield from _batches(read(), [ARROW[kind], pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()], DIGESTS)
+
+    return run
+
+
+def read_back(out: DataFrame, in_order: bool = False) -> DataFrame:
+    """Digests of the turns and of the text under the loss mask, from pieces alone. in_order says that the rows come straight
+    from `pieces`; those of a table are dealt and sorted again."""
     kind = dict(out.dtypes)["conv"]
-    return out.mapInArrow(_read_back, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    rows = out if in_order else out.repartition("conv").sortWithinPartitions("conv", "position")
+    return rows.select("conv", "start", "piece", "loss_start", "loss_stop").mapInArrow(_read_back(kind), f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def as_events(conversations: DataFrame) -> DataFrame:
-    """A table of whole turns as a log: each row is one message that arrives in one delta. Repeated turns stay messages of their own."""
+    """A table of whole turns as the log that would have left them. Each turn is a message of its own, repeated turns too: an
+    assistant's first draft is thrown away by a regeneration, any other is cut to its first half by an edit; the final text
+    then comes in what deltas are left to come. Rows without a turn come first."""
     rows = conversations.select(
-        F.col("conv_id").alias("conv"), F.col("turn").alias("seq"), F.lit("delta").alias("kind"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
-    )
-    return rows.withColumn("msg", F.monotonically_increasing_id())
+        F.col("conv_id").alias("conv"), F.coalesce("turn", F.lit(-(1 << 60))).cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
+    ).withColumn("msg", F.monotonically_increasing_id())
+    half = F.floor(F.length("text") / 2).cast("int")
+    left, right = F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.length("text"))
+    one = lambda step, kind, text: F.struct(F.lit(step).alias("step"), F.lit(kind).alias("kind"), text.alias("text"))
+    draft = one(0, "delta", F.col("text"))
+    spoken = F.array(draft, one(1, "regenerate", F.lit("")), one(2, "delta", left), one(3, "delta", right))
+    typed = F.array(draft, one(1, "edit", left), one(2, "delta", right))
+    events = rows.select("conv", "turn", "msg", "role", F.explode(F.when(F.col("role") == "assistant", spoken).otherwise(typed)).alias("e"))
+    return events.select("conv", (F.col("turn") * 4 + F.col("e.step")).alias("seq"), "msg", "e.kind", "role", "e.text")
