@@ -365,7 +365,7 @@ def test_distance_bounds():
     assert np.allclose(got, [1, 0, 1])
 
 
-@pytest.mark.parametrize("bits, block, queries, dim", [(2, 40, 3, 6), (4, 64, 2, 7), (4, 8192, 512, 1), (6, 50, 4, 5)])
+@pytest.mark.parametrize("bits, block, queries, dim", [(2, 40, 3, 6), (4, 64, 2, 7), (4, 8192, 512, 1), (6, 50, 4, 5), (8, 90, 4, 6)])
 def test_vafile(spark, bits, block, queries, dim):
     vec = np.random.default_rng(dim).normal(size=(300, dim)).astype(np.float32)
     vec[50:60] = vec[0]
@@ -391,7 +391,7 @@ def test_vafile_few_rows(spark):
 def test_vafile_bounds_hold():
     """Packed cells come back as they were, and every exact product lies between its bounds."""
     g = np.random.default_rng(3)
-    for bits, dim in ((4, 5), (4, 8), (5, 3)):
+    for bits, dim in ((4, 5), (4, 8), (5, 3), (8, 4)):
         x, q = g.integers(-900, 900, (60, dim)), g.integers(-900, 900, (9, dim))
         low = x.min(0)
         step = np.maximum(1, -(-(x.max(0) - low + 1) // (1 << bits)))

@@ -1,7 +1,8 @@
 """Exact top-k inner products by a vector-approximation file.
 
 The file is a table of its own, written beside the exact vectors: blocks of bounded size in which every component is one of
-2^bits cells, cut by the least and greatest value of its dimension, packed two to a byte at four bits. A scan of the
+2^bits cells, cut by the least and greatest value of its dimension, one byte each (two to a byte at four bits or fewer, whose
+bounds are too wide to rule much out where vectors have many dimensions). A scan of the
 cells alone bounds each query's inner product with each vector from below and above. The kth highest lower bound over all
 blocks is every query's floor; vectors whose upper bound lies below it are out. Of those left the exact vectors are read
 in order of their upper bounds, in two waves: first the k best by bound, whose kth exact score raises the floor, then
@@ -133,7 +134,7 @@ def _blocks(rows: DataFrame, size: int, name: str, n: int, *columns: str) -> Dat
     return rows.groupBy("dim", number).agg(F.collect_list(F.struct("row", *columns)).alias(f"{name}_rows"))
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, bits: int = 4, block: int = 8192, queries: int = 512) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, bits: int = 8, block: int = 8192, queries: int = 512) -> DataFrame:
     """query_id, rank, vec_id, score for the vectors that is_query (on vec_id) picks; vectors: (vec_id, x)."""
     vectors = written(vectors.select("vec_id", "x").withColumn("row", F.monotonically_increasing_id()), "va-vectors")
     cuts = marks(vectors, bits)
