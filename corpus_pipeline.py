@@ -1,9 +1,7 @@
 """The corpus pipeline: language ID, quality rules, near duplicates, secret scans, packing.
 
-Each stage takes (spark, docs, sf_dir) and works on all rows it is given; all but the last return the columns
-of documents. Language ID and quality drop the documents that they reject, near duplicates keep the document
-with the smallest id of each group (one row of it, should it repeat), secret scans replace secrets in the
-texts by their kind (n_chars follows), packing returns the pieces.
+Each stage takes (spark, docs, sf_dir) and works on all rows it is given; all but the last return the columns of documents.
+Rows are what counts, not ids: rows whose doc_id is null or repeated go through every stage as any other does.
 """
 
 from __future__ import annotations
@@ -17,26 +15,37 @@ from veladura.llm.base import table, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents to which a language is given; learned from all rows with a language. Rejected are those that get `und`: null
+    texts and texts without a letter. Where nothing could be learned every document is rejected."""
     sample = langid.fit(docs, F.lit(True))
     return langid.identify(docs, sample).where(F.col("lang_pred") != "und").select(docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and lie near the reference of a language, references learned from all rows."""
     return quality.judged(docs, quality.fit(docs)).where("kept").select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = jaccard.clusters(docs.select("doc_id", "text"))
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """One row of each group that links connect, that of the smallest doc_id (rows without one last, then the first as read).
+    Rows without words are linked with nothing and stay, each of them, also where they repeat."""
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "nd-rows")
+    groups = jaccard.clusters(rows.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), "component_id")
+    named = groups.join(rows.select("__row", "doc_id"), "__row")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("first"))
+    return rows.join(first.select(F.col("first.__row").alias("__row")), "__row", "left_semi").select(docs.columns)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, each secret in a text replaced by its kind in brackets; n_chars follows. Null texts stay null."""
     rows = secrets.redacted(docs)
-    return rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns) if "n_chars" in docs.columns else rows
+    if "n_chars" not in docs.columns:
+        return rows
+    return rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of at most 2048 ids, the end id after each document."""
     return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, end_id=1)
 
 
@@ -47,11 +56,12 @@ STAGES = [
     ("secret_scans", secret_scans),
     ("packing", pack),
 ]
-#: SQL has no suffix automata, trained references or subset-sum packing; tests hold run() against plain versions.
+#: SQL has no suffix automata, trained references or subset-sum packing; tests/llm/test_pipeline.py holds run() against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows for the documents of a folder; every stage's result is a table of the shared folder."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
