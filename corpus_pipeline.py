@@ -28,8 +28,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group that links connect, that of the smallest doc_id (rows without one last, then the first as read).
-    Rows without words are linked with nothing and stay, each of them, also where they repeat."""
-    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "nd-rows")
+    Rows without words are linked with nothing and stay, each of them, also where they repeat.
+
+    Where every id is given and unique, it names the row; else the rows that need it get numbers after the largest id."""
+    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n"))
+    if ids.where("doc_id IS NULL OR n > 1").isEmpty():
+        groups = jaccard.clusters(docs.select("doc_id", "text"))
+        return docs.join(groups.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    largest = ids.agg(F.max("doc_id")).first()[0] or 0
+    plain = ids.where("doc_id IS NOT NULL AND n = 1").select(F.col("doc_id").alias("__own"))
+    number = F.coalesce("__own", F.lit(largest + 1) + F.monotonically_increasing_id())
+    rows = docs.join(plain, docs["doc_id"] == plain["__own"], "left").withColumn("__row", number).drop("__own")
+    rows = written(rows, "nd-rows")
     groups = jaccard.clusters(rows.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), "component_id")
     named = groups.join(rows.select("__row", "doc_id"), "__row")
     first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("first"))
