@@ -121,7 +121,8 @@ WANT = " UNION ALL ".join(_expected())
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").selectExpr("o_orderkey AS doc_id", f"{TEXT} AS text")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").repartition(spark.sparkContext.defaultParallelism)
+    return rows.selectExpr("o_orderkey AS doc_id", f"{TEXT} AS text")
 
 
 def detected(docs: DataFrame) -> DataFrame:
