@@ -1,4 +1,4 @@
-"""The queries op1 to op10 and the pipeline, with SQL where SQL can express them."""
+"""The queries op1 to op13 and the pipeline, with SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, brown_lm, chat, jaccard, langid, packing, quality, secrets, vafile, warc
+from . import bpe, brown_lm, chat, fingerprint, jaccard, langid, packing, quality, secrets, vafile, warc
 from .base import new_path, split_of, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -80,6 +80,10 @@ def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *counts, F.sha2(told(of(*secrets.BASE)), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compared(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -90,7 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_brown_lm, op2_bin_slack_packing, op3_chat_format, op4_ngram_jaccard, op5_warc_salvage,
-        op6_language_id, op7_quality_rules, op8_va_topk, op9_bpe, op10_secret_ledger, pipeline,
+        op6_language_id, op7_quality_rules, op8_va_topk, op9_bpe, op10_secret_ledger, op11_fingerprints, pipeline,
     )
 }
 
