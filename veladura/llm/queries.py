@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, brown_lm, chat, fingerprint, jaccard, langid, packing, quality, secrets, vafile, warc
+from . import bpe, brown_lm, chat, fingerprint, jaccard, langid, merkle, packing, quality, secrets, vafile, warc, whitening
 from .base import new_path, split_of, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -84,6 +84,24 @@ def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compared(table(spark, sf_dir, "documents"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves are the rows' fields; where 3 divides the crc32 of the id's decimal text, the tampered row has its text's A-Z
+    lower-cased. Rows without id are not tampered with and come first in their language."""
+    docs = table(spark, sf_dir, "documents")
+    fields = lambda text: [merkle.field(F.col(c)) for c in ("doc_id", "source", "lang", "n_chars")] + [merkle.field(text)]
+    low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    changed = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, merkle.digest(*fields(low)))
+    rows = docs.select("doc_id", "lang", merkle.digest(*fields(F.col("text"))).alias("leaf"), changed.alias("tampered"))
+    made = merkle.manifest(rows, F.col("lang"), [F.col("doc_id")], F.col("leaf"))
+    folded = merkle.folded(F.coalesce("row.tampered", "leaf"), F.col("proof"))
+    out = made.select("row.doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), folded.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(whitening.as_integers(table(spark, sf_dir, "embeddings")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -94,7 +112,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_brown_lm, op2_bin_slack_packing, op3_chat_format, op4_ngram_jaccard, op5_warc_salvage,
-        op6_language_id, op7_quality_rules, op8_va_topk, op9_bpe, op10_secret_ledger, op11_fingerprints, pipeline,
+        op6_language_id, op7_quality_rules, op8_va_topk, op9_bpe, op10_secret_ledger, op11_fingerprints, op12_merkle_manifest,
+        op13_whitening, pipeline,
     )
 }
 
@@ -113,6 +132,52 @@ link AS (SELECT x, y FROM common JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_
 both_ways AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
 reach AS (SELECT doc_id AS x, doc_id AS y FROM n UNION SELECT reach.x, both_ways.y FROM reach JOIN both_ways ON reach.y = both_ways.x)
 SELECT n.doc_id, n.n::BIGINT AS n_shingles, min(reach.y) AS component_id FROM n JOIN reach ON reach.x = n.doc_id GROUP BY ALL
+""",
+    "op12_merkle_manifest": """
+WITH RECURSIVE f AS (
+  SELECT doc_id, lang, text, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+    || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low
+  FROM documents
+), leaf AS (
+  SELECT doc_id, lang, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    sha256(head || coalesce(strlen(low) || ':' || low, '-')) AS changed
+  FROM f
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS size FROM leaf
+), node AS (
+  SELECT lang, 0 AS level, idx, size, leaf AS digest FROM placed
+  UNION ALL
+  SELECT lang, level + 1, idx // 8, (size + 7) // 8, sha256(string_agg(digest, '' ORDER BY idx)) FROM node WHERE size > 1 GROUP BY lang, level, size, idx // 8
+), sub AS (
+  SELECT lang, level, digest AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS idx, count(*) OVER () AS size FROM node WHERE size = 1
+), top AS (
+  SELECT 0 AS level, idx, size, subroot AS digest FROM sub
+  UNION ALL
+  SELECT level + 1, idx // 8, (size + 7) // 8, sha256(string_agg(digest, '' ORDER BY idx)) FROM top WHERE size > 1 GROUP BY level, size, idx // 8
+), run AS (SELECT lang, level, idx // 8 AS idx, array_agg(digest ORDER BY idx) AS ds FROM node WHERE size > 1 GROUP BY lang, level, idx // 8
+), top_run AS (SELECT level, idx // 8 AS idx, array_agg(digest ORDER BY idx) AS ds FROM top WHERE size > 1 GROUP BY level, idx // 8
+), own AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, idx, leaf, CASE WHEN xor(list_reduce(
+      list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+      lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))
+    ), 4294967295) % 3 = 0 THEN changed ELSE leaf END AS told
+  FROM placed
+), climb AS (
+  SELECT r, lang, 0 AS level, idx, told, '' AS proof FROM own
+  UNION ALL
+  SELECT c.r, c.lang, c.level + 1, c.idx // 8, sha256(array_to_string(ds[1:c.idx % 8], '') || c.told || array_to_string(ds[c.idx % 8 + 2:], '')),
+    c.proof || array_to_string(ds[1:c.idx % 8], '') || array_to_string(ds[c.idx % 8 + 2:], '')
+  FROM climb c JOIN run ON run.lang IS NOT DISTINCT FROM c.lang AND run.level = c.level AND run.idx = c.idx // 8
+), climb_top AS (
+  SELECT r, 0 AS level, sub.idx, told, proof, subroot FROM climb JOIN sub ON sub.lang IS NOT DISTINCT FROM climb.lang AND sub.level = climb.level
+  UNION ALL
+  SELECT c.r, c.level + 1, c.idx // 8, sha256(array_to_string(ds[1:c.idx % 8], '') || c.told || array_to_string(ds[c.idx % 8 + 2:], '')),
+    c.proof || array_to_string(ds[1:c.idx % 8], '') || array_to_string(ds[c.idx % 8 + 2:], ''), subroot
+  FROM climb_top c JOIN top_run run ON run.level = c.level AND run.idx = c.idx // 8
+)
+SELECT doc_id, leaf, subroot, digest AS root, sha256(proof) AS proof_sha256, c.told AS folded_root, c.told = digest AS verified
+FROM climb_top c JOIN top ON top.size = 1 AND top.level = c.level JOIN own USING (r)
 """,
     "op8_va_topk": """
 WITH v AS (
