@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veladura.functions import fixed as X
 from veladura.functions import lexicon as L
 from veladura.functions.spans import Find, before, java, keep, spans
-
-WORD = r"A-Za-z0-9_À-ɏ\-"
+from veladura.functions.terms import claimed
 
 
 def numbered(rows: DataFrame, order: str) -> DataFrame:
@@ -37,21 +38,20 @@ def replaced_at(text: Column, spans: Column) -> Column:
     return F.aggregate(order, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
 
 
-def _quoted(value: Column) -> Column:
-    return F.concat(F.lit("\\Q"), F.replace(value, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+@F.arrow_udf(T.StringType())
+def _replaced(texts: pa.Array, values: pa.Array) -> pa.Array:
+    out = []
+    for text, own in zip(texts, values, strict=True):
+        t = text.as_py()
+        out.append(t if not t or not own.is_valid else claimed(t, own.as_py()).replaced())
+    return pa.array(out, pa.string())
 
 
 def replaced_values(text: Column, values: Column) -> Column:
-    """The text with values (value, token, soft, type) replaced everywhere: those that aren't soft first, longest first.
-    Soft values need a boundary on both sides, addresses match in any case, others to the letter."""
-    order = F.array_sort(F.transform(values, lambda v: F.struct(v["soft"].cast("int").alias("a"), (-F.length(v["value"])).alias("b"), v["value"].alias("value"), v["token"].alias("token"), v["type"].alias("type"))))
-
-    def step(acc: Column, v: Column) -> Column:
-        bounded = F.regexp_replace(acc, F.concat(F.lit(f"(?<![{WORD}])"), _quoted(v["value"]), F.lit(f"(?![{WORD}])")), v["token"])
-        any_case = F.regexp_replace(acc, F.concat(F.lit("(?iu)"), _quoted(v["value"])), v["token"])
-        return F.when(v["a"] == 1, bounded).when(v["type"] == "EMAIL", any_case).otherwise(F.replace(acc, v["value"], v["token"]))
-
-    return F.aggregate(order, text, step)
+    """The text with values (value, token, soft, type) replaced everywhere, in one pass over it: those that aren't soft first,
+    longest first. Soft values need a boundary on both sides, addresses match in any case, others to the letter. Values are
+    not looked for inside tokens. Without values (null, empty) the text stays; a null text stays null."""
+    return _replaced(text, F.transform(values, lambda v: F.struct(*(v[k].alias(k) for k in ("value", "token", "soft", "type")))))
 
 
 def replaced_first(text: Column, value: Column, token: Column) -> Column:

@@ -180,7 +180,8 @@ CASES = (
     ("FUNDAMENTOS DE HECHO", "PERSONA", False, False, "whitelist_exact"),
     ("LEY N° 30364", "PERSONA", False, False, "whitelist_pattern"),
     ("Interpongo Demanda Civil", "PERSONA", False, False, "contains_legal_verb"),
-    ("por lo que", "PERSONA", False, False, "legal_connector"),
+    ("no obstante", "PERSONA", False, False, "legal_connector"),
+    ("por lo que", "PERSONA", False, False, "whitelist_exact"),
     ("ALEGATOS FINALES", "PERSONA", False, False, "legal_title"),
     ("DEL CIVIL", "PERSONA", False, False, "all_excluded_words"),
     ("Ruiz Diaz", "PERSONA", True, True, "context_persona"),
