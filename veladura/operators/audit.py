@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veladura.functions import fixed as X
-from veladura.functions.spans import DIGITS, Find, after, around, before, has_any, matches, plain, settled, spans, strip
+from veladura.functions.spans import DIGITS, Blocked, Find, after, around, before, blocked, has_any, let, matches, plain, settled, spans, strip
 
 from . import filters, tokens
 from .merge import merged
@@ -21,12 +21,12 @@ from .merge import merged
 LEAK = "array<struct<type:string,value:string,start:int,stop:int,seq:int>>"
 
 
-def _free(text: Column, span: Column, n: int = 20) -> Column:
+def _free(text: Column | Blocked, span: Column, n: int = 20) -> Column:
     """No token within n characters."""
     return ~around(text, span, n).rlike(X.TOKEN)
 
 
-def _money(text: Column, span: Column, n: int = 40) -> Column:
+def _money(text: Column | Blocked, span: Column, n: int = 40) -> Column:
     low = [w.lower() for w in X.MONEY]
     return has_any(F.lower(before(text, span, n)), low) | has_any(F.lower(after(text, span, n)), low)
 
@@ -36,25 +36,25 @@ def _is_date(value: Column) -> Column:
     return F.coalesce(part(1, 4).between(1900, 2100) & part(5, 2).between(1, 12) & part(7, 2).between(1, 31), F.lit(False))
 
 
-def _dni(text: Column, m: Column) -> Column:
+def _dni(text: Column | Blocked, m: Column) -> Column:
     told = has_any(F.lower(before(text, m, 50)), X.DNI_CONTEXT)
     legal = has_any(F.lower(before(text, m, 30)), X.LEGAL_NUMBERS)
     return _free(text, m) & ~_is_date(m["value"]) & (told | ~(_money(text, m) | legal))
 
 
-def _plate(text: Column, m: Column) -> Column:
+def _plate(text: Column | Blocked, m: Column) -> Column:
     near = has_any(F.lower(before(text, m, 50)), X.AUDIT_VEHICLE) | has_any(F.lower(after(text, m, 50)), X.AUDIT_VEHICLE)
     return _free(text, m) & near & (F.length(F.regexp_replace(m["value"], "[- ]", "")) >= 5)
 
 
-def _clear(n: int = 20) -> Callable[[Column, Column], Column]:
+def _clear(n: int = 20) -> Callable[[Column | Blocked, Column], Column]:
     return lambda text, m: _free(text, m, n) & ~F.contains(m["value"], F.lit("{{"))
 
 
 @dataclass(frozen=True)
 class Finder:
     finds: tuple[Find, ...]
-    test: Callable[[Column, Column], Column]
+    test: Callable[[Column | Blocked, Column], Column]
     #: each `value` or each `span` once, or `every`
     once: str = "value"
 
@@ -90,6 +90,13 @@ def court_kind(value: Column) -> Column:
     return F.when(F.contains(low, F.lit("tribunal")), "TRIBUNAL").when(F.contains(low, F.lit("sala")), "SALA").when(F.contains(low, F.lit("fiscal")), "FISCALIA").otherwise("JUZGADO")
 
 
+def _firsts(rows: Column, key: Callable[[Column, Column], Column]) -> Column:
+    """(i, e) of the first element of each key, in the array's order: sorted by key and place, each held against its neighbour."""
+    keyed = F.array_sort(F.transform(rows, lambda e, i: F.struct(key(e, i).alias("k"), i.alias("i"), e.alias("e"))))
+    firsts = let(keyed, lambda every: F.filter(every, lambda x, j: (j == 0) | (F.get(every, j - 1)["k"] != x["k"])))
+    return F.array_sort(F.transform(firsts, lambda x: F.struct(x["i"].alias("i"), x["e"].alias("e"))))
+
+
 def leaks(text: Column, *kinds: str) -> Column:
     """All leaks, finder after finder; each finder gives a value or a span once where it says so."""
     asked = [(k, f) for k, f in FINDERS.items() if not kinds or k in kinds]
@@ -97,7 +104,7 @@ def leaks(text: Column, *kinds: str) -> Column:
     found = matches(tuple(x for _, f in asked for x in f.finds))(text)
     of = lambda m, what: F.element_at(filters.listed(tuple(str(what(i)) for i in number)), m["rule"] + 1)
 
-    def fits(m: Column) -> Column:
+    def fits(m: Column, text: Blocked) -> Column:
         out = None
         for i, (_, f) in enumerate(asked):
             here = m["rule"].isin(*(r for r, n in enumerate(number) if n == i))
@@ -110,10 +117,9 @@ def leaks(text: Column, *kinds: str) -> Column:
         return F.struct(named.alias("type"), m["value"].alias("value"), m["start"].alias("start"), m["stop"].alias("stop"), of(m, lambda i: i).alias("finder"), of(m, lambda i: asked[i][1].once).alias("once"))
 
     trimmed = F.transform(found, lambda m: m.withField("value", F.when(of(m, lambda i: asked[i][0]) == "JUZGADO", strip(m["value"])).otherwise(m["value"])))
-    rows = F.transform(F.filter(trimmed, fits), leak)
-    same = lambda a, b: (a["finder"] == b["finder"]) & F.when(a["once"] == "value", a["value"] == b["value"]).otherwise((a["start"] == b["start"]) & (a["stop"] == b["stop"]))
-    first = lambda every: F.filter(every, lambda a, i: (a["once"] == "every") | ~F.exists(F.slice(every, 1, i), lambda b: same(a, b)))
-    once = F.element_at(F.transform(F.array(rows), first), 1)
+    rows = F.transform(blocked(text, trimmed, lambda every, t: F.filter(every, lambda m: fits(m, t))), leak)
+    key = lambda a, i: F.when(a["once"] == "every", i.cast("string")).when(a["once"] == "value", a["value"]).otherwise(F.concat_ws(":", a["start"], a["stop"]))
+    once = F.transform(_firsts(rows, lambda a, i: F.concat_ws("\x00", a["finder"], key(a, i))), lambda x: x["e"])
     out = lambda a, i: F.struct(a["type"].alias("type"), a["value"].alias("value"), a["start"].alias("start"), a["stop"].alias("stop"), i.alias("seq"))
     return F.transform(once, out).cast(LEAK)
 
@@ -128,25 +134,35 @@ FIX = "array<struct<start:int,stop:int,value:string,type:string,number:int,token
 
 def _fixes(text: Column, found: Column, first: int) -> Column:
     """A token for each of a document's disjoint leaks, counted from the end of the text: one for each value (of the type
-    that has it first), within its type on from the numbers that the text already holds, else from `first`."""
+    that has it first), within its type on from the numbers that the text already holds, else from `first`.
+
+    The values' first places are sorted by type; a value's number is its place less that at which its type begins."""
+    used = lambda kind: F.array_max(F.transform(F.regexp_extract_all(text, F.concat(F.lit(r"\{\{"), kind, F.lit(r"_(\d{1,9})\}\}")), F.lit(1)), lambda x: x.cast("int")))
+
+    def numbered(firsts: Column) -> Column:
+        by_type = F.array_sort(F.transform(firsts, lambda x: F.struct(x["e"]["type"].alias("type"), x["i"].alias("i"), x["e"]["value"].alias("value"))))
 
-    def used(kind: Column) -> Column:
-        return F.array_max(F.transform(F.regexp_extract_all(text, F.concat(F.lit(r"\{\{"), kind, F.lit(r"_(\d{1,9})\}\}")), F.lit(1)), lambda x: x.cast("int")))
+        def told(every: Column) -> Column:
+            begins = F.filter(F.transform(every, lambda x, j: F.when((j == 0) | (F.get(every, j - 1)["type"] != x["type"]), F.struct(x["type"].alias("type"), j.alias("at")))), lambda b: b.isNotNull())
+            based = F.transform(begins, lambda b: F.struct(b["type"].alias("type"), (F.coalesce(used(b["type"]), F.lit(first - 1)) + 1 - b["at"]).alias("base")))
+            one = lambda x, j, own: F.struct(x["type"].alias("type"), (F.get(F.filter(own, lambda b: b["type"] == x["type"]), F.lit(0))["base"] + j).alias("number"))
+            return let(based, lambda own: F.map_from_entries(F.transform(every, lambda x, j: F.struct(x["value"].alias("key"), one(x, j, own).alias("value")))))
 
-    def step(acc: Column, e: Column) -> Column:
-        known = F.get(F.filter(acc, lambda k: k["value"] == e["value"]), F.lit(0))
-        last = F.array_max(F.transform(F.filter(acc, lambda k: k["type"] == e["type"]), lambda k: k["number"]))
-        kind = F.coalesce(known["type"], e["type"])
-        number = F.coalesce(known["number"], F.coalesce(last, used(e["type"]), F.lit(first - 1)) + 1)
-        token = F.concat(F.lit("{{"), kind, F.lit("_"), number, F.lit("}}"))
-        one = F.struct(e["start"].alias("start"), e["stop"].alias("stop"), e["value"].alias("value"), kind.alias("type"), number.alias("number"), token.alias("token"))
-        return F.concat(acc, F.array(one).cast(FIX))
+        return let(by_type, told)
 
-    return F.aggregate(F.reverse(found), F.array().cast(FIX), step)
+    def fix(e: Column, known: Column) -> Column:
+        token = F.concat(F.lit("{{"), known["type"], F.lit("_"), known["number"], F.lit("}}"))
+        return F.struct(e["start"].alias("start"), e["stop"].alias("stop"), e["value"].alias("value"), known["type"].alias("type"), known["number"].alias("number"), token.alias("token"))
 
+    def every(back: Column) -> Column:
+        return let(numbered(_firsts(back, lambda e, _: e["value"])), lambda known: F.transform(back, lambda e: let(known[e["value"]], lambda k: fix(e, k))))
 
-def fixed(docs: DataFrame, first: int = 100) -> DataFrame:
-    """docs (doc_id, text, others kept) with fixed_text, leaks_found, fixes, remaining and is_safe.
+    return let(F.reverse(found), every).cast(FIX)
+
+
+def fixed(docs: DataFrame, first: int = 100, pairs_too: bool = False) -> DataFrame:
+    """docs (doc_id, text, others kept) with fixed_text, leaks_found, fixes, remaining and is_safe; with `pairs_too` also
+    __pairs, the values replaced with their tokens.
 
     Overlapping leaks are merged first, so that no repair splices into another. Each scan is a stage of its own over
     columns already computed: leaks, then tokens, then the fixed text, then what is left in it."""
@@ -154,8 +170,9 @@ def fixed(docs: DataFrame, first: int = 100) -> DataFrame:
     rows = settled(rows, __fixes=_fixes(F.col("text"), merged(F.col("__leaks"), LEAK), first))
     rows = settled(rows, fixed_text=F.when(F.size("__fixes") == 0, F.col("text")).otherwise(tokens.replaced_at(F.col("text"), F.col("__fixes"))))
     rows = settled(rows, remaining=F.size(leaks(F.col("fixed_text"))))
-    rows = rows.withColumns({"leaks_found": F.size("__leaks"), "fixes": F.size("__fixes"), "is_safe": F.col("remaining") == 0})
-    return rows.drop("__leaks", "__fixes")
+    pairs = F.transform("__fixes", lambda x: F.struct(x["value"].alias("value"), x["token"].alias("token")))
+    rows = rows.withColumns({"leaks_found": F.size("__leaks"), "fixes": F.size("__fixes"), "is_safe": F.col("remaining") == 0, "__pairs": pairs})
+    return (rows if pairs_too else rows.drop("__pairs")).drop("__leaks", "__fixes")
 
 
 def warnings(row: str = "") -> Column:
@@ -179,6 +196,15 @@ def repaired(docs: DataFrame, rounds: int = 2) -> DataFrame:
     return rows.withColumnRenamed("__found", "leaks_found").withColumnRenamed("__safe", "is_safe")
 
 
+def repairs(docs: DataFrame, rounds: int = 2) -> DataFrame:
+    """docs (doc_id, text) to doc_id, repairs (value, token of all rounds, each pair once) and is_safe after the last round."""
+    rows = docs.select("doc_id", "text", F.array().cast("array<struct<value:string,token:string>>").alias("repairs"))
+    for _ in range(rounds):
+        done = fixed(rows, pairs_too=True)
+        rows = done.select("doc_id", F.col("fixed_text").alias("text"), F.array_distinct(F.concat("repairs", "__pairs")).alias("repairs"), "is_safe")
+    return rows.drop("text")
+
+
 def gated(docs: DataFrame, rounds: int = 2, strict: bool = True, force: bool = False) -> DataFrame:
     """The gate before a document leaves: rounds of repair, then (strict and not forced) hard redaction of what is not yet
     safe and one more look. Columns: text, is_safe, hard (whether it was redacted hard), remaining, verdict (`safe`,

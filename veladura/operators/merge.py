@@ -5,13 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veladura.functions.spans import let
+
+
+def _stop(every: Column) -> Column:
+    """The last stop of some entities, null of none."""
+    return F.array_max(F.transform(every, lambda x: x["e"]["stop"]))
+
+
+def _islands(every: Column, wide: int = 64) -> Column:
+    """Sorted entities in stretches that nothing overlaps from outside: one begins where nothing before reaches. What lies
+    before is known by the last stops of whole stretches of `wide` and a look at what is left of its own."""
+    spans = F.transform(F.sequence(F.lit(0), F.size(every) - 1, F.lit(wide)), lambda at: _stop(F.slice(every, at + 1, F.lit(wide))))
+
+    def cut(before: Column) -> Column:
+        reach = lambda i: F.greatest(F.get(before, F.floor(i / wide).cast("int")), _stop(F.slice(every, (F.floor(i / wide) * wide + 1).cast("int"), i % wide)))
+        begins = F.filter(F.transform(every, lambda x, i: F.when(x["e"]["start"] >= F.coalesce(reach(i), F.lit(0)), i)), lambda i: i.isNotNull())
+        return let(begins, lambda at: F.transform(at, lambda b, j: F.slice(every, b + 1, F.coalesce(F.get(at, j + 1), F.size(every)) - b)))
+
+    return let(let(spans, lambda own: F.transform(own, lambda _, c: F.array_max(F.slice(own, F.lit(1), c)))), cut)
+
 
 def merged(entities: Column, kind: str) -> Column:
     """Disjoint entities by start. Of two that overlap the longer stays, of equals the earlier in seq.
 
-    Accepted entities are disjoint and start no later than the next one, so that only the last can overlap it.
-    kind is the array's type."""
+    Accepted entities are disjoint and start no later than the next one, so that only the last can overlap it. A fold copies
+    what it has gathered at every step: many entities are folded stretch by stretch. kind is the array's type."""
     order = F.array_sort(F.transform(entities, lambda e: F.struct(e["start"].alias("a"), (e["start"] - e["stop"]).alias("b"), e["seq"].alias("c"), e.alias("e"))))
+    empty = F.array().cast(kind)
 
     def step(acc: Column, x: Column) -> Column:
         e, last = x["e"], F.element_at(acc, -1)
@@ -19,8 +40,10 @@ def merged(entities: Column, kind: str) -> Column:
         longer = (e["stop"] - e["start"]) > (last["stop"] - last["start"])
         return F.when(apart, F.concat(acc, F.array(e))).when(longer, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(e))).otherwise(acc)
 
-    empty = F.array().cast(kind)
-    return F.aggregate(order, empty, lambda acc, x: F.when(F.size(acc) == 0, F.concat(empty, F.array(x["e"]))).otherwise(step(acc, x)))
+    def fold(every: Column) -> Column:
+        return F.aggregate(every, empty, lambda acc, x: F.when(F.size(acc) == 0, F.concat(empty, F.array(x["e"]))).otherwise(step(acc, x)))
+
+    return let(order, lambda every: F.when(F.size(every) <= 256, fold(every)).otherwise(F.flatten(F.transform(_islands(every), fold))))
 
 
 def claims(entities: Column, kind: str) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from veladura.functions import fixed as X
 from veladura.functions import lexicon as L
-from veladura.functions.spans import Find, before, java, keep, spans
+from veladura.functions.spans import Blocked, Find, before, blocked, java, keep, spans
 from veladura.functions.terms import claimed
 
 
@@ -31,11 +31,15 @@ def numbered(rows: DataFrame, order: str) -> DataFrame:
 
 
 def replaced_at(text: Column, spans: Column) -> Column:
-    """The text with disjoint spans (start, stop, token) replaced: the gaps and tokens stitched in one fold."""
+    """The text with disjoint spans (start, stop, token) replaced: each gap and its token a piece, all joined once."""
     order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["token"].alias("token"))))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda acc, s: F.struct(s["stop"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), s["token"]).alias("out"))
-    return F.aggregate(order, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+
+    def stitched(every: Column, whole: Blocked) -> Column:
+        last = lambda i: F.coalesce(F.get(every, i - 1)["stop"], F.lit(0))
+        pieces = F.transform(every, lambda s, i: F.concat(whole.piece(last(i), s["start"] - last(i)), s["token"]))
+        return F.concat(F.array_join(pieces, ""), F.substring(text, last(F.size(every)) + 1, F.length(text)))
+
+    return blocked(text, order, stitched)
 
 
 @F.arrow_udf(T.StringType())

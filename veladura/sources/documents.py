@@ -73,6 +73,22 @@ def docx_text(data: bytes, variant: str = "whole") -> tuple[str | None, str | No
         return None, "DOCX_INVALID"
 
 
+def extract(ext: str, data: bytes, variants: tuple[str, ...] = ("whole",)) -> tuple[str | None, str | None, str | None]:
+    """(text, variant, error) of one file: of DOCX the first variant that gives text, else the first one's answer; plain text in
+    UTF-8; the others as the format check turns them down."""
+    if ext == "docx":
+        got = [(t, v, e) for v in variants for t, e in [docx_text(data, v)]]
+        return next((g for g in got if g[0]), got[0])
+    if ext == "txt":
+        try:
+            return data.decode(), None, None
+        except UnicodeDecodeError:
+            return None, None, "TXT_NOT_UTF8"
+    if ext == "pdf":
+        return None, None, "PDF_NO_READER" if data.startswith(b"%PDF") else "PDF_INVALID"
+    return None, None, "DOC_UNSUPPORTED"
+
+
 def docx_bytes(paragraphs: list[str], rows: list[list[str]] = (), header: str | None = None) -> bytes:
     """A DOCX file with paragraphs, one table and a header."""
     para = lambda t: f'<w:p><w:r><w:t xml:space="preserve">{escape(t)}</w:t></w:r></w:p>'
