@@ -11,15 +11,18 @@ subtree as soon as overlap plus what can still come on either side misses the th
 set. Candidates are walked on prefixes alone (what comes after the prefix is counted as if it were common),
 then on whole sets.
 
-First each group's smallest node is held against the others that share enough prefix shingles with it, and
-the components of those links are contracted. Only groups that still hold two components are joined, block
+First each group's leader is held against the others that share enough prefix shingles with it, and the components of
+those links are contracted. The leader is the node whose prefix shingles are the most shared, which of a group of near copies
+is one that lies amid them; ties go by a hash of the set. Nodes are known by a row number and texts by their hashes: what a
+join costs doesn't hang on ids, nor on the order of rows. Only groups that still hold two components are joined, block
 by block: a pair is met in the group of its first common shingle, and pairs between components are checked
 in rounds, a few for each node and component first, those left only while their sides are still apart. So a
 large group of near copies costs about one walk a member, and no link that joins two components is lost.
 
 Shingles are 62-bit hashes of five words (of the whole sequence where there are fewer). Null and empty texts
-have no shingles and link with nothing. Repeated rows and equal texts are one node. doc_id must be set; rows
-without it are not answered. An empty table gives an empty result; extra columns are ignored.
+have no shingles and link with nothing. Repeated rows and equal texts are one node. Rows without doc_id take part and are
+answered: their component is that of the smallest doc_id they reach, null if there is none. One doc_id may stand for several
+texts; each is a document of its own. An empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import small_batches, text_blocks, written
@@ -173,12 +176,15 @@ def heavy_shingles(docs: DataFrame, p: Params) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], ranks[order]
 
 
+ENTRIES = "doc_id long, t1 long, t2 long, n long, fa long, fb long, prefix array<long>, bits array<long>"
+
+
 def _entries(shared, p: Params):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         for batch in batches:
             rows = []
-            for s in (s for block in text_blocks(batch.column(1), p.chars) for s in shingle_sets(block, p.words)):
+            for s in (s for block in text_blocks(batch.column(3), p.chars) for s in shingle_sets(block, p.words)):
                 n = len(s)
                 if not n:
                     rows.append((0, 0, 0, None, None))
@@ -193,7 +199,7 @@ def _entries(shared, p: Params):
                 rows.append((n, a, b, prefix, bits))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "n", "fa", "fb", "prefix", "bits"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "t1", "t2", "n", "fa", "fb", "prefix", "bits"])
 
     return run
 
@@ -361,14 +367,26 @@ def _check(p: Params):
     return run
 
 
-def _checked(pairs: DataFrame, docs: DataFrame, heavy, p: Params) -> DataFrame:
-    """The links among pairs (a, ca, b, cb), by walking whole sets: a probes the b's in blocks."""
+def text_hashes(text: Column) -> tuple[Column, Column]:
+    """Two hashes that name a text, whatever its row's id."""
+    text = F.coalesce(text, F.lit(""))
+    return F.xxhash64(text), F.xxhash64(F.lit(1), text)
+
+
+def with_hashes(docs: DataFrame) -> DataFrame:
+    t1, t2 = text_hashes(F.col("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), t1.alias("t1"), t2.alias("t2"), "text")
+
+
+def _checked(pairs: DataFrame, docs: DataFrame, places: DataFrame, heavy, p: Params) -> DataFrame:
+    """The links among pairs (a, ca, b, cb), by walking whole sets: a probes the b's in blocks. places (node, doc_id, t1, t2) says
+    which rows of docs hold a node's text."""
     ids = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    ids = written(ids, "nd-ids")
+    ids = written(places.join(ids, "node").select("node", F.col("doc_id").alias("of"), F.col("t1").alias("h1"), F.col("t2").alias("h2")), "nd-ids")
     # broadcast below a fixed number of ids, shuffled beyond
     wanted = F.broadcast(ids) if ids.count() <= p.broadcast else ids
-    text = docs.join(wanted, docs["doc_id"] == wanted["node"], "left_semi")
-    sets = text.mapInArrow(_sets(heavy, p), "node long, keys binary").groupBy("node").agg(F.min("keys").alias("keys"))
+    text = docs.join(wanted, (F.col("t1") == F.col("h1")) & (F.col("t2") == F.col("h2")) & F.col("doc_id").eqNullSafe(F.col("of")))
+    sets = text.select("node", "text").mapInArrow(_sets(heavy, p), "node long, keys binary").groupBy("node").agg(F.min("keys").alias("keys"))
     sets = written(sets, "nd-sets")
     sizes = pairs.groupBy("a", "ca").agg(F.ceil(F.count("*") / p.block).cast("int").alias("blocks"))
     members = pairs.join(sizes.drop("ca"), "a").select(
@@ -380,24 +398,35 @@ def _checked(pairs: DataFrame, docs: DataFrame, heavy, p: Params) -> DataFrame:
 
 def clusters(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every document."""
-    docs = small_batches(docs).where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return grouped(docs, p).select("doc_id", "n_shingles", "component_id")
+
+
+def grouped(docs: DataFrame, p: Params = Params()) -> DataFrame:
+    """doc_id, t1, t2 (text_hashes), n_shingles, component_id and group, a number that the documents
+    of a component share (null without shingles), of every document."""
+    docs = with_hashes(small_batches(docs))
     heavy = docs.sparkSession.sparkContext.broadcast(heavy_shingles(docs, p))
-    entries = docs.mapInArrow(_entries(heavy, p), "doc_id long, n long, fa long, fb long, prefix array<long>, bits array<long>")
+    entries = docs.mapInArrow(_entries(heavy, p), ENTRIES)
     entries = written(entries.withColumn("uid", F.monotonically_increasing_id()), "nd-entries")
 
-    # of equal sets that several tasks saw, the one with the smallest doc_id stands for all
-    own = Window.partitionBy("fa", "fb").orderBy("doc_id", "uid")
+    # of equal sets that several tasks saw, the first row stands for all
+    own = Window.partitionBy("fa", "fb").orderBy("uid")
     again = written(entries.where(F.col("prefix").isNotNull()).select("uid", F.row_number().over(own).alias("turn")).where("turn > 1").select("uid"), "nd-again")
-    nodes = entries.where(F.col("prefix").isNotNull()).join(F.broadcast(again) if again.count() <= p.broadcast else again, "uid", "left_anti")
+    nodes = entries.where(F.col("prefix").isNotNull()).join(F.broadcast(again) if again.count() <= p.broadcast else again, "uid", "left_anti").withColumnRenamed("uid", "node")
+    places = nodes.select("node", "doc_id", "t1", "t2")
 
     # one row for each prefix shingle and node, of groups that hold two nodes at least
     group = Window.partitionBy("token")
-    rows = nodes.select(F.explode("prefix").alias("token"), F.col("doc_id").alias("node"))
-    rows = rows.select("token", "node", F.count("*").over(group).alias("size"), F.min("node").over(group).alias("leader"), F.bit_xor(F.xxhash64("node")).over(group).alias("same")).where("size > 1")
+    rows = nodes.select(F.explode("prefix").alias("token"), "node")
+    rows = rows.select("token", "node", F.count("*").over(group).alias("size"), F.bit_xor(F.xxhash64("node")).over(group).alias("same")).where("size > 1")
     rows = written(rows, "nd-shared")
-    sizes = nodes.select(F.col("doc_id").alias("node"), F.col("n").cast("int").alias("n"))
-    rows = rows.join(sizes, "node").join(sizes.select(F.col("node").alias("leader"), F.col("n").alias("leader_n")), "leader")
-    rows = written(rows.select("token", "node", "n", "size", "leader", "leader_n", "same"), "nd-groups")
+    # how far a node's prefix is shared, by which leaders are chosen
+    central = rows.groupBy("node").agg(F.sum("size").alias("shared"))
+    sizes = nodes.select("node", F.col("n").cast("int").alias("n"), "fa", F.size("prefix").alias("length")).join(central, "node")
+    sizes = sizes.select("node", "n", F.struct((F.col("shared") / F.col("length")).alias("share"), "fa", "node", "n").alias("rank"))
+    first = F.max("rank").over(group)
+    rows = rows.join(sizes, "node").select("token", "node", "n", "size", "same", first.alias("first"))
+    rows = written(rows.select("token", "node", "n", "size", F.col("first.node").alias("leader"), F.col("first.n").alias("leader_n"), "same"), "nd-groups")
 
     # the leaders' links, of pairs with enough prefix shingles in common
     need = lambda n, m: F.expr(f"{p.percent} * ({n} + {m}) - {100 + p.percent} * (ceil({p.percent} * greatest({n}, {m}) / 100) - 1)")
@@ -405,11 +434,11 @@ def clusters(docs: DataFrame, p: Params = Params()) -> DataFrame:
     near = near.groupBy("leader", "node").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("leader_n").alias("m"))
     near = near.where((100 + p.percent) * F.col("c") >= need("n", "m"))
     # the sets differ in as many members at least as their bitmaps in bits
-    bits = nodes.select(F.col("doc_id").alias("node"), "bits").join(rows.select("node").distinct(), "node", "left_semi")
+    bits = nodes.select("node", "bits").join(rows.select("node").distinct(), "node", "left_semi")
     near = near.join(bits, "node").join(bits.select(F.col("node").alias("leader"), F.col("bits").alias("leader_bits")), "leader")
     differ = F.aggregate(F.zip_with("bits", "leader_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     near = near.where((100 + p.percent) * (F.col("n") + F.col("m") - differ) >= 2 * p.percent * (F.col("n") + F.col("m"))).select(F.col("leader").alias("a"), F.col("leader").alias("ca"), F.col("node").alias("b"), F.col("node").alias("cb"))
-    links = _checked(written(near, "nd-near"), docs, heavy, p)
+    links = _checked(written(near, "nd-near"), docs, places, heavy, p)
     roots = written(components(links), "nd-roots")
 
     # what may be linked across components: groups that hold two, each under its first shingle
@@ -435,12 +464,13 @@ def clusters(docs: DataFrame, p: Params = Params()) -> DataFrame:
         pending = written(apart.withColumn("turn", turn), "nd-pairs")
         if pending.isEmpty():
             break
-        links = links.unionByName(_checked(pending.where(F.col("turn") <= checks).select("a", "ca", "b", "cb"), docs, heavy, p))
+        links = links.unionByName(_checked(pending.where(F.col("turn") <= checks).select("a", "ca", "b", "cb"), docs, places, heavy, p))
         roots = written(components(links), "nd-roots")
         pending, checks = pending.where(F.col("turn") > checks), checks * 8
 
-    sets_of = entries.where(F.col("n") > 0).groupBy("fa", "fb").agg(F.min("doc_id").alias("least"), F.min(F.when(F.col("prefix").isNotNull(), F.col("doc_id"))).alias("node"))
+    sets_of = entries.where(F.col("n") > 0).groupBy("fa", "fb").agg(F.min("doc_id").alias("least"), F.min(F.when(F.col("prefix").isNotNull(), F.col("uid"))).alias("node"))
     sets_of = sets_of.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    ids = sets_of.groupBy("root").agg(F.min("least").alias("component_id")).join(sets_of, "root").select("fa", "fb", "component_id")
+    ids = sets_of.groupBy("root").agg(F.min("least").alias("component_id")).join(sets_of, "root").select("fa", "fb", "component_id", F.col("root").alias("group"))
     out = entries.join(ids, ["fa", "fb"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "t1", "t2", F.col("n").alias("n_shingles"), own.alias("component_id"), F.when(F.col("n") > 0, F.col("group")).alias("group"))
