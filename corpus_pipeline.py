@@ -27,23 +27,21 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group that links connect, that of the smallest doc_id (rows without one last, then the first as read).
-    Rows without words are linked with nothing and stay, each of them, also where they repeat.
-
-    Where every id is given and unique, it names the row; else the rows that need it get numbers after the largest id."""
-    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n"))
-    if ids.where("doc_id IS NULL OR n > 1").isEmpty():
-        groups = jaccard.clusters(docs.select("doc_id", "text"))
-        return docs.join(groups.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
-    largest = ids.agg(F.max("doc_id")).first()[0] or 0
-    plain = ids.where("doc_id IS NOT NULL AND n = 1").select(F.col("doc_id").alias("__own"))
-    number = F.coalesce("__own", F.lit(largest + 1) + F.monotonically_increasing_id())
-    rows = docs.join(plain, docs["doc_id"] == plain["__own"], "left").withColumn("__row", number).drop("__own")
-    rows = written(rows, "nd-rows")
-    groups = jaccard.clusters(rows.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), "component_id")
-    named = groups.join(rows.select("__row", "doc_id"), "__row")
-    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("first"))
-    return rows.join(first.select(F.col("first.__row").alias("__row")), "__row", "left_semi").select(docs.columns)
+    """One row of each group that links connect, that of the smallest doc_id (rows without one last, then by a hash of the
+    text; of rows equal in both any one). Rows without words are linked with nothing and stay, each of them, also where they
+    repeat. Rows are known by id and text, in one way for tables with and without ids."""
+    groups = jaccard.grouped(docs.select("doc_id", "text")).where("group IS NOT NULL")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2")
+    first = groups.groupBy("group").agg(F.min(key).alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.t1").alias("__t1"), F.col("first.t2").alias("__t2"))
+    times = groups.groupBy("doc_id", "t1", "t2").agg(F.count("*").alias("n")).where("n > 1")
+    kept = first.join(times, F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__t1") == F.col("t1")) & (F.col("__t2") == F.col("t2")), "left")
+    kept = written(kept.select("__id", "__t1", "__t2", F.col("n").isNotNull().alias("__repeats")), "nd-kept")
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = docs.where(worded).withColumns(dict(zip(("__h1", "__h2"), jaccard.text_hashes(F.col("text")), strict=True)))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__h1") == F.col("__t1")) & (F.col("__h2") == F.col("__t2"))
+    once = rows.join(kept.where(~F.col("__repeats")), same).select(docs.columns)
+    again = rows.join(kept.where("__repeats"), same).dropDuplicates(["__id", "__t1", "__t2"]).select(docs.columns)
+    return once.unionByName(again).unionByName(docs.where(~worded))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
