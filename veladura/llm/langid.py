@@ -6,8 +6,8 @@ to bits a symbol by the sample's size, wins. Letters are lower-cased, each run o
 separator. Every letter of a sample is a symbol of its own; letters that no sample has share one that no sample has. Phrases also end every `window` symbols: the windows of many texts are then parsed in step, one
 array operation a symbol for all of them, and a long text is just many windows.
 
-The sample is bounded: at most `rows` labelled rows a language, those of smallest hash among rows drawn by
-hash, `per_row` characters of each, `symbols` symbols in all. Only this sample reaches the driver.
+The sample is bounded: at most `rows` labelled rows a language, those whose id and text have the smallest hash,
+`per_row` characters of each, `symbols` symbols in all. Only this sample reaches the driver.
 
 Text that is null or has no letter gets `und` and score 0; so does everything where no language was learned.
 Ties go to the smaller language name. The score is one less the winner's entropy over the runner-up's.
@@ -22,7 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -92,6 +92,8 @@ def packed(nexts: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndar
             if len(taken) <= cell + 2 * width:
                 taken.extend(bytes(len(taken)))
             cell = taken.index(0, cell)
+            if len(taken) <= cell + 2 * width:
+                taken.extend(bytes(len(taken)))
             offset = cell - first
             if offset > 0 and offset not in at and not any(taken[offset + c] for c in moves):
                 break
@@ -191,18 +193,22 @@ def parser(sample: tuple[tuple[str, str], ...], p: Params) -> Parser:
 
 
 def fit(docs: DataFrame, is_training: Column, p: Params = Params()) -> tuple[tuple[str, str], ...]:
-    """A bounded sample of labelled text for each language."""
+    """A bounded sample of labelled text for each language: the p.rows rows whose id and text have the smallest hash, ranked by
+    Spark first by hash alone, then with their texts among those up to the last one's hash. Rows that repeat are in no
+    draw's way: of equal hashes as many stay as are still asked for."""
+    draw = F.xxhash64(F.lit(7), "doc_id", "text").alias("draw")
     rows = docs.where(is_training & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = rows.groupBy("lang").count().toArrow().to_pylist()
-    if not counts:
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
+    ranked = rows.select("lang", draw).withColumn("turn", turn).where(F.col("turn") <= p.rows)
+    last = ranked.groupBy("lang").agg(F.max("draw").alias("last")).toArrow().to_pylist()
+    if not last:
         return ()
-    draw = F.xxhash64(F.lit(7), "doc_id") / F.lit(2.0**64) + 0.5
-    share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, 2.0 * p.rows / r["count"]))))
-    drawn = rows.where(draw <= share[F.col("lang")]).select("lang", draw.alias("draw"), F.substring("text", 1, p.per_row).alias("text"))
+    limit = F.create_map(*(F.lit(x) for r in last for x in (r["lang"], r["last"])))
+    drawn = rows.select("lang", draw, F.substring("text", 1, p.per_row).alias("text")).where(F.col("draw") <= limit[F.col("lang")])
     got: dict[str, list] = {}
-    for r in drawn.toArrow().to_pylist():
+    for r in drawn.withColumn("turn", turn).where(F.col("turn") <= p.rows).toArrow().to_pylist():
         got.setdefault(r["lang"], []).append((r["draw"], r["text"]))
-    return tuple((k, "\n".join(t for _, t in sorted(got[k])[: p.rows])) for k in sorted(got))
+    return tuple((k, "\n".join(t for _, t in sorted(got[k]))) for k in sorted(got))
 
 
 def identify(docs: DataFrame, sample: tuple[tuple[str, str], ...], p: Params = Params()) -> DataFrame:

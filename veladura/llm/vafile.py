@@ -58,9 +58,26 @@ def unpack(data: np.ndarray, dim: int, bits: int) -> np.ndarray:
     return out[:, :dim]
 
 
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The least and greatest value of every dimension among a task's vectors, by their length."""
+    held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for batch in batches:
+        dims = batch.column(0).value_lengths().to_numpy()
+        for dim in map(int, np.unique(dims)):
+            if dim:
+                x = _matrix(batch.column(0).take(pa.array(np.flatnonzero(dims == dim))))
+                low, high = x.min(0), x.max(0)
+                if dim in held:
+                    low, high = np.minimum(low, held[dim][0]), np.maximum(high, held[dim][1])
+                held[dim] = low, high
+    for dim, (low, high) in held.items():
+        cols = [np.full(dim, dim, np.int32), np.arange(dim, dtype=np.int32), low, high]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["dim", "at", "low", "high"])
+
+
 def marks(vectors: DataFrame, bits: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """For each vector length the least value of every dimension and the width of its cells: two numbers a dimension."""
-    ends = vectors.where(F.size("x") > 0).select(F.size("x").alias("dim"), F.posexplode("x").alias("at", "v")).groupBy("dim", "at").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    ends = vectors.select("x").mapInArrow(_ends, "dim int, at int, low long, high long").groupBy("dim", "at").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     out: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for r in ends.toArrow().to_pylist():
         low, step = out.setdefault(r["dim"], (np.zeros(r["dim"], np.int64), np.ones(r["dim"], np.int64)))
@@ -143,7 +160,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, bits: int = 8, block
     asked = vectors.where(is_query).select("row", "x", F.size("x").alias("dim"))
     held = written(_blocks(cells, block, "c", n, "cells"), "va-blocks")
     keys = held.groupBy("dim").agg(F.collect_set("c").alias("cs"))
-    pairs = _blocks(asked, queries, "q", n, "x").join(keys, "dim").select("dim", "q_rows", F.explode("cs").alias("c")).join(held, ["dim", "c"])
+    pairs = _blocks(asked, queries, "q", asked.count(), "x").join(keys, "dim").select("dim", "q_rows", F.explode("cs").alias("c")).join(held, ["dim", "c"])
     shared = vectors.sparkSession.sparkContext.broadcast(cuts)
     seen = written(pairs.select("q_rows", "c_rows").mapInArrow(_scan(shared, k, bits), "q long, row long, lower long, upper long"), "va-bounds")
     # the kth highest lower bound over all blocks, then what can reach it, best bound first
