@@ -5,14 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veladura.operators import fields, tokens
-from veladura.sources import documents
+from veladura.functions.scratch import shared
+from veladura.operators import fields, labels, tokens
+from veladura.sources import documents, packages
 
 from . import sqltext as S
-from .detection import _E, _entities
+from .detection import _E, EMAIL_IN, _entities
 from .legal_text import legal_text
 from .registry import query, table
 
@@ -182,3 +183,123 @@ def pre_redact_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = legal_text(spark, sf_dir)
     rows = templates.pre_redacted(docs).join(docs.select("doc_id", "text"), "doc_id")
     return rows.select("doc_id", (templates.restored(F.col("clean"), F.col("marks")) == F.col("text")).alias("same"))
+
+
+# --- files through the data source ----------------------------------------------------------------------------
+
+
+def _named(path: str) -> Column:
+    return F.regexp_extract(path, r"(\d+)\.\w+$", 1).cast("long")
+
+
+@query("docx_round_trip", f"SELECT c_custkey AS doc_id, {DOCX['whole']} AS text, 'native_docx' AS extractor FROM customer")
+def docx_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DOCX files written by one job of the data source and read by another."""
+    at = shared(spark, "docx")
+    packages.write(packed(customers(spark, sf_dir)).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content"), at)
+    return packages.read(spark, at).select(_named("path").alias("doc_id"), "text", "extractor")
+
+
+@query(
+    "file_errors",
+    "SELECT ext, coalesce(error, '') AS error, coalesce(extractor, '') AS extractor, count(*)::BIGINT AS n FROM customer JOIN (VALUES (0, 'txt', NULL, 'native_txt'), (1, 'txt', 'TXT_NOT_UTF8', NULL), "
+    "(2, 'pdf', 'PDF_INVALID', NULL), (3, 'pdf', 'PDF_NO_READER', NULL), (4, 'doc', 'DOC_UNSUPPORTED', NULL), (5, 'docx', 'DOCX_INVALID', NULL)) x(i, ext, error, extractor) ON c_custkey % 7 = i GROUP BY ALL",
+)
+def file_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of every kind on disk, read by the data source: one row a file, text or error."""
+    i = (F.col("c_custkey") % 7).cast("int") + 1
+    ext = F.element_at(F.array(*(F.lit(e) for e in ("txt", "TXT", "pdf", "PDF", "doc", "docx", "exe"))), i)
+    data = F.element_at(F.array(*(F.unhex(F.lit(h)) for h in ("61C3B1", "FFFE", "00", "255044462D", "00", "504B0304", "00"))), i)
+    at, none = shared(spark, "kinds"), F.lit("")
+    packages.write(table(spark, sf_dir, "customer").select(F.concat(F.col("c_custkey").cast("string"), F.lit("."), ext).alias("name"), data.alias("content")), at)
+    return packages.read(spark, at).groupBy("ext", F.coalesce("error", none).alias("error"), F.coalesce("extractor", none).alias("extractor")).agg(F.count("*").alias("n"))
+
+
+def in_runs(rows: DataFrame, width: int = 5) -> DataFrame:
+    """rows (name, text, head) as DOCX files (name, content) whose runs hold `width` characters each."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        space = f'xmlns:w="{packages.SPACES[0]}"'
+        for b in batches:
+            data = []
+            for text, head in zip(b["text"], b["head"], strict=True):
+                cut = "".join(f'<w:r><w:t xml:space="preserve">{packages.escape(text[i : i + width])}</w:t></w:r>' for i in range(0, len(text), width))
+                parts = {"word/document.xml": f"<w:document {space}><w:body><w:p>{cut}</w:p></w:body></w:document>", "word/header1.xml": f"<w:hdr {space}><w:p><w:r><w:t>{packages.escape(head)}</w:t></w:r></w:p></w:hdr>"}
+                data.append(documents.zipped(parts))
+            yield pd.DataFrame({"name": b["name"], "content": data})
+
+    return rows.select("name", "text", "head").mapInPandas(run, "name string, content binary")
+
+
+LETTER = "'Yo, ' || c_name || ', con correo u' || c_custkey || '@mail.pe y de ' || c_mktsegment || ', otra vez ' || c_name || ' y U' || c_custkey || '@MAIL.PE.'"
+
+
+@query(
+    "redacted_files",
+    f"SELECT c_custkey AS doc_id, 'Yo, {{{{PERSONA_1}}}}, con correo {{{{EMAIL_1}}}} y de ' || c_mktsegment || ', otra vez {{{{PERSONA_1}}}} y {{{{EMAIL_1}}}}.' || {NL} || 'Cabeza {{{{PERSONA_1}}}}' AS text, 5 AS replaced FROM customer",
+)
+def redacted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that lie across runs replaced in the packages of one folder, written to another and read again."""
+    source, target, made = shared(spark, "letters"), shared(spark, "redacted"), shared(spark, "made")
+    rows = table(spark, sf_dir, "customer").selectExpr("c_custkey", "c_name", "concat(c_custkey, '.docx') AS name", f"{LETTER} AS text", "'Cabeza ' || c_name AS head")
+    packages.write(in_runs(rows), source)
+    one = lambda v, t, s, k: F.struct(v.alias("value"), F.lit(t).alias("token"), F.lit(s).alias("soft"), F.lit(k).alias("type"))
+    values = F.array(one(F.col("c_name"), "{{PERSONA_1}}", True, "PERSONA"), one(F.concat(F.lit("u"), "c_custkey", F.lit("@mail.pe")), "{{EMAIL_1}}", False, "EMAIL"))
+    files = packages.read(spark, source).withColumn("c_custkey", _named("path")).join(rows.select("c_custkey", "name", values.alias("values")), "c_custkey")
+    packages.rewritten(files).write.parquet(made)
+    done = spark.read.parquet(made)
+    packages.write(done, target)
+    text = packages.read(spark, target).select(_named("path").alias("doc_id"), "text")
+    return text.join(done.select(_named("name").alias("doc_id"), "replaced"), "doc_id")
+
+
+@query("training_jsonl", f"WITH t AS (SELECT c_custkey AS doc_id, {TRAINED} AS text FROM customer) SELECT text, count(*)::BIGINT AS n, 5::BIGINT * count(*) AS entities FROM t GROUP BY 1")
+def training_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training examples written one a line and read again."""
+    at = shared(spark, "jsonl")
+    documents.write_jsonl(documents.training_records(table(spark, sf_dir, "customer").selectExpr("c_custkey AS doc_id", f"{TRAINED} AS text")), at)
+    return documents.jsonl(spark, at).groupBy("text").agg(F.count("*").alias("n"), F.sum(F.size("entities")).alias("entities"))
+
+
+# --- users' own labels and many values ------------------------------------------------------------------------
+
+
+@query(
+    "user_labels",
+    "WITH a AS (SELECT user_id, event_id, CASE WHEN event_id % 11 = 0 THEN 'mal nombre' ELSE ' etiqueta_' || event_id % 70 END AS label_name FROM events), v AS (SELECT *, upper(trim(label_name)) AS label FROM a), "
+    "f AS (SELECT user_id, label, min(event_id) AS first FROM v WHERE regexp_full_match(label, '[A-Z0-9_]{1,30}') GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY first) AS r FROM f) "
+    "SELECT v.event_id AS seq, CASE WHEN NOT regexp_full_match(v.label, '[A-Z0-9_]{1,30}') THEN 'invalid' WHEN k.r > 50 THEN 'limit' WHEN k.first = v.event_id THEN 'created' ELSE 'duplicate' END AS outcome "
+    "FROM v LEFT JOIN k ON k.user_id = v.user_id AND k.label = v.label",
+)
+def user_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.when(F.col("event_id") % 11 == 0, "mal nombre").otherwise(F.concat(F.lit(" etiqueta_"), F.col("event_id") % 70))
+    return labels.created(table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("seq"), name.alias("label_name"))).select("seq", "outcome")
+
+
+@query(
+    "user_terms",
+    S.with_legal(
+        f"SELECT doc_id, start, 'PARTE' AS label FROM ({S.spans('Juan Perez Soto', 0)}) UNION ALL SELECT doc_id, start, CASE WHEN substr(text, stop + 1, 6) = ' Norte' AND client % 2 = 0 THEN 'ZONA' ELSE 'LUGAR' END "
+        f"FROM (SELECT s.*, client FROM ({S.spans('Lima', 0)}) s JOIN (SELECT doc_id, client FROM lt) USING (doc_id))"
+    ),
+)
+def user_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each client's own terms in that client's documents: of those that overlap the longest."""
+    docs = legal_text(spark, sf_dir).withColumnRenamed("client", "user_id")
+    one = lambda t, k, even=False: F.struct(F.lit(t).alias("term"), F.lit(k).alias("label"), F.lit(even).alias("even"))
+    every = F.array(one("Juan Perez Soto", "PARTE"), one("Perez Soto", "APELLIDOS"), one("Lima", "LUGAR"), one("Lima Norte", "ZONA", True), one("Li", "SILABA"))
+    terms = docs.select("user_id").distinct().select("user_id", F.inline(every)).where("NOT even OR user_id % 2 = 0")
+    return labels.marked(docs, terms).select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.start", "f.label")
+
+
+@query(
+    "redact_many",
+    S.with_legal(f"SELECT doc_id, replace(replace(replace(text, {EMAIL_IN}, '{{{{EMAIL_1}}}}'), 'Juan Perez Soto', '{{{{PERSONA_1}}}}'), 'Lima', '{{{{LUGAR_1}}}}') AS clean FROM lt"),
+)
+def redact_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two hundred values a document, most of which it lacks, in one pass."""
+    one = lambda v, t, s, k: F.struct(v.alias("value"), t.alias("token"), F.lit(s).alias("soft"), F.lit(k).alias("type"))
+    email = F.concat(F.lit("USER"), "client", F.lit("@mail"), (F.col("client") % 10), F.lit(".gob.pe"))
+    absent = F.transform(F.sequence(F.lit(1), F.lit(197)), lambda i: one(F.concat(F.lit("ausente "), i), F.concat(F.lit("{{X_"), i, F.lit("}}")), True, "PERSONA"))
+    known = F.array(one(F.lit("Juan Perez Soto"), F.lit("{{PERSONA_1}}"), True, "PERSONA"), one(F.lit("Lima"), F.lit("{{LUGAR_1}}"), True, "LUGAR"), one(email, F.lit("{{EMAIL_1}}"), False, "EMAIL"))
+    return legal_text(spark, sf_dir).select("doc_id", tokens.replaced_values(F.col("text"), F.concat(known, absent)).alias("clean"))

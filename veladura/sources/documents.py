@@ -89,18 +89,25 @@ def extract(ext: str, data: bytes, variants: tuple[str, ...] = ("whole",)) -> tu
     return None, None, "DOC_UNSUPPORTED"
 
 
+def zipped(parts: dict[str, str]) -> bytes:
+    """A package of named parts."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, data in parts.items():
+            z.writestr(name, data)
+    return out.getvalue()
+
+
 def docx_bytes(paragraphs: list[str], rows: list[list[str]] = (), header: str | None = None) -> bytes:
     """A DOCX file with paragraphs, one table and a header."""
     para = lambda t: f'<w:p><w:r><w:t xml:space="preserve">{escape(t)}</w:t></w:r></w:p>'
     space = f'xmlns:w="{W[1:-1]}"'
     table = "".join("<w:tr>" + "".join(f"<w:tc>{para(c)}</w:tc>" for c in r) + "</w:tr>" for r in rows)
     body = "".join(map(para, paragraphs)) + (f"<w:tbl>{table}</w:tbl>" if rows else "")
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("word/document.xml", f'<?xml version="1.0" encoding="UTF-8"?><w:document {space}><w:body>{body}</w:body></w:document>')
-        if header is not None:
-            z.writestr("word/header1.xml", f'<?xml version="1.0" encoding="UTF-8"?><w:hdr {space}>{para(header)}</w:hdr>')
-    return out.getvalue()
+    parts = {"word/document.xml": f'<?xml version="1.0" encoding="UTF-8"?><w:document {space}><w:body>{body}</w:body></w:document>'}
+    if header is not None:
+        parts["word/header1.xml"] = f'<?xml version="1.0" encoding="UTF-8"?><w:hdr {space}>{para(header)}</w:hdr>'
+    return zipped(parts)
 
 
 def extension(path: Column) -> Column:

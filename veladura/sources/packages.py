@@ -25,7 +25,6 @@ from xml.sax.saxutils import escape
 
 import pandas as pd
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
@@ -43,7 +42,11 @@ LARGEST = 256 << 20
 COLUMNS = "path string, length long, modificationTime timestamp, ext string, text string, extractor string, error string"
 
 
-def opened(path: str) -> tuple[fs.FileSystem, str]:
+def opened(path: str):
+    """(file system, path in it). pyarrow.fs starts threads when it is imported, which a process that forks must not have: only
+    what runs a task or plans imports it."""
+    from pyarrow import fs
+
     if path.startswith("file:"):
         path = "/" + path[5:].lstrip("/")
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
@@ -240,6 +243,8 @@ class Reader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         """Runs of files of about so many bytes; names that begin with a dot or an underscore are passed over."""
+        from pyarrow import fs
+
         at, root = opened(self.path)
         found = []
         for info in at.get_file_info(fs.FileSelector(root, recursive=True)):
@@ -308,6 +313,8 @@ class Writer(DataSourceWriter):
 
     def commit(self, messages: list[Written | None]) -> None:
         """One move a task; with overwriting, what earlier jobs wrote goes afterwards."""
+        from pyarrow import fs
+
         at, root = opened(self.path)
         root = root.rstrip("/")
         at.create_dir(root, recursive=True)
@@ -320,6 +327,8 @@ class Writer(DataSourceWriter):
         self.abort(messages)
 
     def abort(self, messages: list) -> None:
+        from pyarrow import fs
+
         at = opened(self.path)[0]
         if at.get_file_info(self.pending).type == fs.FileType.Directory:
             at.delete_dir(self.pending)
