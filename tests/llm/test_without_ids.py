@@ -73,3 +73,31 @@ def test_marks_of_several_lengths(spark):
         own = [x for _, x in rows if len(x) == dim]
         assert low.tolist() == [min(c) for c in zip(*own, strict=True)]
         assert step.tolist() == [max(1, -(-(max(c) - min(c) + 1) // 16)) for c in zip(*own, strict=True)]
+
+
+@pytest.mark.parametrize("p", [jaccard.Params(), jaccard.Params(block=3, bits=64, heavy=50, heavy_from=1, flush=100, broadcast=0)])
+def test_every_link_is_given(spark, p):
+    words = [f"v{i}" for i in range(300)]
+    texts = []
+    for _ in range(3):
+        base = rng.choices(words, k=220)
+        for _ in range(14):
+            own = list(base)
+            for _ in range(rng.randint(0, 3)):
+                own[rng.randrange(220)] = rng.choice(words)
+            texts.append(" ".join(own))
+    texts += [texts[0], texts[0], texts[20], texts[20].upper(), None, "", "solo", "solo", " ".join(rng.choices(words, k=50))]
+    rows = [(rng.choice([None, i]), t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    members, pairs = jaccard.links(docs, p)
+    sets = []
+    for _, t in rows:
+        w = (t or "").lower().split()
+        sets.append(frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset())
+    near = lambda a, b: bool(a) and bool(b) and 100 * len(a & b) >= 80 * len(a | b)
+    different = sorted(set(sets), key=sorted)
+    want = sum(near(a, b) for i, a in enumerate(different) for b in different[:i])
+    got = [tuple(r) for r in pairs.collect()]
+    assert len(got) == len(set(got)) == want > 100 and all(a != b for a, b in got)
+    counts = sorted((r.doc_id is None, r.doc_id or 0, r.n_shingles, r.n_links) for r in jaccard.link_counts(members, pairs).collect())
+    assert counts == sorted((d is None, d or 0, len(s), sum(near(s, o) for j, o in enumerate(sets) if j != i)) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True)))

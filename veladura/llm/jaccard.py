@@ -268,10 +268,10 @@ def walk(root: Trie, x: np.ndarray, n: int, has: np.ndarray, sizes: list[int], p
         todo += [(kid, overlap) for kid in node.kids]
 
 
-def block_pairs(nodes: list[int], lists: list[np.ndarray], sizes: list[int], comps: list, probes: list[int], members: list[int], p: Params, token: int | None, rising: bool) -> list[tuple[int, int]]:
+def block_pairs(nodes: list[int], lists: list[np.ndarray], sizes: list[int], comps: list, probes: list[int], members: list[int], p: Params, token: int | None, rising: bool, every_link: bool = False) -> list[tuple[int, int]]:
     """Pairs of probes and members (places in nodes) of different components. With a token the lists are
     prefixes and all pairs that may be linked come out; without, they are whole sets, and only as many links
-    as are needed to connect what they connect."""
+    as are needed to connect what they connect. With every_link components don't count: no pair is passed over."""
     flat = np.concatenate(lists)
     every, dense = np.unique(flat, return_inverse=True)
     lists = np.split(dense, np.cumsum([len(k) for k in lists])[:-1])
@@ -296,12 +296,12 @@ def block_pairs(nodes: list[int], lists: list[np.ndarray], sizes: list[int], com
 
         def skip(comp, member, i=i):
             if member is None:
-                return find(comp) == find(comps[i])
-            return member == i or rising and nodes[member] < nodes[i] or find(comps[member]) == find(comps[i])
+                return not every_link and find(comp) == find(comps[i])
+            return member == i or rising and nodes[member] < nodes[i] or not every_link and find(comps[member]) == find(comps[i])
 
         for j in walk(root, x, sizes[i], has, sizes, p.percent, unseen, first, skip):
             out.append((nodes[i], nodes[j]))
-            if token is None:
+            if token is None and not every_link:
                 parent[find(comps[j])] = find(comps[i])
         has[x] = False
     return out
@@ -314,7 +314,7 @@ def _frame(pairs: list) -> pd.DataFrame:
     return pd.DataFrame(pairs, columns=["a", "b"], dtype="int64")
 
 
-def _candidates(p: Params):
+def _candidates(p: Params, every_link: bool = False):
     """Over rows sorted by group: the pairs of each group that prefixes and bitmaps leave."""
 
     def group(token: int, row: int, col: int, rows: list[tuple]) -> list[tuple[int, int]]:
@@ -323,7 +323,7 @@ def _candidates(p: Params):
         if not probes or not members:
             return []
         nodes, sizes = [r[0] for r in rows], [r[1] for r in rows]
-        pairs = block_pairs(nodes, [r[3] for r in rows], sizes, [r[2] for r in rows], probes, members, p, token, row == col)
+        pairs = block_pairs(nodes, [r[3] for r in rows], sizes, [r[2] for r in rows], probes, members, p, token, row == col, every_link)
         by = {r[0]: r for r in rows}
 
         def fits(a: tuple, b: tuple) -> bool:
@@ -356,13 +356,13 @@ def _candidates(p: Params):
     return run
 
 
-def _check(p: Params):
+def _check(p: Params, every_link: bool = False):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         lists = [np.frombuffer(k, np.int64) for k in rows["keys"]]
         probes, members = (np.flatnonzero(rows["probe"] == c).tolist() for c in (True, False))
         if not probes or not members:
             return _frame([])
-        return _frame(block_pairs(rows["node"].tolist(), lists, [len(x) for x in lists], rows["comp"].tolist(), probes, members, p, None, False))
+        return _frame(block_pairs(rows["node"].tolist(), lists, [len(x) for x in lists], rows["comp"].tolist(), probes, members, p, None, False, every_link))
 
     return run
 
@@ -378,7 +378,7 @@ def with_hashes(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), t1.alias("t1"), t2.alias("t2"), "text")
 
 
-def _checked(pairs: DataFrame, docs: DataFrame, places: DataFrame, heavy, p: Params) -> DataFrame:
+def _checked(pairs: DataFrame, docs: DataFrame, places: DataFrame, heavy, p: Params, every_link: bool = False) -> DataFrame:
     """The links among pairs (a, ca, b, cb), by walking whole sets: a probes the b's in blocks. places (node, doc_id, t1, t2) says
     which rows of docs hold a node's text."""
     ids = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
@@ -393,7 +393,7 @@ def _checked(pairs: DataFrame, docs: DataFrame, places: DataFrame, heavy, p: Par
         "a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), F.col("b").alias("node"), F.col("cb").alias("comp"), F.lit(False).alias("probe")
     )
     probes = sizes.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("a").alias("node"), F.col("ca").alias("comp"), F.lit(True).alias("probe"))
-    return written(members.unionByName(probes).join(sets, "node").groupBy("a", "block").applyInPandas(_check(p), EDGES), "nd-links")
+    return written(members.unionByName(probes).join(sets, "node").groupBy("a", "block").applyInPandas(_check(p, every_link), EDGES), "nd-links")
 
 
 def clusters(docs: DataFrame, p: Params = Params()) -> DataFrame:
@@ -401,9 +401,27 @@ def clusters(docs: DataFrame, p: Params = Params()) -> DataFrame:
     return grouped(docs, p).select("doc_id", "n_shingles", "component_id")
 
 
-def grouped(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """doc_id, t1, t2 (text_hashes), n_shingles, component_id and group, a number that the documents
-    of a component share (null without shingles), of every document."""
+@dataclass(frozen=True)
+class Prepared:
+    """What the joins start from: texts by their hashes, entries (a row each document), nodes (a row each different set), groups
+    (a row each node and prefix shingle that another has)."""
+
+    docs: DataFrame
+    heavy: object
+    entries: DataFrame
+    nodes: DataFrame
+    groups: DataFrame
+
+    @property
+    def places(self) -> DataFrame:
+        return self.nodes.select("node", "doc_id", "t1", "t2")
+
+    @property
+    def bits(self) -> DataFrame:
+        return self.nodes.select("node", "bits").join(self.groups.select("node").distinct(), "node", "left_semi")
+
+
+def prepared(docs: DataFrame, p: Params) -> Prepared:
     docs = with_hashes(small_batches(docs))
     heavy = docs.sparkSession.sparkContext.broadcast(heavy_shingles(docs, p))
     entries = docs.mapInArrow(_entries(heavy, p), ENTRIES)
@@ -413,7 +431,6 @@ def grouped(docs: DataFrame, p: Params = Params()) -> DataFrame:
     own = Window.partitionBy("fa", "fb").orderBy("uid")
     again = written(entries.where(F.col("prefix").isNotNull()).select("uid", F.row_number().over(own).alias("turn")).where("turn > 1").select("uid"), "nd-again")
     nodes = entries.where(F.col("prefix").isNotNull()).join(F.broadcast(again) if again.count() <= p.broadcast else again, "uid", "left_anti").withColumnRenamed("uid", "node")
-    places = nodes.select("node", "doc_id", "t1", "t2")
 
     # one row for each prefix shingle and node, of groups that hold two nodes at least
     group = Window.partitionBy("token")
@@ -427,6 +444,58 @@ def grouped(docs: DataFrame, p: Params = Params()) -> DataFrame:
     first = F.max("rank").over(group)
     rows = rows.join(sizes, "node").select("token", "node", "n", "size", "same", first.alias("first"))
     rows = written(rows.select("token", "node", "n", "size", F.col("first.node").alias("leader"), F.col("first.n").alias("leader_n"), "same"), "nd-groups")
+    return Prepared(docs, heavy, entries, nodes, rows)
+
+
+def _cells(groups: DataFrame, left: DataFrame, bits: DataFrame, p: Params) -> DataFrame:
+    """left (token, node, n, comp, size) dealt to the cells of each group, blocks of bounded size held against each other."""
+    left = left.withColumn("blocks", F.ceil(F.col("size") / p.block).cast("int"))
+    left = left.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least(i, "own").alias("row"), F.greatest(i, "own").alias("col")))
+    left = left.select("token", "node", "n", "comp", "own", F.explode(cells).alias("cell"))
+    left = left.select(
+        "token", F.col("cell.row").alias("row"), F.col("cell.col").alias("col"), "node", "n", "comp",
+        F.expr("if(cell.row = own, 1, 0) + if(cell.col = own, 2, 0)").alias("sides"),
+    )
+    lists = groups.groupBy("node").agg(F.sort_array(F.collect_list("token")).alias("list")).join(bits, "node")
+    return left.join(lists, "node").select(*left.columns, "list", "bits").repartition("token", "row", "col").sortWithinPartitions("token", "row", "col")
+
+
+def _first(groups: DataFrame) -> DataFrame:
+    """The groups that count: of those with the same nodes the one of the smallest shingle."""
+    first = groups.where(F.col("node") == F.col("leader")).groupBy("same", "size", "leader").agg(F.min("token").alias("token")).select("token")
+    return groups.join(first, "token", "left_semi")
+
+
+def links(docs: DataFrame, p: Params = Params()) -> tuple[DataFrame, DataFrame]:
+    """The join itself: (members, pairs). members: doc_id, t1, t2, n_shingles, node (null without shingles) and copies (rows of the
+    node's set) of every document; pairs: a < b, every two nodes that link, once. Nothing is left out for being connected
+    already, so that a group of k different near copies gives up to k(k-1)/2 pairs."""
+    own = prepared(docs, p)
+    cells = _cells(own.groups, _first(own.groups).withColumn("comp", F.col("node")), own.bits, p)
+    maybe = cells.mapInArrow(_candidates(p, True), EDGES).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    maybe = written(maybe.withColumns({"ca": F.col("a"), "cb": F.col("b")}), "nd-every")
+    pairs = _checked(maybe, own.docs, own.places, own.heavy, p, every_link=True)
+    node = F.min(F.when(F.col("prefix").isNotNull(), F.col("uid"))).alias("node")
+    sets = own.entries.where(F.col("n") > 0).groupBy("fa", "fb").agg(node, F.count("*").alias("copies"))
+    members = own.entries.join(sets, ["fa", "fb"], "left").select("doc_id", "t1", "t2", F.col("n").alias("n_shingles"), "node", "copies")
+    return members, pairs
+
+
+def link_counts(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """members with n_links: how many other documents each is linked with, copies of its own set among them."""
+    copies = members.where(F.col("node").isNotNull()).groupBy("node").agg(F.first("copies").alias("c"))
+    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    beside = both.join(copies, both["b"] == copies["node"]).groupBy("a").agg(F.sum("c").alias("beside"))
+    rows = members.join(beside, members["node"] == beside["a"], "left")
+    return rows.select(*(members[c] for c in members.columns), F.coalesce(F.coalesce("beside", F.lit(0)) + F.col("copies") - 1, F.lit(0)).alias("n_links"))
+
+
+def grouped(docs: DataFrame, p: Params = Params()) -> DataFrame:
+    """doc_id, t1, t2 (text_hashes), n_shingles, component_id and group, a number that the documents of a component share (null
+    without shingles), of every document."""
+    own = prepared(docs, p)
+    docs, heavy, entries, rows, places, bits = own.docs, own.heavy, own.entries, own.groups, own.places, own.bits
 
     # the leaders' links, of pairs with enough prefix shingles in common
     need = lambda n, m: F.expr(f"{p.percent} * ({n} + {m}) - {100 + p.percent} * (ceil({p.percent} * greatest({n}, {m}) / 100) - 1)")
@@ -434,7 +503,6 @@ def grouped(docs: DataFrame, p: Params = Params()) -> DataFrame:
     near = near.groupBy("leader", "node").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("leader_n").alias("m"))
     near = near.where((100 + p.percent) * F.col("c") >= need("n", "m"))
     # the sets differ in as many members at least as their bitmaps in bits
-    bits = nodes.select("node", "bits").join(rows.select("node").distinct(), "node", "left_semi")
     near = near.join(bits, "node").join(bits.select(F.col("node").alias("leader"), F.col("bits").alias("leader_bits")), "leader")
     differ = F.aggregate(F.zip_with("bits", "leader_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     near = near.where((100 + p.percent) * (F.col("n") + F.col("m") - differ) >= 2 * p.percent * (F.col("n") + F.col("m"))).select(F.col("leader").alias("a"), F.col("leader").alias("ca"), F.col("node").alias("b"), F.col("node").alias("cb"))
@@ -442,19 +510,9 @@ def grouped(docs: DataFrame, p: Params = Params()) -> DataFrame:
     roots = written(components(links), "nd-roots")
 
     # what may be linked across components: groups that hold two, each under its first shingle
-    first = rows.where(F.col("node") == F.col("leader")).groupBy("same", "size", "leader").agg(F.min("token").alias("token")).select("token")
-    left = rows.join(first, "token", "left_semi").join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node"))
+    left = _first(rows).join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node"))
     mixed = left.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi")).select("token")
-    left = left.join(mixed, "token").withColumn("blocks", F.ceil(F.col("size") / p.block).cast("int"))
-    left = left.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least(i, "own").alias("row"), F.greatest(i, "own").alias("col")))
-    left = left.select("token", "node", "n", "comp", "own", F.explode(cells).alias("cell"))
-    left = left.select(
-        "token", F.col("cell.row").alias("row"), F.col("cell.col").alias("col"), "node", "n", "comp",
-        F.expr("if(cell.row = own, 1, 0) + if(cell.col = own, 2, 0)").alias("sides"),
-    )
-    lists = rows.groupBy("node").agg(F.sort_array(F.collect_list("token")).alias("list")).join(bits, "node")
-    cells = left.join(lists, "node").select(*left.columns, "list", "bits").repartition("token", "row", "col").sortWithinPartitions("token", "row", "col")
+    cells = _cells(rows, left.join(mixed, "token"), bits, p)
     pairs = cells.mapInArrow(_candidates(p), EDGES).distinct()
     pending, checks = written(pairs, "nd-pairs"), p.first_checks
     while True:
