@@ -12,8 +12,8 @@ set. Candidates are walked on prefixes alone (what comes after the prefix is cou
 then on whole sets.
 
 First each group's leader is held against the others that share enough prefix shingles with it, and the components of
-those links are contracted. The leader is the node whose prefix shingles are the most shared, which of a group of near copies
-is one that lies amid them; ties go by a hash of the set. Nodes are known by a row number and texts by their hashes: what a
+those links are contracted. The leader is the node that holds the largest share of frequent shingles, which of a group of near
+copies is one that lies amid them; ties go by a hash of the set. Nodes are known by a row number and texts by their hashes: what a
 join costs doesn't hang on ids, nor on the order of rows. Only groups that still hold two components are joined, block
 by block: a pair is met in the group of its first common shingle, and pairs between components are checked
 in rounds, a few for each node and component first, those left only while their sides are still apart. So a
@@ -176,7 +176,7 @@ def heavy_shingles(docs: DataFrame, p: Params) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], ranks[order]
 
 
-ENTRIES = "doc_id long, t1 long, t2 long, n long, fa long, fb long, prefix array<long>, bits array<long>"
+ENTRIES = "doc_id long, t1 long, t2 long, n long, fa long, fb long, prefix array<long>, bits array<long>, rank long"
 
 
 def _entries(shared, p: Params):
@@ -187,19 +187,21 @@ def _entries(shared, p: Params):
             for s in (s for block in text_blocks(batch.column(3), p.chars) for s in shingle_sets(block, p.words)):
                 n = len(s)
                 if not n:
-                    rows.append((0, 0, 0, None, None))
+                    rows.append((0, 0, 0, None, None, None))
                     continue
                 data = s.tobytes()
                 a, b = (xxhash.xxh3_64_intdigest(data, seed) - (1 << 63) for seed in (1, 2))
-                prefix = bits = None
+                prefix = bits = rank = None
                 if (a, b) not in seen:
                     seen.add((a, b))
-                    prefix = ordered(s, shared.value)[: prefix_size(n, p.percent)]
-                    bits = set_bits(s, p.bits)
-                rows.append((n, a, b, prefix, bits))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "t1", "t2", "n", "fa", "fb", "prefix", "bits"])
+                    keys = ordered(s, shared.value)
+                    prefix, bits = keys[: prefix_size(n, p.percent)], set_bits(s, p.bits)
+                    # the share of frequent shingles, then a hash of the set
+                    rank = ((n - int(np.searchsorted(keys, HEAVY))) * 1023 // n << 52) + (a & (1 << 52) - 1)
+                rows.append((n, a, b, prefix, bits, rank))
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "t1", "t2", "n", "fa", "fb", "prefix", "bits", "rank"])
 
     return run
 
@@ -432,17 +434,11 @@ def prepared(docs: DataFrame, p: Params) -> Prepared:
     again = written(entries.where(F.col("prefix").isNotNull()).select("uid", F.row_number().over(own).alias("turn")).where("turn > 1").select("uid"), "nd-again")
     nodes = entries.where(F.col("prefix").isNotNull()).join(F.broadcast(again) if again.count() <= p.broadcast else again, "uid", "left_anti").withColumnRenamed("uid", "node")
 
-    # one row for each prefix shingle and node, of groups that hold two nodes at least
+    # one row for each prefix shingle and node, of groups that hold two nodes at least, with the group's leader
     group = Window.partitionBy("token")
-    rows = nodes.select(F.explode("prefix").alias("token"), "node")
-    rows = rows.select("token", "node", F.count("*").over(group).alias("size"), F.bit_xor(F.xxhash64("node")).over(group).alias("same")).where("size > 1")
-    rows = written(rows, "nd-shared")
-    # how far a node's prefix is shared, by which leaders are chosen
-    central = rows.groupBy("node").agg(F.sum("size").alias("shared"))
-    sizes = nodes.select("node", F.col("n").cast("int").alias("n"), "fa", F.size("prefix").alias("length")).join(central, "node")
-    sizes = sizes.select("node", "n", F.struct((F.col("shared") / F.col("length")).alias("share"), "fa", "node", "n").alias("rank"))
-    first = F.max("rank").over(group)
-    rows = rows.join(sizes, "node").select("token", "node", "n", "size", "same", first.alias("first"))
+    rows = nodes.select(F.explode("prefix").alias("token"), "node", F.col("n").cast("int").alias("n"), "rank")
+    first = F.max(F.struct("rank", "node", "n")).over(group).alias("first")
+    rows = rows.select("token", "node", "n", F.count("*").over(group).alias("size"), first, F.bit_xor(F.xxhash64("node")).over(group).alias("same")).where("size > 1")
     rows = written(rows.select("token", "node", "n", "size", F.col("first.node").alias("leader"), F.col("first.n").alias("leader_n"), "same"), "nd-groups")
     return Prepared(docs, heavy, entries, nodes, rows)
 
