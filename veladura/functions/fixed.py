@@ -68,7 +68,7 @@ REGISTRY = (
     r"(?:partida\s+(?:electr[oó]nica|registral|sunarp)?|asiento\s+registral|tomo\s+registral|(?:SUNARP|sunarp)\s*[:,]?)"
     r"\s*(?:n[°oº]?\s*)?[:\s]*(\d{4,12}(?:[-/]\d{2,6})?)"
 )
-#: The words between may run long: written without a repeated group, over which Java recurses.
+#: The words between may run long: written without a repeated group, so that a search goes over them once.
 RULING = (
     r"(?:resoluci[oó]n|auto|decreto|acuerdo|oficio|informe)\s+(?:[a-záéíóúñ][a-záéíóúñ\s]*\s)?n[°oº][.:/ ]*(\d{2,6}(?:[-/]\d{2,6})?)"
 )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veladura.functions import lexicon as L
@@ -141,3 +141,10 @@ def filtered(entities: Column) -> Column:
     judged = F.transform(entities, lambda e: F.struct(e.alias("e"), decide(e["value"], e["type"], is_strong(e["source"])).alias("d")))
     kept = F.filter(judged, lambda x: x["d"]["keep"])
     return F.transform(kept, lambda x: x["e"].withField("confidence", capped(x["e"]["confidence"], x["d"]["reason"])))
+
+
+def rejected(rows: DataFrame) -> DataFrame:
+    """rows (type, value, strong; others kept) that the filters turn down, with the reason; of the value the first 50 characters,
+    as reports list them."""
+    told = rows.withColumn("__d", decide(F.col("value"), F.col("type"), F.col("strong"))).where("NOT __d.keep")
+    return told.withColumns({"value": F.substring("value", 1, 50), "reason": F.col("__d.reason")}).drop("__d")

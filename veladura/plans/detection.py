@@ -222,6 +222,25 @@ def filter_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("d.reason").agg(F.count("*").alias("n"), F.count_if("d.keep").alias("accepted"), F.count_if(~F.col("d.keep")).alias("rejected"))
 
 
+LONG = "a b c d e f g h con muchas palabras mas que siguen hasta pasar de los cincuenta caracteres "
+
+
+@query(
+    "filter_rejected",
+    f"WITH x(case_no, keep, reason) AS (VALUES {_EXPECTED}), v(case_no, type, value) AS (VALUES "
+    + ", ".join(f"({i}, '{t}', '{S.quoted(v)}')" for i, (v, t, *_) in enumerate(CASES))
+    + f") SELECT c_custkey AS id, type, value, reason FROM customer JOIN x ON c_custkey % {_N} = case_no JOIN v USING (case_no) WHERE NOT keep "
+    f"UNION ALL SELECT c_custkey, 'PERSONA', substr('{LONG}' || c_name, 1, 50), 'too_long_not_name' FROM customer",
+)
+def filter_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a filter report lists of the rejected: type, the value's first 50 characters, reason."""
+    known = spark.createDataFrame([(i, v, t, s) for i, (v, t, s, _, _) in enumerate(CASES)], "case_no int, value string, type string, strong boolean")
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % _N).cast("int").alias("case_no"), "c_name")
+    cases = rows.join(F.broadcast(known), "case_no").select("id", "type", "value", "strong")
+    long = rows.select("id", F.lit("PERSONA").alias("type"), F.concat(F.lit(LONG), "c_name").alias("value"), F.lit(False).alias("strong"))
+    return filters.rejected(cases.unionByName(long)).select("id", "type", "value", "reason")
+
+
 @query(
     "filter_confidence",
     f"WITH x(case_no, keep, reason) AS (VALUES {_EXPECTED}), y AS (SELECT reason, CASE reason WHEN 'context_persona' THEN 0.78 WHEN 'possible_name' THEN 0.55 WHEN 'proper_name' THEN 0.75 ELSE 1.0 END AS cap, "

@@ -182,8 +182,8 @@ def write_jsonl(records: DataFrame, path: str) -> None:
 
 
 def write_documents(docs: DataFrame, path: str) -> DataFrame:
-    """docs (doc_id, ext, text, blocks array<string>) as files: DOCX where the extension says so and its blocks are known,
-    plain text else. Gives doc_id and path of each; a task that runs again writes the same file again."""
+    """docs (doc_id, ext, text, blocks array<string>) as a table of files (doc_id, path, content) in Parquet below path: DOCX where
+    the extension says so and its blocks are known, plain text else. `packages.write` makes files of it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
