@@ -13,6 +13,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veladura import sqlviews
 from veladura.operators import anonymize, audit, context, detect, tokens
 
 from .registry import query, table
@@ -135,6 +136,15 @@ def detect_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detected(cases(spark, sf_dir))
 
 
+@query("detect_sql", WANT)
+def detect_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What `detect_all` gives, from a view in SQL."""
+    cases(spark, sf_dir).createOrReplaceTempView("veladura_cases")
+    entities, *_ = sqlviews.views(spark, "veladura_cases")
+    columns = ", ".join(detected(cases(spark, sf_dir)).columns)
+    return spark.sql(f"SELECT {columns} FROM {entities}")
+
+
 @query("entities_by_status", f"SELECT status, type, count(*)::BIGINT AS n, count(DISTINCT value)::BIGINT AS distinct_values FROM ({WANT}) GROUP BY ALL")
 def entities_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Confirmed entities and those for review, by type."""
