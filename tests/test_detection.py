@@ -178,3 +178,17 @@ def test_null_and_empty_texts(spark):
     df = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
     assert [r.e for r in df.select(detect.detect(F.col("text")).alias("e")).collect()] == [[], []]
     assert [(r.leaks_found, r.is_safe) for r in audit.fixed(df).collect()] == [(0, True)] * 2
+
+
+def test_what_a_model_raises_is_told(spark):
+    from veladura.operators import models
+
+    def ask(requests):
+        if any(r["i"] == 3 for r in requests):
+            raise ValueError("no such model")
+        return [str(r["i"]) for r in requests if r["i"] != 5]
+
+    rows = spark.createDataFrame([(i,) for i in range(8)], "i int").coalesce(1)
+    got = {r.i: (r.answer, r.error) for r in models.asked(rows, ask, "string", 2).collect()}
+    assert got[0] == ("0", None) and got[2] == got[3] == (None, "ValueError: no such model")
+    assert got[4] == got[5] == (None, "1 answers to 2 requests") and got[7] == ("7", None)

@@ -93,23 +93,26 @@ def as_claims(found: DataFrame, docs: DataFrame) -> DataFrame:
 
 def asked(requests: DataFrame, ask: Callable[[list[dict]], list], answer: str, batch: int = 25) -> DataFrame:
     """requests (any columns) with a column `answer` of the given type: batches of up to `batch` rows of a partition go to
-    the model at once; where the call fails or gives another number of answers, answers are null."""
+    the model at once; where the call fails or gives another number of answers, answers are null and `error` says why."""
     names = requests.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            answers = []
+            answers, errors = [], []
             for at in range(0, len(rows), batch):
-                part = rows.iloc[at : at + batch]
+                part, error = rows.iloc[at : at + batch], None
                 try:
                     got = list(ask(part.to_dict("records")))
-                except Exception:  # noqa: BLE001  whatever a client raises is an answer not given
-                    got = []
-                answers += got if len(got) == len(part) else [None] * len(part)
-            yield rows.assign(answer=pd.Series(answers, index=rows.index, dtype=object))
+                    if len(got) != len(part):
+                        error = f"{len(got)} answers to {len(part)} requests"
+                except Exception as e:  # noqa: BLE001  whatever a client raises is an answer not given, and is told
+                    got, error = [], f"{type(e).__name__}: {e}"[:500]
+                answers += [None] * len(part) if error else got
+                errors += [error] * len(part)
+            yield rows.assign(answer=pd.Series(answers, index=rows.index, dtype=object), error=pd.Series(errors, index=rows.index, dtype=object))
 
     kinds = ", ".join(f"`{n}` {t}" for n, t in requests.dtypes)
-    return requests.mapInPandas(run, f"{kinds}, answer {answer}").select(*names, "answer")
+    return requests.mapInPandas(run, f"{kinds}, answer {answer}, error string").select(*names, "answer", "error")
 
 
 def detected_by(docs: DataFrame, ask: Callable[[list[dict]], list]) -> DataFrame:
