@@ -19,6 +19,8 @@ by block: a pair is met in the group of its first common shingle, and pairs betw
 in rounds, a few for each node and component first, those left only while their sides are still apart. So a
 large group of near copies costs about one walk a member, and no link that joins two components is lost.
 
+Joins of which both sides grow with the documents are merge joins at every size, so that a small table goes the way of a large one.
+
 Shingles are 62-bit hashes of five words (of the whole sequence where there are fewer). Null and empty texts
 have no shingles and link with nothing. Repeated rows and equal texts are one node. Rows without doc_id take part and are
 answered: their component is that of the smallest doc_id they reach, null if there is none. One doc_id may stand for several
@@ -395,7 +397,7 @@ def _checked(pairs: DataFrame, docs: DataFrame, places: DataFrame, heavy, p: Par
         "a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), F.col("b").alias("node"), F.col("cb").alias("comp"), F.lit(False).alias("probe")
     )
     probes = sizes.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("a").alias("node"), F.col("ca").alias("comp"), F.lit(True).alias("probe"))
-    return written(members.unionByName(probes).join(sets, "node").groupBy("a", "block").applyInPandas(_check(p, every_link), EDGES), "nd-links")
+    return written(members.unionByName(probes).join(sets.hint("merge"), "node").groupBy("a", "block").applyInPandas(_check(p, every_link), EDGES), "nd-links")
 
 
 def clusters(docs: DataFrame, p: Params = Params()) -> DataFrame:
@@ -420,7 +422,7 @@ class Prepared:
 
     @property
     def bits(self) -> DataFrame:
-        return self.nodes.select("node", "bits").join(self.groups.select("node").distinct(), "node", "left_semi")
+        return self.nodes.select("node", "bits").join(self.groups.select("node").distinct().hint("merge"), "node", "left_semi")
 
 
 def prepared(docs: DataFrame, p: Params) -> Prepared:
@@ -453,14 +455,14 @@ def _cells(groups: DataFrame, left: DataFrame, bits: DataFrame, p: Params) -> Da
         "token", F.col("cell.row").alias("row"), F.col("cell.col").alias("col"), "node", "n", "comp",
         F.expr("if(cell.row = own, 1, 0) + if(cell.col = own, 2, 0)").alias("sides"),
     )
-    lists = groups.groupBy("node").agg(F.sort_array(F.collect_list("token")).alias("list")).join(bits, "node")
-    return left.join(lists, "node").select(*left.columns, "list", "bits").repartition("token", "row", "col").sortWithinPartitions("token", "row", "col")
+    lists = groups.groupBy("node").agg(F.sort_array(F.collect_list("token")).alias("list")).join(bits.hint("merge"), "node")
+    return left.join(lists.hint("merge"), "node").select(*left.columns, "list", "bits").repartition("token", "row", "col").sortWithinPartitions("token", "row", "col")
 
 
 def _first(groups: DataFrame) -> DataFrame:
     """The groups that count: of those with the same nodes the one of the smallest shingle."""
     first = groups.where(F.col("node") == F.col("leader")).groupBy("same", "size", "leader").agg(F.min("token").alias("token")).select("token")
-    return groups.join(first, "token", "left_semi")
+    return groups.join(first.hint("merge"), "token", "left_semi")
 
 
 def links(docs: DataFrame, p: Params = Params()) -> tuple[DataFrame, DataFrame]:
@@ -499,16 +501,16 @@ def grouped(docs: DataFrame, p: Params = Params()) -> DataFrame:
     near = near.groupBy("leader", "node").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("leader_n").alias("m"))
     near = near.where((100 + p.percent) * F.col("c") >= need("n", "m"))
     # the sets differ in as many members at least as their bitmaps in bits
-    near = near.join(bits, "node").join(bits.select(F.col("node").alias("leader"), F.col("bits").alias("leader_bits")), "leader")
+    near = near.join(bits.hint("merge"), "node").join(bits.hint("merge").select(F.col("node").alias("leader"), F.col("bits").alias("leader_bits")), "leader")
     differ = F.aggregate(F.zip_with("bits", "leader_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     near = near.where((100 + p.percent) * (F.col("n") + F.col("m") - differ) >= 2 * p.percent * (F.col("n") + F.col("m"))).select(F.col("leader").alias("a"), F.col("leader").alias("ca"), F.col("node").alias("b"), F.col("node").alias("cb"))
     links = _checked(written(near, "nd-near"), docs, places, heavy, p)
     roots = written(components(links), "nd-roots")
 
     # what may be linked across components: groups that hold two, each under its first shingle
-    left = _first(rows).join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node"))
+    left = _first(rows).join(roots.hint("merge"), "node", "left").withColumn("comp", F.coalesce("root", "node"))
     mixed = left.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi")).select("token")
-    cells = _cells(rows, left.join(mixed, "token"), bits, p)
+    cells = _cells(rows, left.join(mixed.hint("merge"), "token"), bits, p)
     pairs = cells.mapInArrow(_candidates(p), EDGES).distinct()
     pending, checks = written(pairs, "nd-pairs"), p.first_checks
     while True:
@@ -523,8 +525,8 @@ def grouped(docs: DataFrame, p: Params = Params()) -> DataFrame:
         pending, checks = pending.where(F.col("turn") > checks), checks * 8
 
     sets_of = entries.where(F.col("n") > 0).groupBy("fa", "fb").agg(F.min("doc_id").alias("least"), F.min(F.when(F.col("prefix").isNotNull(), F.col("uid"))).alias("node"))
-    sets_of = sets_of.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    ids = sets_of.groupBy("root").agg(F.min("least").alias("component_id")).join(sets_of, "root").select("fa", "fb", "component_id", F.col("root").alias("group"))
-    out = entries.join(ids, ["fa", "fb"], "left")
+    sets_of = sets_of.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    ids = sets_of.groupBy("root").agg(F.min("least").alias("component_id")).join(sets_of.hint("merge"), "root").select("fa", "fb", "component_id", F.col("root").alias("group"))
+    out = entries.join(ids.hint("merge"), ["fa", "fb"], "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "t1", "t2", F.col("n").alias("n_shingles"), own.alias("component_id"), F.when(F.col("n") > 0, F.col("group")).alias("group"))
