@@ -44,3 +44,12 @@ def test_case_rank_order(spark, small):
     rank = {"1-URGENT": 0, "2-HIGH": 1}
     want = sorted(orders, key=lambda o: (rank.get(o[2], 2), o[3] is None, o[3] or datetime.datetime.min, o[0]))
     assert [r.o_orderkey for r in QUERIES["case_rank_order_whole"](spark, at).collect()] == [o[0] for o in want]
+
+
+def test_unusual_ip_holds_the_whole_history(spark, tmp_path):
+    """An address seen before 20 others of the user isn't unusual; failures and the row itself don't count."""
+    kinds = ["first", *(f"ip{i}" for i in range(20)), "first", "error", "error", "new"]
+    rows = [(i, 1, k, datetime.datetime(1998, 1, 1, i)) for i, k in enumerate(kinds[:24])] + [(24, 1, "new", datetime.datetime(1998, 1, 2))]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts timestamp").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.event_id: r.unusual for r in QUERIES["unusual_ip"](spark, str(tmp_path)).collect()}
+    assert [got[i] for i in (0, 1, 20, 21, 22, 24)] == [False, True, True, False, True, True]
