@@ -15,7 +15,7 @@ from veladura.sources import documents, packages
 from . import sqltext as S
 from .detection import _E, EMAIL_IN, _entities
 from .legal_text import legal_text
-from .registry import query, table
+from .registry import dealt, query, table
 
 
 def packed(rows: DataFrame) -> DataFrame:
@@ -30,7 +30,7 @@ def packed(rows: DataFrame) -> DataFrame:
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("kind"))
+    return dealt(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("kind"))
 
 
 NL = "chr(10)"
@@ -63,7 +63,7 @@ def extraction_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = (F.col("c_custkey") % 7).cast("int") + 1
     ext = F.element_at(F.array(*(F.lit(e) for e in ("txt", "TXT", "pdf", "PDF", "doc", "docx", "exe"))), i)
     data = F.element_at(F.array(*(F.unhex(F.lit(h)) for h in ("61C3B1", "FFFE", "00", "255044462D", "00", "504B0304", "00"))), i)
-    files = table(spark, sf_dir, "customer").select(F.concat(F.lit("/x/"), "c_custkey", F.lit("."), ext).alias("path"), data.alias("content"))
+    files = dealt(spark, sf_dir, "customer").select(F.concat(F.lit("/x/"), "c_custkey", F.lit("."), ext).alias("path"), data.alias("content"))
     none = F.lit("")
     return documents.extracted(files).groupBy("ext", F.coalesce("error", none).alias("error"), F.coalesce("extractor", none).alias("extractor")).agg(F.count("*").alias("n"))
 
@@ -96,7 +96,7 @@ TRAINED = "'Correo a@b.pe y DNI 12345678' || chr(10) || 'paga s/ ' || (100 + c_c
     "('FECHA', '5 de mayo del 2024'), ('PERSONA', 'JUAN CARLOS PEREZ')) x(label, v)) SELECT doc_id, label, CAST(instr(text, v) - 1 AS INTEGER) AS start, CAST(instr(text, v) - 1 + length(v) AS INTEGER) AS stop FROM w",
 )
 def training_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "customer").selectExpr("c_custkey AS doc_id", f"{TRAINED} AS text")
+    docs = dealt(spark, sf_dir, "customer").selectExpr("c_custkey AS doc_id", f"{TRAINED} AS text")
     rows = documents.training_records(docs).select("doc_id", F.explode("entities").alias("e"))
     return rows.select("doc_id", "e.label", "e.start", F.col("e.end").alias("stop"))
 
@@ -154,7 +154,7 @@ FORM = "'Yo, {{NOMBRE_LARGO}}, con D.N.I. N° ........ y domicilio ____, celular
 
 @query("field_names", "SELECT c_custkey AS doc_id, 'NOMBRE LARGO|NOMBRE LARGO|RAZON SOCIAL|Número de DNI|y domicilio|Número de celular|domicilio|Firma del ' || c_mktsegment AS fields FROM customer")
 def field_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "customer").selectExpr("c_custkey AS doc_id", f"{FORM} AS text")
+    docs = dealt(spark, sf_dir, "customer").selectExpr("c_custkey AS doc_id", f"{FORM} AS text")
     return docs.select("doc_id", F.array_join(fields.named(F.col("text")), "|").alias("fields"))
 
 
@@ -164,7 +164,7 @@ def field_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     "('Número de celular', 'dots_underscores', 'numero_de_celular'), ('domicilio', 'dots_underscores', 'domicilio'), ('RAZON SOCIAL', 'brackets_single', 'razon_social'), ('Firma del ' || c_mktsegment, 'colon_field', 'firma_del_' || lower(c_mktsegment))) x(label, style, key)",
 )
 def field_places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "customer").selectExpr("c_custkey AS doc_id", f"{FORM} AS text")
+    docs = dealt(spark, sf_dir, "customer").selectExpr("c_custkey AS doc_id", f"{FORM} AS text")
     rows = docs.select("doc_id", F.explode(fields.placed(F.col("text"))).alias("f"))
     return rows.select("doc_id", "f.label", "f.style", "f.key")
 
@@ -172,7 +172,7 @@ def field_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("long_fields", "SELECT c_custkey AS doc_id, c_custkey % 2 = 0 AS long_field FROM customer")
 def long_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.when(F.col("c_custkey") % 2 == 0, F.lit("mis hechos y más")).otherwise(F.lit("nombre"))
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), fields.long_field(name).alias("long_field"))
+    return dealt(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), fields.long_field(name).alias("long_field"))
 
 
 @query("pre_redact_restored", S.with_legal("SELECT doc_id, true AS same FROM lt"))
@@ -211,7 +211,7 @@ def file_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     ext = F.element_at(F.array(*(F.lit(e) for e in ("txt", "TXT", "pdf", "PDF", "doc", "docx", "exe"))), i)
     data = F.element_at(F.array(*(F.unhex(F.lit(h)) for h in ("61C3B1", "FFFE", "00", "255044462D", "00", "504B0304", "00"))), i)
     at, none = shared(spark, "kinds"), F.lit("")
-    packages.write(table(spark, sf_dir, "customer").select(F.concat(F.col("c_custkey").cast("string"), F.lit("."), ext).alias("name"), data.alias("content")), at)
+    packages.write(dealt(spark, sf_dir, "customer").select(F.concat(F.col("c_custkey").cast("string"), F.lit("."), ext).alias("name"), data.alias("content")), at)
     return packages.read(spark, at).groupBy("ext", F.coalesce("error", none).alias("error"), F.coalesce("extractor", none).alias("extractor")).agg(F.count("*").alias("n"))
 
 
@@ -241,7 +241,7 @@ LETTER = "'Yo, ' || c_name || ', con correo u' || c_custkey || '@mail.pe y de '
 def redacted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values that lie across runs replaced in the packages of one folder, written to another and read again."""
     source, target, made = shared(spark, "letters"), shared(spark, "redacted"), shared(spark, "made")
-    rows = table(spark, sf_dir, "customer").selectExpr("c_custkey", "c_name", "concat(c_custkey, '.docx') AS name", f"{LETTER} AS text", "'Cabeza ' || c_name AS head")
+    rows = dealt(spark, sf_dir, "customer").selectExpr("c_custkey", "c_name", "concat(c_custkey, '.docx') AS name", f"{LETTER} AS text", "'Cabeza ' || c_name AS head")
     packages.write(in_runs(rows), source)
     one = lambda v, t, s, k: F.struct(v.alias("value"), F.lit(t).alias("token"), F.lit(s).alias("soft"), F.lit(k).alias("type"))
     values = F.array(one(F.col("c_name"), "{{PERSONA_1}}", True, "PERSONA"), one(F.concat(F.lit("u"), "c_custkey", F.lit("@mail.pe")), "{{EMAIL_1}}", False, "EMAIL"))
@@ -257,7 +257,7 @@ def redacted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def training_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training examples written one a line and read again."""
     at = shared(spark, "jsonl")
-    documents.write_jsonl(documents.training_records(table(spark, sf_dir, "customer").selectExpr("c_custkey AS doc_id", f"{TRAINED} AS text")), at)
+    documents.write_jsonl(documents.training_records(dealt(spark, sf_dir, "customer").selectExpr("c_custkey AS doc_id", f"{TRAINED} AS text")), at)
     return documents.jsonl(spark, at).groupBy("text").agg(F.count("*").alias("n"), F.sum(F.size("entities")).alias("entities"))
 
 

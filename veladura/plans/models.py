@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from veladura.operators import detect, merge, models
 
-from .registry import query, table
+from .registry import dealt, query, table
 
 #: what the stand-in recogniser knows
 KNOWN = (("PER", r"Rosa Campos"), ("ORG", r"Molino Azul"), ("LOC", r"Calle Real|Lima"), ("PER", r"Sala"))
@@ -20,7 +20,7 @@ def load() -> models.Recogniser:
 
 
 def docs(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").selectExpr("c_custkey AS doc_id", f"{text} AS text")
+    return dealt(spark, sf_dir, "customer").selectExpr("c_custkey AS doc_id", f"{text} AS text")
 
 
 NER = "c_name || ': la testigo Rosa Campos de Molino Azul, domicilio Calle Real, Lima. Sala'"
@@ -84,7 +84,7 @@ def judge(batch: list[dict]) -> list[str]:
 @query("semantic_filter", " UNION ALL ".join(f"SELECT c_custkey AS doc_id, '{k}' AS type, '{v}' AS value, {c}::DOUBLE AS confidence, '{s}' AS source FROM customer" for k, v, c, s in JUDGED))
 def semantic_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = F.array(*(F.struct(F.lit(k).alias("type"), F.lit(v).alias("value"), F.lit(c).alias("confidence")) for k, v, c in VALUES))
-    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.explode(one).alias("e"))
+    rows = dealt(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.explode(one).alias("e"))
     rows = rows.select("doc_id", "e.type", "e.value", F.lit(3).alias("start"), F.lit(5).alias("stop"), F.lit("r").alias("source"), "e.confidence")
     return models.validated(rows, docs(spark, sf_dir, "'abcdefghij'"), judge, batch=1).select("doc_id", "type", "value", "confidence", "source")
 
