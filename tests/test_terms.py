@@ -104,3 +104,23 @@ def test_users_own_terms(spark):
     for size in (100_000, 20):
         got = labels.marked(spark.createDataFrame(docs, "user_id long, doc_id long, text string"), spark.createDataFrame(table, "user_id long, term string, label string"), size).collect()
         assert {(r.user_id, r.doc_id): [tuple(f) for f in r.found] for r in got} == {(u, i): plain_marks(t or "", terms.get(u, [])) for u, i, t in docs}
+
+
+def test_absent_values_cost_no_automaton(monkeypatch):
+    """Of many values only those that stand in a small text reach the automaton, with the same result as all of them."""
+    import pyarrow as pa
+
+    from veladura.functions import terms
+
+    built, whole = [], terms.Terms.__init__
+
+    def counted(self, given):
+        given = list(given)
+        built.append(len(given))
+        whole(self, given)
+
+    monkeypatch.setattr(terms.Terms, "__init__", counted)
+    values = [{"value": f"ausente {i}", "token": "{{X}}", "soft": True, "type": "PERSONA"} for i in range(300)] + [{"value": "A@B.PE", "token": "{{EMAIL_1}}", "soft": False, "type": "EMAIL"}]
+    run = getattr(tokens._replaced, "func", tokens._replaced)
+    assert run(pa.array(["va a a@b.pe ya"]), pa.array([values])).to_pylist() == ["va a {{EMAIL_1}} ya"]
+    assert built == [1]
