@@ -192,3 +192,16 @@ def test_what_a_model_raises_is_told(spark):
     got = {r.i: (r.answer, r.error) for r in models.asked(rows, ask, "string", 2).collect()}
     assert got[0] == ("0", None) and got[2] == got[3] == (None, "ValueError: no such model")
     assert got[4] == got[5] == (None, "1 answers to 2 requests") and got[7] == ("7", None)
+
+
+def test_a_text_without_anchors_is_passed_over():
+    """A pattern none of whose anchors stand in a text isn't tried; tables share what the same patterns found."""
+    from veladura.functions.spans import Find, Scanned, _steps
+
+    finds = (Find(r"\bcasilla\s+(\d+)", anchors=("casilla",), ignore_case=True), Find(r"\bcasilla\s+(\d+)", 0, anchors=("casilla",), ignore_case=True))
+    one, two = _steps(finds)
+    assert one.slot == two.slot and one.hints == ("casilla",)
+    scanned = Scanned("Nada de eso 12")
+    assert scanned.places(one) == [] and not scanned.seen
+    scanned = Scanned("CASILLA 12")
+    assert scanned.places(one) is scanned.places(two) and [m[1] for m, _ in scanned.places(one)] == ["12"]
