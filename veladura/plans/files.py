@@ -180,9 +180,8 @@ def pre_redact_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pre-redaction undone by its marks gives the text again."""
     from veladura.operators import templates
 
-    docs = legal_text(spark, sf_dir)
-    rows = templates.pre_redacted(docs).join(docs.select("doc_id", "text"), "doc_id")
-    return rows.select("doc_id", (templates.restored(F.col("clean"), F.col("marks")) == F.col("text")).alias("same"))
+    rows = templates.pre_redacted(legal_text(spark, sf_dir))
+    return rows.select("doc_id", templates.restored(F.col("clean"), F.col("marks")).eqNullSafe(F.col("text")).alias("same"))
 
 
 # --- files through the data source ----------------------------------------------------------------------------
