@@ -3,12 +3,13 @@
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from veladura.functions import fixed as X
-from veladura.operators import templates
-from veladura.plans.catalogue import QUERIES
+from veladura.operators import templates, tokens
+from veladura.plans.catalogue import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -49,3 +50,31 @@ def test_pre_redaction_is_undone_once_an_order(spark, repeated):
     got = QUERIES["pre_redact_restored"](spark, repeated)
     assert "Join" not in plan(got)
     assert [r.same for r in got.collect()] == [True] * spark.read.parquet(f"{repeated}/orders.parquet").count()
+
+
+@pytest.mark.parametrize("order", ["last", "longest", "listed"])
+def test_numbers_within_a_document_are_those_of_rows(spark, order):
+    rng = random.Random(3)
+    values = ["ab", " AB", "Ab  ", "c", "straße", "STRASSE", "d e", None]
+    rows = [(d, rng.choice(["DNI", "EMAIL", "RUC"]), rng.choice(values), at * 10, at * 10 + 5, seq) for d in range(80) for seq, at in enumerate(rng.sample(range(40), rng.randint(1, 12)))]
+    df = spark.createDataFrame(rows, "doc_id long, type string, value string, start int, stop int, seq int")
+    want = tokens.numbered(df, order).select("doc_id", "seq", "token").collect()
+    docs = df.groupBy("doc_id").agg(F.collect_list(F.struct("type", "value", "start", "stop", "seq")).alias("found"))
+    got = docs.select("doc_id", F.inline(tokens.numbered_in(F.col("found"), order))).select("doc_id", "seq", "token").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+@pytest.mark.parametrize("name", ["tokens_listed", "tokens_last", "tokens_longest", "mapping_csv_rows", "report_json", "mapping_json"])
+def test_documents_of_one_row_are_numbered_where_they_are(spark, repeated, name):
+    """The one shuffle before the texts is that of the keys; what comes in several rows is still numbered together."""
+    whole = QUERIES[name](spark, SF)
+    assert len(re.findall(r"Window \[dense_rank", plan(whole))) <= 2 and "numbered" not in whole.columns
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW orders AS SELECT * FROM '{repeated}/orders.parquet/*.parquet'")
+    got = QUERIES[name](spark, repeated)
+    cols = ", ".join(f'"{c}"' for c in got.columns)
+    want = db.execute(f"SELECT {cols} FROM ({ORACLE[name]})").fetchall()
+    once = {r.o_orderkey for r in spark.read.parquet(f"{repeated}/orders.parquet").groupBy("o_orderkey").count().where("count = 1").collect()}
+    have = [tuple(r) for r in got.collect()]
+    assert sorted(r for r in have if r[0] in once) == sorted(r for r in want if r[0] in once)
+    assert {r[0] for r in have} == {r[0] for r in want} and len(have) == len(want)

@@ -13,7 +13,7 @@ from veladura.operators import fields, labels, tokens
 from veladura.sources import documents, packages
 
 from . import sqltext as S
-from .detection import _E, EMAIL_IN, _entities
+from .detection import _E, EMAIL_IN, tokened
 from .legal_text import legal_text
 from .registry import dealt, query, table
 
@@ -111,7 +111,7 @@ _N = (
 
 @query("mapping_csv_rows", S.with_legal(_N + "SELECT doc_id, type AS \"Tipo\", shown AS \"Original\", token AS \"Sustitucion\" FROM m"))
 def mapping_csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents.mapping_rows(tokens.numbered(_entities(spark, sf_dir), "listed"))
+    return tokened(spark, sf_dir, "listed", lambda docs: docs.select("doc_id", F.inline(documents.mapping_in(F.col("found")))), documents.mapping_rows)
 
 
 @query(
@@ -122,13 +122,14 @@ def mapping_csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents.report(tokens.numbered(_entities(spark, sf_dir), "listed"))
+    return tokened(spark, sf_dir, "listed", lambda docs: docs.select("doc_id", documents.report_in(F.col("found")).alias("report")), documents.report)
 
 
 @query("mapping_json", S.with_legal(_N + "SELECT doc_id, type, token, shown FROM m"))
 def mapping_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mapping written as JSON and read back."""
-    back = tokens.summary(tokens.numbered(_entities(spark, sf_dir), "listed")).select("doc_id", tokens.mapping_of(F.col("mapping")).alias("m"))
+    written = tokened(spark, sf_dir, "listed", lambda docs: docs.select("doc_id", tokens.summary_in(F.col("found")).alias("mapping")), tokens.summary)
+    back = written.select("doc_id", tokens.mapping_of(F.col("mapping")).alias("m"))
     rows = back.select("doc_id", F.explode("m").alias("type", "pairs"))
     return rows.select("doc_id", "type", F.explode("pairs").alias("token", "shown"))
 

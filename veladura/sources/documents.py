@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veladura.functions.spans import Find, spans
+from veladura.functions.spans import Find, let, spans
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 ALLOWED = ("docx", "pdf", "txt", "doc")
@@ -206,6 +206,30 @@ def report(rows: DataFrame) -> DataFrame:
     return counts.join(mapping, "doc_id").select("doc_id", F.to_json(F.struct("total_replaced", "type_counts", "mapping")).alias("report"))
 
 
+def report_in(tokened: Column) -> Column:
+    """The JSON that `report` gives of one document, from its array of entities with tokens; of values that share a token the
+    smallest is shown."""
+    from veladura.operators.tokens import masked
+
+    rows = F.array_sort(F.transform(tokened, lambda e: F.struct(e["token"].alias("token"), e["value"].alias("value"), e["type"].alias("type"))))
+
+    def json(every: Column) -> Column:
+        kinds = F.array_sort(F.array_distinct(every["type"]))
+        counts = F.map_from_entries(F.transform(kinds, lambda t: F.struct(t, F.size(F.filter(every, lambda e: e["type"] == t)).cast("long"))))
+        first = F.filter(every, lambda e, i: (i == 0) | (F.get(every, i - 1)["token"] != e["token"]))
+        pairs = F.map_from_entries(F.transform(first, lambda e: F.struct(e["token"], masked(e["type"], e["value"]))))
+        return F.to_json(F.struct(F.size(every).cast("long").alias("total_replaced"), counts.alias("type_counts"), pairs.alias("mapping")))
+
+    return let(rows, json)
+
+
+def mapping_in(tokened: Column) -> Column:
+    """The rows that `mapping_rows` gives of one document, as an array."""
+    from veladura.operators.tokens import masked
+
+    return F.array_distinct(F.transform(tokened, lambda e: F.struct(e["type"].alias("Tipo"), masked(e["type"], e["value"]).alias("Original"), e["token"].alias("Sustitucion"))))
+
+
 def mapping_rows(rows: DataFrame) -> DataFrame:
     """The mapping as its CSV sink writes it: Tipo, Original (masked), Sustitucion."""
     from veladura.operators.tokens import masked
