@@ -124,3 +124,44 @@ def test_absent_values_cost_no_automaton(monkeypatch):
     run = getattr(tokens._replaced, "func", tokens._replaced)
     assert run(pa.array(["va a a@b.pe ya"]), pa.array([values])).to_pylist() == ["va a {{EMAIL_1}} ya"]
     assert built == [1]
+
+
+def test_terms_to_the_letter_fold_nothing(monkeypatch):
+    """Only terms found in any case need the text's lower case."""
+    from veladura.functions import terms
+
+    monkeypatch.setattr(terms, "folded", lambda text: 1 / 0)
+    assert Terms([("Ñandú", False), ("N°", False), ("", True)]).places("el Ñandú N° 1, ÑANDÚ, n°") == {0: [3], 1: [9]}
+
+
+def test_folds_ascii_stretches_whole():
+    """Lower case of what isn't ASCII alone is looked up character by character; every character's is what it was."""
+    every = "".join(chr(i) for i in range(0x3000) if not 0xD800 <= i < 0xE000) + "😀Σ𐐀"
+    one = lambda c: x if len(x := c.upper()) == 1 and len(x := x.lower()) == 1 else c
+    assert folded(every) == "".join(map(one, every)) and all(folded(c) == one(c) for c in every)
+    text = "Partida ELECTRONICA N° " * 100_000
+    began = time.time()
+    assert folded(text) == text.lower()
+    took, began = time.time() - began, time.time()
+    "".join(map(one, text))
+    assert took < (time.time() - began) / 2
+
+
+def test_texts_are_made_after_rows_are_dealt(spark, capsys):
+    """Keys are shuffled and sorted by user, not whole texts."""
+    from veladura.plans.catalogue import QUERIES
+
+    QUERIES["user_terms"](spark, "/root/testdata/sf0.001").explain("formatted")
+    steps = [s for s in capsys.readouterr().out.split("\n\n") if re.match(r"\(\d+\) (Exchange|Sort)\b", s)]
+    assert any("Sort" in s for s in steps) and not any(re.search(r"\b(__)?text#", s) for s in steps)
+
+
+def test_users_terms_in_texts_made_late(spark):
+    """The text is an expression over other columns; terms given twice or without a label count once, users are split."""
+    docs = spark.createDataFrame([(1, i, "Lima", f"Norte {i}") for i in range(50)] + [(2, 90, "Lima", None), (None, 91, "Lima", "x")], "user_id int, doc_id int, a string, term string")
+    own = spark.createDataFrame([(1, "Lima", "Q"), (1, "Lima", "P"), (1, "Lima", None), (1, "Lima Norte", "Z"), (1, "Lima Norte", "Z"), (2, "Lima", "L")], "user_id int, term string, label string")
+    for size in (100_000, 7):
+        got = {r.doc_id: [tuple(f) for f in r.found] for r in labels.marked(docs, own, size, F.concat_ws(" ", "a", "term", "a")).collect()}
+        n = lambda i: len(f"Lima Norte {i} ")
+        want = {i: [(0, 10, "Lima Norte", "Z"), (n(i), n(i) + 4, "Lima", None)] for i in range(50)}
+        assert got == want | {90: [(0, 4, "Lima", "L"), (5, 9, "Lima", "L")], 91: []}

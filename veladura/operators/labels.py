@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veladura.functions.terms import Claims, Terms
@@ -30,47 +30,58 @@ def created(asked: DataFrame, most: int = MOST) -> DataFrame:
 
 
 def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (user_id, part, doc_id, text, term, label) by user and part, terms first: one user's automaton is held at a time,
-    documents pass by."""
-    key, own, auto = None, [], None
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("value", pa.string()), ("label", pa.string())]))
+    """Rows (user, part, doc, text, term, label) by user and part, terms first: one user's terms are held at a time, documents
+    pass by."""
+    key, given, own, auto = None, set(), [], None
+    kinds = [pa.int32(), pa.int32(), pa.string(), pa.string()]
     for batch in batches:
-        ids, found = [], []
-        for user, part, doc, text, term, label in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        ends, spans = [0], []
+        for user, part, text, term, label in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4, 5)), strict=True):
             if (user, part) != key:
-                key, own, auto = (user, part), [], None
+                key, given, auto = (user, part), set(), None
             if term is not None:
-                own.append((term, label))
+                given.add((term, label))
                 continue
             if auto is None:
-                own.sort(key=lambda t: (-len(t[0]), t))
+                own = sorted(given, key=lambda t: (-len(t[0]), t[0], t[1] is not None, t[1] or ""))
                 auto = Terms((t, False) for t, _ in own)
-            claims, plain = Claims(text or ""), Claims(text or "")
             places = auto.places(text or "")
-            # the order of `own` is by length, then term and label
-            spots = sorted((-len(own[i][0]), at, i) for i, starts in places.items() for at in starts)
-            for size, at, i in spots:
-                # boundaries are those of the text, whatever was claimed beside it
-                if claims.free(at, at - size) and plain.bounded(at, at - size):
-                    claims.put(at, at - size, own[i][1])
-            ids.append((user, doc))
-            found.append([{"start": a, "stop": claims.spans[a][0], "value": text[a : claims.spans[a][0]], "label": claims.spans[a][1]} for a in claims.starts])
-        if ids:
-            users, docs = zip(*ids, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(users, pa.int64()), pa.array(docs, pa.int64()), pa.array(found, kind)], names=["user_id", "doc_id", "found"])
+            if places:
+                claims, plain = Claims(text), Claims(text)
+                # the order of `own` is by length, then term and label
+                for size, at, i in sorted((-len(own[i][0]), at, i) for i, starts in places.items() for at in starts):
+                    # boundaries are those of the text, whatever was claimed beside it
+                    if claims.free(at, at - size) and plain.bounded(at, at - size):
+                        claims.put(at, at - size, own[i][1])
+                for a in claims.starts:
+                    stop, label = claims.spans[a]
+                    spans.append((a, stop, text[a:stop], label))
+            ends.append(len(spans))
+        if len(ends) > 1:
+            docs = batch.filter(batch.column(4).is_null())
+            cells = [pa.array(c, k) for c, k in zip(zip(*spans, strict=True) if spans else [()] * 4, kinds, strict=True)]
+            found = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(cells, names=["start", "stop", "value", "label"]))
+            yield pa.RecordBatch.from_arrays([docs.column(0), docs.column(2), found], names=["user_id", "doc_id", "found"])
 
 
-def marked(docs: DataFrame, terms: DataFrame, rows_a_part: int = 100_000) -> DataFrame:
-    """docs (user_id, doc_id, text) to user_id, doc_id and found: the places of the user's terms (user_id, term, label), to the
-    letter and between boundaries; of those that overlap the longest stays, then the first, then the smaller label.
+def marked(docs: DataFrame, terms: DataFrame, rows_a_part: int = 100_000, text: str | Column = "text") -> DataFrame:
+    """docs (user_id, doc_id and what `text` is made from) to user_id, doc_id and found: the places of the user's terms (user_id,
+    term, label), to the letter and between boundaries; of those that overlap the longest stays, then the first, then the
+    smaller label.
 
     Terms and documents are dealt by user; users with more than `rows_a_part` documents (there are few: that many documents
-    each) are split, their terms sent to every part. Documents stream past one automaton."""
-    docs = docs.select(F.col("user_id").cast("long").alias("user_id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    terms = terms.where("term IS NOT NULL AND term <> '' AND user_id IS NOT NULL").select(F.col("user_id").cast("long").alias("user_id"), "term", "label").distinct()
-    hot = docs.groupBy("user_id").count().where(F.col("count") > rows_a_part).select("user_id", F.ceil(F.col("count") / rows_a_part).cast("int").alias("parts"))
+    each) are split, their terms sent to every part. Documents stream past one user's terms. `text` is evaluated after rows
+    are dealt and sorted: where it is made from short columns, these move in place of whole texts."""
+    session = docs.sparkSession
+    dealt = max(4 * session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
+    docs = docs.withColumns({"__user": F.col("user_id").cast("long"), "__doc": F.col("doc_id").cast("long")})
+    terms = terms.where("term IS NOT NULL AND term <> '' AND user_id IS NOT NULL").select(F.col("user_id").cast("long").alias("__user"), F.col("term").alias("__term"), F.col("label").alias("__label"))
+    hot = docs.groupBy("__user").count().where(F.col("count") > rows_a_part).select("__user", F.ceil(F.col("count") / rows_a_part).cast("int").alias("__parts"))
     hot = F.broadcast(hot)
-    text = docs.join(hot, "user_id", "left").select("user_id", F.pmod(F.xxhash64("doc_id"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"), "doc_id", "text", F.lit(None).cast("string").alias("term"), F.lit(None).cast("string").alias("label"))
-    own = terms.join(hot, "user_id", "left").select("user_id", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "term", "label")
-    rows = own.unionByName(text).repartition("user_id", "part").sortWithinPartitions("user_id", "part", F.col("term").isNull())
-    return rows.mapInArrow(_marked, f"user_id long, doc_id long, found {FOUND}")
+    parts = F.coalesce("__parts", F.lit(1))
+    rows = docs.join(hot, "__user", "left").withColumn("__part", F.pmod(F.xxhash64("__doc"), parts).cast("int")).drop("__parts")
+    own = terms.join(hot, "__user", "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+    term = F.col("__term")
+    both = rows.unionByName(own, allowMissingColumns=True).repartition(dealt, "__user", "__part").sortWithinPartitions("__user", "__part", term.isNull())
+    made = F.when(term.isNull(), F.col(text) if isinstance(text, str) else text)
+    return both.select("__user", "__part", "__doc", made.alias("__text"), term, "__label").mapInArrow(_marked, f"user_id long, doc_id long, found {FOUND}")

@@ -14,7 +14,7 @@ from veladura.sources import documents, packages
 
 from . import sqltext as S
 from .detection import _E, EMAIL_IN, tokened
-from .legal_text import legal_text
+from .legal_text import TEXT, legal_keys, legal_text
 from .registry import dealt, query, table
 
 
@@ -285,11 +285,11 @@ def user_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def user_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each client's own terms in that client's documents: of those that overlap the longest."""
-    docs = legal_text(spark, sf_dir).withColumnRenamed("client", "user_id")
+    docs = legal_keys(spark, sf_dir).withColumnRenamed("client", "user_id")
     one = lambda t, k, even=False: F.struct(F.lit(t).alias("term"), F.lit(k).alias("label"), F.lit(even).alias("even"))
     every = F.array(one("Juan Perez Soto", "PARTE"), one("Perez Soto", "APELLIDOS"), one("Lima", "LUGAR"), one("Lima Norte", "ZONA", True), one("Li", "SILABA"))
     terms = docs.select("user_id").distinct().select("user_id", F.inline(every)).where("NOT even OR user_id % 2 = 0")
-    return labels.marked(docs, terms).select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.start", "f.label")
+    return labels.marked(docs, terms, text=F.expr(TEXT)).select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.start", "f.label")
 
 
 @query(
