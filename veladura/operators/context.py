@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 
 from veladura.functions import fixed as X
 from veladura.functions import lexicon as L
-from veladura.functions.spans import Find, after, before, has_any, keep, let, matches, spans, strip
+from veladura.functions.spans import CAPITALS, TITLE, UPPER, Find, after, before, digits, has_any, is_any, keep, let, matches, spaced, spans, strip
 
 from . import filters, merge
 
 OLD = "array<struct<type:string,value:string,start:int,stop:int,confidence:double,seq:int>>"
 RANKED = "array<struct<type:string,value:string,start:int,stop:int,confidence:double,seq:int,rank:int>>"
-TOKEN = Find(r"\{\{[^}]+\}\}", 0)
+TOKEN = Find(r"\{\{[^}]+\}\}", 0, anchors=("{{",))
 
 
 def tokens_in(text: Column) -> Column:
@@ -42,7 +42,7 @@ def sanitized(text: Column) -> Column:
 
 
 def no_name(value: Column) -> Column:
-    return F.forall(filters.words(F.upper(value)), lambda w: F.array_contains(filters.listed(L.OLD_NO_NAMES), w))
+    return F.forall(filters.words(F.upper(value)), lambda w: is_any(w, L.OLD_NO_NAMES))
 
 
 def money_before(text: Column, span: Column) -> Column:
@@ -66,39 +66,52 @@ class Old:
     test: str = ""
 
 
-def _old(kind: str, patterns: tuple[str, ...], confidence: float, guard: str = "any", ignore_case: bool = True, value: int = 0, place: tuple[int, int] = (0, 0), hints: tuple[str, ...] = (), **more) -> Old:
-    return Old(kind, tuple(Find(p, value, place, ignore_case=ignore_case, hints=hints) for p in patterns), confidence, guard, **more)
+#: What a pattern asks of the search, beside the pattern.
+SEARCH = ("hints", "leads", "run", "first")
+
+
+def _old(kind: str, patterns: tuple[str, ...], confidence: float, guard: str = "any", ignore_case: bool = True, value: int = 0, place: tuple[int, int] = (0, 0), anchors: tuple[tuple[str, ...], ...] = (), **more) -> Old:
+    own = {k: more.pop(k) for k in SEARCH if k in more}
+    finds = tuple(Find(p, value, place, ignore_case=ignore_case, anchors=a, **own) for p, a in zip(patterns, anchors, strict=True))
+    return Old(kind, finds, confidence, guard, **more)
+
+
+STREETS = ("av", "jr", "calle", "psje", "mz", "lt", "dpto", "urb", "aahh", "aa.hh", "pj", "p.j", "distrito", "provincia")
+MORE_STREETS = ("jiron", "pasaje", "manzana", "lote", "departamento", "n", "bloque", "piso", "int")
+NAMED_BY = ("señor", "sr.", "sra.", "don", "doña", *spaced("el", "la"), "identificad", "abogad", "letrad", "madre", "padre", "hij", "cónyuge", "espos", "testigo", "perito")
+ADDRESS_RUN, FIRM_RUN = r"A-Za-z0-9._%+\-", UPPER + r"a-záéíóúñ\s&"
 
 
 #: Patterns in the order in which they speak.
 REGEX = (
-    _old("EXPEDIENTE", (X.OLD_CASE,), 0.95),
-    _old("CASILLA", (X.OLD_MAILBOX,), 0.95, hints=("casilla",)),
-    _old("JUZGADO", (X.OLD_COURT,), 0.90, hints=("juzgado",)),
-    _old("RUC", (X.OLD_RUC,), 0.90, ignore_case=False, test="money"),
-    _old("DNI", (X.OLD_DNI,), 0.85, ignore_case=False, test="money and date"),
-    _old("EMAIL", (X.OLD_EMAIL,), 0.95, ignore_case=False, hints=("@",)),
-    _old("TELEFONO", X.OLD_PHONES, 0.85, "start", ignore_case=False),
-    _old("DIRECCION", (X.OLD_ADDRESS,), 0.75, least=11),
-    _old("PERSONA", (X.OLD_NAME,), 0.80, value=1, place=(1, 1), least=6, test="name"),
-    _old("PERSONA", (X.OLD_CAPITALS,), 0.60, "cross", ignore_case=False, value=1, test="two to five"),
-    _old("ACTA", (X.OLD_RECORD,), 0.90, hints=("acta",)),
-    _old("ENTIDAD", X.OLD_ENTITIES[:1], 0.85, "start", least=6, hints=("banco", "caja", "financiera", "cooperativa")),
-    _old("ENTIDAD", X.OLD_ENTITIES[1:2], 0.85, "start", least=6, hints=("s.a", "s.r.l", "e.i.r.l")),
-    _old("ENTIDAD", X.OLD_ENTITIES[2:], 0.85, "start", least=6, hints=("notar",)),
-    _old("CUENTA", X.OLD_ACCOUNTS, 0.90, "start"),
-    _old("PLACA", (X.OLD_PLATE,), 0.90),
-    _old("FIRMA", X.OLD_SIGNATURES, 0.70, "start", hints=("firma", "suscrit", "_____", "/s/")),
-    _old("SELLO", X.OLD_SEALS, 0.70, "start", hints=("sell",)),
-    _old("HUELLA", X.OLD_PRINTS, 0.70, "start", hints=("huella",)),
+    _old("EXPEDIENTE", (X.OLD_CASE,), 0.95, anchors=((digits(5),),)),
+    _old("CASILLA", (X.OLD_MAILBOX,), 0.95, anchors=(("casilla",),)),
+    _old("JUZGADO", (X.OLD_COURT,), 0.90, anchors=(("juzgado", digits()),), hints=("juzgado",)),
+    _old("RUC", (X.OLD_RUC,), 0.90, ignore_case=False, test="money", anchors=((digits(11, first="12"),),)),
+    _old("DNI", (X.OLD_DNI,), 0.85, ignore_case=False, test="money and date", anchors=((digits(8),),)),
+    _old("EMAIL", (X.OLD_EMAIL,), 0.95, ignore_case=False, anchors=(("@",),), run=ADDRESS_RUN),
+    _old("TELEFONO", X.OLD_PHONES, 0.85, "start", ignore_case=False, anchors=(("+51",), (digits(9, first="9"),), (digits(3, 9, 10, first="0"),), ("(",))),
+    _old("DIRECCION", (X.OLD_ADDRESS,), 0.75, least=11, anchors=(STREETS,)),
+    _old("PERSONA", (X.OLD_NAME,), 0.80, value=1, place=(1, 1), least=6, test="name", anchors=(NAMED_BY,)),
+    _old("PERSONA", (X.OLD_CAPITALS,), 0.60, "cross", ignore_case=False, value=1, test="two to five", anchors=((CAPITALS,),)),
+    _old("ACTA", (X.OLD_RECORD,), 0.90, anchors=(("acta",),)),
+    _old("ENTIDAD", X.OLD_ENTITIES[:1], 0.85, "start", least=6, anchors=(("banco", "caja", "financiera", "cooperativa"),)),
+    _old("ENTIDAD", X.OLD_ENTITIES[1:2], 0.85, "start", least=6, anchors=(("s.a", "s.r.l", "e.i.r.l"),), run=FIRM_RUN),
+    _old("ENTIDAD", X.OLD_ENTITIES[2:], 0.85, "start", least=6, anchors=(("notar",),)),
+    _old("CUENTA", X.OLD_ACCOUNTS, 0.90, "start", anchors=(("cuenta", "cta"), ("cci",), (digits(3, 6, *range(16, 21)),))),
+    _old("PLACA", (X.OLD_PLATE,), 0.90, anchors=(("placa", digits(3)),), leads=(3, 4)),
+    _old("FIRMA", X.OLD_SIGNATURES, 0.70, "start", anchors=(("firma", "suscrit"), ("_____",), ("/s/",), ("firmado",))),
+    _old("SELLO", X.OLD_SEALS, 0.70, "start", anchors=(("sell",), ("[sello",))),
+    _old("HUELLA", X.OLD_PRINTS, 0.70, "start", anchors=(("huella",), ("[huella",))),
 )
 ADDRESSES = (
-    _old("DIRECCION", X.OLD_HOMES, 0.90, "start", value=1, least=11, most=299),
-    _old("DIRECCION", (X.OLD_MORE_ADDRESS,), 0.80, "clear", least=9),
+    _old("DIRECCION", X.OLD_HOMES, 0.90, "start", value=1, least=11, most=299, anchors=(("domicilio",), ("con", "domicilio"), ("reside",), ("ubicad",), ("dirección",))),
+    _old("DIRECCION", (X.OLD_MORE_ADDRESS,), 0.80, "clear", least=9, anchors=((*STREETS, *MORE_STREETS),)),
 )
+MORE_PHONES = (("+51",), ("+51",), (digits(3, 6, 9, first="9"),), (digits(9, first="9"),), ("(",), (digits(2, 5, 9, first="0"),), ("(",))
 PHONES = (
-    _old("TELEFONO", X.OLD_MORE_PHONES, 0.90, "start", ignore_case=False, test="seven"),
-    _old("TELEFONO", (X.OLD_PHONE_TOLD,), 0.90, "start", value=1, test="seven"),
+    _old("TELEFONO", X.OLD_MORE_PHONES, 0.90, "start", ignore_case=False, test="seven", anchors=MORE_PHONES),
+    _old("TELEFONO", (X.OLD_PHONE_TOLD,), 0.90, "start", value=1, test="seven", anchors=(("telefono", "teléfono", "cel", "móvil", "movil", "fono"),)),
 )
 
 
@@ -146,20 +159,20 @@ def scored_persons(text: Column, first_names: tuple[str, ...] = L.FIRST_NAMES, l
     80 characters before or 30 after, a first name, a last name and, for capitals, two to four words; .50 is the least,
     .95 the most."""
 
-    def of(pattern: str, base: float, trigger: float, name: float, short: float, title: bool) -> Column:
+    def of(pattern: str, anchor: str, base: float, trigger: float, name: float, short: float, title: bool) -> Column:
         near = lambda s: has_any(F.lower(F.concat(before(text, s, 80), s["value"], after(text, s, 30))), L.OLD_TRIGGERS)
         small = lambda w: F.lower(w).isin("de", "la", "del", "los", "las")
         parts = lambda s: F.filter(filters.words(s["value"]), lambda w: ~small(w)) if title else filters.words(F.initcap(s["value"]))
-        has = lambda s, names: F.arrays_overlap(parts(s), filters.listed(names))
+        has = lambda s, names: F.exists(parts(s), lambda w: is_any(w, names))
         add = lambda test, x: F.when(test, x).otherwise(0.0)
         score = lambda s: F.round(
             F.lit(base) + add(near(s), trigger) + add(has(s, first_names), name) + add(has(s, last_names), name) + add(F.size(parts(s)).between(2, 4), short), 2
         )
-        fits = keep(outside(spans(text, Find(pattern)), tokens_in(text)), lambda s: F.size(parts(s)).between(2, 5) & ~no_name(s["value"]))
+        fits = keep(outside(spans(text, Find(pattern, anchors=(anchor,))), tokens_in(text)), lambda s: F.size(parts(s)).between(2, 5) & ~no_name(s["value"]))
         return F.transform(fits, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["value"].alias("value"), F.least(score(s), F.lit(0.95)).alias("score")))
 
-    upper = of(X.OLD_CAPITALS, 0.40, 0.15, 0.10, 0.10, False)
-    title = of(X.OLD_TITLE_CASE, 0.35, 0.20, 0.15, 0.0, True)
+    upper = of(X.OLD_CAPITALS, CAPITALS, 0.40, 0.15, 0.10, 0.10, False)
+    title = of(X.OLD_TITLE_CASE, TITLE, 0.35, 0.20, 0.15, 0.0, True)
     return F.filter(F.concat(upper, title), lambda s: s["score"] >= 0.5)
 
 
