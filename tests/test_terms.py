@@ -4,6 +4,7 @@ import random
 import re
 import time
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from veladura.functions.terms import WORD, Terms, claimed, folded
@@ -165,3 +166,24 @@ def test_users_terms_in_texts_made_late(spark):
         n = lambda i: len(f"Lima Norte {i} ")
         want = {i: [(0, 10, "Lima Norte", "Z"), (n(i), n(i) + 4, "Lima", None)] for i in range(50)}
         assert got == want | {90: [(0, 4, "Lima", "L"), (5, 9, "Lima", "L")], 91: []}
+
+
+def test_values_of_many_documents_are_looked_for_together(spark):
+    """Values that a batch repeats are found in one pass over a text, in any case where they may be; others one by one, to the
+    same end. Before each of them was looked for in every text."""
+    from veladura.operators.tokens import _Together
+
+    every = [("Ana Ruiz", "{{PERSONA_1}}", True, "PERSONA"), ("X@y.pe", "{{EMAIL_1}}", False, "EMAIL"), ("x@Y.pe", "{{Z_1}}", None, "OTRO"), (None, "{{N}}", True, None), ("", "{{N}}", False, "EMAIL")]
+    texts = [f"Ana Ruiz y x@y.PE, x@Y.pe con u{i}@m.pe; Ana Ruizz {i}" if i % 3 else f"nada {i}" for i in range(40)]
+    rows = [(i, t, [*every, (f"u{i}@M.pe", "{{EMAIL_2}}", False, "EMAIL"), (f"{i}", f"{{{{I_{i}}}}}", True, "N")]) for i, t in enumerate(texts)]
+    rows += [(40, None, every), (41, "Ana Ruiz", None), (42, "Ana Ruiz", []), (43, "", every)]
+    df = spark.createDataFrame(rows, "i int, t string, v array<struct<value:string,token:string,soft:boolean,type:string>>").coalesce(1)
+    got = {r.i: r.o for r in df.select("i", tokens.replaced_values(F.col("t"), F.col("v")).alias("o")).collect()}
+    for i, t, v in rows:
+        own = [dict(zip(("value", "token", "soft", "type"), x, strict=True)) for x in v or []]
+        assert got[i] == (claimed(t, own).replaced() if t and v else t)
+    assert got[1] == "{{PERSONA_1}} y {{EMAIL_1}}, {{EMAIL_1}} con {{EMAIL_2}}; Ana Ruizz {{I_1}}" and got[41] == "Ana Ruiz"
+
+    kind = pa.struct([("value", pa.string()), ("soft", pa.bool_()), ("type", pa.string())])
+    batch = _Together(pa.array([{"value": f"ausente {i % 50}", "soft": True, "type": "PERSONA"} for i in range(1000)], kind))
+    assert len(batch.shared) == 50 and batch.here("un ausente 7 aqui", 0, 50) == [7]
